@@ -66,7 +66,8 @@ def parse_xyz_text(files: DataFrame) -> DataFrame:
     Two header lines are skipped and only lines of four tokens count; a token that is
     no number leaves its line in place with ``valid`` false.
     """
-    lines = F.slice(F.split("text", r"\r?\n"), 3, 2**31 - 1)
+    lines = F.split("text", r"\r?\n")
+    lines = F.slice(lines, F.lit(3), F.size(lines))
     rows = F.filter(F.transform(lines, _tokens), lambda t: F.size(t) == 4)
     return files.select("name", F.posexplode(rows).alias("atom_idx", "t")).select(
         "name", F.col("atom_idx").cast("bigint"), *_atom_columns()
@@ -137,9 +138,7 @@ def parse_sdf(records: DataFrame) -> DataFrame:
             lambda s: _charges(F.split(F.trim(F.regexp_replace(F.substring(s, 10, 1000), r"\s+", " ")), " ")),
         )
     )
-    parsed = sized.select(
-        "name",
-        "record_no",
+    fields = [
         "n_atoms",
         "n_bonds",
         F.transform(
@@ -158,7 +157,9 @@ def parse_sdf(records: DataFrame) -> DataFrame:
             ),
         ).alias("bonds"),
         charge_pairs.alias("charges"),
-    )
+    ]
+    # a generator keeps later filters from repeating the parse once per reference
+    parsed = sized.select("name", "record_no", F.inline(F.array(F.struct(*fields))))
     bad_atom = F.exists("atoms", lambda a: a.x.isNull() | a.y.isNull() | a.z.isNull() | (a.symbol == ""))
     bad_bond = F.exists("bonds", lambda b: b.begin.isNull() | b.end.isNull() | b.order.isNull())
     loose_bond = F.exists(
