@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("eda", "prepare")
+MODULES = ("eda", "prepare", "evaluation", "graphs")
 
 
 def _merged(attribute: str) -> dict:
