@@ -62,27 +62,23 @@ def inverse(df: DataFrame, params: Params, prefix: str = "") -> DataFrame:
     )
 
 
-def fit_standard_array(df: DataFrame, column: str) -> DataFrame:
-    """``(pos, mean, scale)`` per array slot: one pass, one vector buffer per task."""
-    vec = array_to_vector(F.col(column))
-    summary = df.select(vec.alias("v")).agg(
-        Summarizer.metrics("mean", "variance", "count", "min", "max").summary(F.col("v")).alias("s")
-    )
+def fit_standard_array(df: DataFrame, column: str, weight: str | None = None) -> DataFrame:
+    """``(pos, mean, scale)`` per array slot: one pass, one vector buffer per task.
+
+    ``weight`` counts a row as that many equal rows (a graph's values once per node).
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    rows = df.select(array_to_vector(F.col(column)).alias("v"), w.alias("w"))
+    metrics = Summarizer.metrics("mean", "variance", "min", "max").summary(F.col("v"), F.col("w"))
+    summary = rows.agg(metrics.alias("s"), F.sum("w").alias("sum_w"), F.sum(F.col("w") * F.col("w")).alias("sum_w2"))
     parts = summary.select(
-        F.col("s.count").alias("n"),
+        # the summary's variance is the unbiased one
+        (1 - F.col("sum_w2") / (F.col("sum_w") * F.col("sum_w"))).alias("to_population"),
         *[vector_to_array(F.col(f"s.{k}")).alias(k) for k in ("mean", "variance", "min", "max")],
     )
-    unbiased_to_population = F.when(F.col("n") > 1, (F.col("n") - 1) / F.col("n")).otherwise(0.0)
-    return (
-        parts.select("n", F.posexplode(F.arrays_zip("mean", "variance", "min", "max")).alias("pos", "a"))
-        .select(
-            "pos",
-            F.col("a.mean").alias("mean"),
-            _scale_or_one(F.sqrt(F.col("a.variance") * unbiased_to_population), F.col("a.min"), F.col("a.max")).alias(
-                "scale"
-            ),
-        )
-    )
+    scale = _scale_or_one(F.sqrt(F.col("a.variance") * F.col("to_population")), F.col("a.min"), F.col("a.max"))
+    slots = parts.select("to_population", F.posexplode(F.arrays_zip("mean", "variance", "min", "max")).alias("pos", "a"))
+    return slots.select("pos", F.col("a.mean").alias("mean"), scale.alias("scale"))
 
 
 def as_vectors(table: DataFrame) -> tuple[list[float], list[float]]:

@@ -118,11 +118,13 @@ def run_epochs(
     epochs: int,
     stopping: EarlyStopping,
     between: Callable | None = None,
+    watch_more: Callable | None = None,
 ) -> Fit:
     """``learn(batches, weights, slots, step, epoch, train)`` runs in each task.
 
     It gives back new weights and slots, rows seen, summed loss, watch rows, summed watch
-    loss and steps made. ``between`` may change weights after each averaging.
+    loss and steps made. ``between`` may change weights after each averaging, and
+    ``watch_more(weights)`` adds watch rows that are not among ``rows``.
     """
     from strucreg.operators.optimizers import start_slots
 
@@ -135,21 +137,29 @@ def run_epochs(
         total = sum_vectors(rows, task, few_tasks=partitions <= SLOTS)[0]
         tail = dict(zip(_TAIL, total[-len(_TAIL) :]))
         if epoch > 1:
+            if watch_more is not None:
+                more_loss, more_rows = watch_more(weights)
+                tail["val_loss"] += more_loss
+                tail["val_rows"] += more_rows
             val_loss = tail["val_loss"] / tail["val_rows"] if tail["val_rows"] else train_loss
             val_loss += penalty(weights)
             history.append((epoch - 1, float(train_loss), float(val_loss)))
             if stopping.update(epoch - 1, val_loss, weights):
                 break
         if train:
-            if not tail["rows"]:
+            if not tail["rows"] and between is None:
                 raise ValueError("no training rows")
-            state = total[: -len(_TAIL)] / tail["rows"]
-            weights = state[:size]
-            slots = [state[size * (i + 1) : size * (i + 2)] for i in range(len(slots))]
-            step += max(1, int(round(tail["steps"] / tail["rows"])))
-            train_loss = tail["loss"] / tail["rows"]
+            seen, loss = tail["rows"], tail["loss"]
+            if seen:
+                state = total[: -len(_TAIL)] / seen
+                weights = state[:size]
+                slots = [state[size * (i + 1) : size * (i + 2)] for i in range(len(slots))]
+                step += max(1, int(round(tail["steps"] / seen)))
             if between is not None:
-                weights, slots = between(weights, slots, step, epoch)
+                weights, slots, more_loss, more_rows = between(weights, slots, step, epoch)
+                step += 1
+                loss, seen = loss + more_loss, seen + more_rows
+            train_loss = loss / seen
     best = stopping.best_weights if stopping.best_weights is not None else weights
     return Fit(best, stopping.best_epoch, float(stopping.best_loss), history)
 
