@@ -15,6 +15,11 @@ from strucreg.plans import bindings as b
 XY = [*X, *Y]
 
 
+def _kept(spark, sf_dir):
+    """For statistics that read their rows more than once."""
+    return b.observations_with_gaps(spark, sf_dir).persist()
+
+
 def confidence_interval(spark, sf_dir):
     out = eda.confidence_interval(b.observations_with_gaps(spark, sf_dir), Y)
     return rounded(out, ["lower", "upper", "width"], 4)
@@ -42,20 +47,20 @@ def corr_pvalues(spark, sf_dir):
 
 
 def histogram(spark, sf_dir):
-    return rounded(eda.histogram(b.observations_with_gaps(spark, sf_dir), XY), ["lower", "upper"], 4)
+    return rounded(eda.histogram(_kept(spark, sf_dir), XY), ["lower", "upper"], 4)
 
 
 def pair_grid(spark, sf_dir):
-    return eda.pair_grid(b.observations_with_gaps(spark, sf_dir), XY)
+    return eda.pair_grid(_kept(spark, sf_dir), XY)
 
 
 def boxplot_stats(spark, sf_dir):
-    out = eda.boxplot_stats(b.observations_with_gaps(spark, sf_dir), XY)
+    out = eda.boxplot_stats(_kept(spark, sf_dir), XY)
     return rounded(out, ["q1", "median", "q3", "whisker_low", "whisker_high"], 4)
 
 
 def iqr_flags(spark, sf_dir):
-    return eda.iqr_flags(b.observations_with_gaps(spark, sf_dir), ["idx"], XY)
+    return eda.iqr_flags(_kept(spark, sf_dir), ["idx"], XY)
 
 
 def iqr_counts(spark, sf_dir):

@@ -17,10 +17,10 @@ HIDDEN, OUTPUTS = 4, 6
 
 
 def _graph(spark, sf_dir):
-    """Atoms with a charge on some nitrogens, and bonds."""
-    atoms = b.atoms(spark, sf_dir)
+    """Atoms with a charge on some nitrogens, and bonds; both are used several times over."""
     charge = F.when((F.col("symbol") == "N") & (F.col("x") > 25), 1).otherwise(0)
-    return atoms.withColumn("charge", charge), b.bonds(atoms)
+    atoms = b.atoms(spark, sf_dir).withColumn("charge", charge).persist()
+    return atoms, b.bonds(atoms).persist()
 
 
 def symmetric_edges(spark, sf_dir):

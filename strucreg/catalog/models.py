@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strucreg.catalog.common import rounded
 from strucreg.catalog.graphs import _graph
 from strucreg.catalog.sql import OBS, X, Y, bucket, holdout, rnd, uniform, union_all
+from strucreg.functions import arrays
 from strucreg.operators import evaluate, gcn, linear, network, scale, search, split, stopping, trees
 from strucreg.plans import bindings as b
 from strucreg.plans import graphs as graph_plan
@@ -15,8 +16,6 @@ from strucreg.plans import tabular
 from strucreg.scratch import scratch_path
 from strucreg.sources import artifacts
 
-MAX_VALUES = 3 * b.SYSTEM_ATOMS
-
 
 def _plain(spark, sf_dir) -> tabular.TrainingTable:
     """Observations with their six numbers."""
@@ -26,10 +25,10 @@ def _plain(spark, sf_dir) -> tabular.TrainingTable:
 
 def _full(spark, sf_dir) -> tabular.TrainingTable:
     """Systems with the numbers of their order and their padded coordinates."""
-    atoms = b.atoms(spark, sf_dir)
-    systems = atoms.select("idx", "name").distinct()
-    rows = b.observations(spark, sf_dir).drop("name").join(systems, "idx")
-    with_features, length = tabular.structure_features(rows, atoms, "name", X, MAX_VALUES)
+    # systems have at most 72 atoms, so their coordinates may be gathered without a check
+    coords = arrays.flatten(b.atoms(spark, sf_dir), ["idx", "name"], None)
+    rows = b.observations(spark, sf_dir).drop("name")
+    with_features, length = tabular.structure_features(rows, coords, "idx", X)
     return tabular.training_table(with_features, "name", Y, length=length)
 
 
@@ -102,9 +101,9 @@ def _search_linear(spark, sf_dir, family, n_trials):
     log, best, model = search.search_linear(spark, _products(table), family, n_trials)
     path = scratch_path(spark, "trials")
     artifacts.save_trials(log, path)
-    winner = search.best_trial(artifacts.load_trials(spark, path)).select("trial", "value")
+    winner = search.best_trial(artifacts.load_trials(spark, path)).first()
     predicted = table.test.withColumn("prediction", model.predict(F.col("features")))
-    return _metrics(table, predicted).join(winner, F.lit(True))
+    return _metrics(table, predicted).withColumns({k: F.lit(winner[k]) for k in ("trial", "value")})
 
 
 def search_ridge(spark, sf_dir):

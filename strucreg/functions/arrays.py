@@ -30,17 +30,18 @@ def max_length(atoms: DataFrame, keys: Sequence[str]) -> int:
     return int(row["m"] or 0)
 
 
-def flatten(atoms: DataFrame, keys: Sequence[str], max_values: int, out: str = "coords") -> DataFrame:
+def flatten(atoms: DataFrame, keys: Sequence[str], max_values: int | None, out: str = "coords") -> DataFrame:
     """Row-major ``[3n]`` array per structure of at most ``max_values`` numbers.
 
     Longer structures are kept out before anything is collected; take them from
-    ``over_length`` and work on them through ``flatten_long``.
+    ``over_length`` and work on them through ``flatten_long``. None skips the check, for
+    structures whose size is bounded by their source.
     """
-    fitting = structure_sizes(atoms, keys).filter(F.col("n_values") <= max_values).select(*keys)
-    lists = (
-        atoms.join(fitting, list(keys), "left_semi")
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("atom_idx", F.array("x", "y", "z").alias("xyz")))).alias("_a"))
+    if max_values is not None:
+        fitting = structure_sizes(atoms, keys).filter(F.col("n_values") <= max_values).select(*keys)
+        atoms = atoms.join(fitting, list(keys), "left_semi")
+    lists = atoms.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct("atom_idx", F.array("x", "y", "z").alias("xyz")))).alias("_a")
     )
     return lists.select(*keys, F.flatten(F.col("_a.xyz")).alias(out))
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strucreg.functions.elements import LOSES_BOND_WHEN_CHARGED, element_table
+from strucreg.scratch import cut_lineage
 
 Keys = Sequence[str]
 # Fixed value: bond type 4 is aromatic and counts one and a half.
@@ -131,33 +132,29 @@ def _digest(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts])), 1, 8), 16, 10).cast("bigint")
 
 
-def circular_identifiers(atoms: DataFrame, bonds: DataFrame, keys: Keys = ("name",), radius: int = 2) -> list[DataFrame]:
-    """Identifier ``id`` of every atom's surroundings, one table per radius from 0.
+def circular_identifiers(atoms: DataFrame, bonds: DataFrame, keys: Keys = ("name",), radius: int = 2) -> DataFrame:
+    """Identifiers ``id0 .. id<radius>`` of every atom's surroundings.
 
     Neighbours are combined by adding digests, which needs neither an order nor a list, so the
     number does not depend on atom numbering and a much-bonded atom is combined map-side.
+    Every round uses the one before twice, so each is written down before the next.
     """
     edges = symmetric_edges(bonds, keys)
     node = [*keys, "atom_idx"]
-    features = atom_features(atoms, bonds, keys)
-    degree = edges.groupBy(*keys, F.col("dst").alias("atom_idx")).agg(F.count(F.lit(1)).alias("degree"))
-    start = features.join(degree, node, "left").select(
-        *node,
-        _digest(
-            F.lit(0), F.col("atomic_num"), F.coalesce("degree", F.lit(0)), F.col("valence"), F.col("charge"), F.col("aromatic")
-        ).alias("id"),
-    )
-    rounds = [start]
+    bonded = bonded_order(edges, keys)
+    parts = [F.lit(0), F.col("atomic_num")]
+    parts += [F.coalesce(c, F.lit(0)) for c in (F.col("degree"), F.floor("bonded"), F.col("charge"), F.col("aromatic"))]
+    current = _with_elements(atoms).join(bonded, node, "left").select(*node, _digest(*parts).alias("id0"))
     for r in range(1, radius + 1):
-        before = rounds[-1]
+        current = cut_lineage(current)
         around = (
-            edges.join(before.withColumnRenamed("atom_idx", "src"), [*keys, "src"])
+            edges.join(current.select(*keys, F.col("atom_idx").alias("src"), F.col(f"id{r - 1}").alias("id")), [*keys, "src"])
             .groupBy(*keys, F.col("dst").alias("atom_idx"))
             .agg(F.sum(_digest(F.col("order"), F.col("id"))).alias("around"))
         )
-        joined = before.join(around, node, "left")
-        rounds.append(joined.select(*node, _digest(F.lit(r), F.col("id"), F.coalesce("around", F.lit(0))).alias("id")))
-    return rounds
+        identifier = _digest(F.lit(r), F.col(f"id{r - 1}"), F.coalesce("around", F.lit(0)))
+        current = current.join(around, node, "left").withColumn(f"id{r}", identifier).drop("around")
+    return current
 
 
 def circular_fingerprint(
@@ -167,13 +164,13 @@ def circular_fingerprint(
 
     At most ``n_bits`` numbers per graph, combined map-side.
     """
-    rounds = circular_identifiers(atoms, bonds, keys, radius)
-    every = F.array(*[F.col(f"id{i}") for i in range(len(rounds))])
-    wide = rounds[0].withColumnRenamed("id", "id0")
-    for i, r in enumerate(rounds[1:], start=1):
-        wide = wide.join(r.withColumnRenamed("id", f"id{i}"), [*keys, "atom_idx"])
-    bits = wide.select(*keys, F.explode(every).alias("id")).select(*keys, (F.col("id") % n_bits).cast("int").alias("bit"))
-    return bits.groupBy(*keys).agg(F.array_sort(F.collect_set("bit")).alias("on_bits"))
+    found = circular_identifiers(atoms, bonds, keys, radius)
+    bits = F.array(*[(F.col(f"id{r}") % n_bits).cast("int") for r in range(radius + 1)])
+    return (
+        found.select(*keys, F.explode(bits).alias("bit"))
+        .groupBy(*keys)
+        .agg(F.array_sort(F.collect_set("bit")).alias("on_bits"))
+    )
 
 
 def bit_array(on_bits: Column, n_bits: int = 256) -> Column:

@@ -54,8 +54,10 @@ def exact_quantiles(
         out = []
         for p in probabilities:
             h = (counts[c] - 1) * p
-            low, high = values[c, math.floor(h)], values[c, math.ceil(h)]
-            out.append(low + (high - low) * (h - math.floor(h)))
+            low, high = math.floor(h), math.ceil(h)
+            # written like the built-in aggregate, so that both ways agree to the last bit
+            between = (high - h) * values[c, low] + (h - low) * values[c, high]
+            out.append(values[c, low] if low == high else between)
         result[c] = out
     return result
 

@@ -54,18 +54,19 @@ class TrainingTable:
 
 
 def structure_features(
-    rows: DataFrame, atoms: DataFrame, key: str, features: Sequence[str], max_values: int, length: int | None = None
+    rows: DataFrame, coordinates: DataFrame, key: str, features: Sequence[str], length: int | None = None
 ) -> tuple[DataFrame, int]:
-    """Adds ``features``: the scalar values followed by the zero-padded coordinates.
+    """Adds ``features``: the scalar values followed by the zero-padded ``coords`` of ``coordinates``.
 
-    ``length`` is the padded length; by default the longest structure decides, up to
-    ``max_values``. Rows with a longer structure go to ``arrays.over_length``.
+    ``length`` is the padded length; by default the longest structure decides. With a given
+    length, rows with a longer structure get NULL features, which training leaves out.
     """
     if length is None:
-        length = min(arrays.max_length(atoms, [key]), max_values)
-    coords = arrays.flatten(atoms, [key], length).select(key, arrays.pad(F.col("coords"), length).alias("coords"))
+        coordinates = coordinates.persist()
+        length = int(coordinates.agg(F.max(F.size("coords")).alias("m")).first()["m"] or 0)
     scalars = F.array(*[F.col(f).cast("double") for f in features])
-    return rows.join(coords, key).withColumn("features", F.concat(scalars, "coords")).drop("coords"), length
+    joined = rows.join(coordinates, key).withColumn("features", F.concat(scalars, arrays.pad(F.col("coords"), length)))
+    return joined.drop("coords"), length
 
 
 def training_table(
@@ -76,7 +77,7 @@ def training_table(
     Rows with a missing target or feature are left out before fitting.
     """
     targets = list(targets)
-    complete = F.forall(features, lambda v: v.isNotNull())
+    complete = F.coalesce(F.forall(features, lambda v: v.isNotNull()), F.lit(False))
     for t in targets:
         complete = complete & F.col(t).isNotNull()
     parts = rows.filter(complete).select(
