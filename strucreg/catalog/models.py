@@ -251,14 +251,14 @@ def mlp_predict(spark, sf_dir):
 
 def _graph_fit(spark, sf_dir, epochs):
     atoms, bonds = _graph(spark, sf_dir)
-    keys = ("idx", "name")
+    keys = ("idx", "part")
     systems = atoms.select(*keys).distinct()
     rows = b.observations(spark, sf_dir).drop("name").join(systems, "idx")
     table = graph_plan.graph_table(rows, "idx", X, Y, atoms, bonds, keys)
     # fixed values: units, layers and dropout of the best known graph network
     shape = gcn.Shape(table.width, len(Y), 35, 3, "relu", 0.45)
     fit = gcn.fit(
-        table.training_rows(), "name", shape, "RMSprop", learning_rate=1e-3, weight_decay=5e-5, epochs=epochs,
+        table.training_rows(), "idx", shape, "RMSprop", learning_rate=1e-3, weight_decay=5e-5, epochs=epochs,
         large=table.large,
     )
     return rows, table, shape, fit
@@ -273,7 +273,7 @@ def gcn_train(spark, sf_dir):
 def gcn_fit_predict(spark, sf_dir):
     """Five metrics per target of a trained graph network on the test graphs."""
     rows, table, shape, fit = _graph_fit(spark, sf_dir, 3)
-    both = table.predict(shape, fit.weights).join(rows, ["idx", "name"])
+    both = table.predict(shape, fit.weights).join(rows, ["idx", "part"])
     hats = [F.col("prediction")[i].alias(f"h_{y}") for i, y in enumerate(Y)]
     pairs = evaluate.long_pairs(both.select("idx", *Y, *hats), ["idx"], Y, Y, [f"h_{y}" for y in Y])
     return evaluate.regression_metrics(pairs)

@@ -99,7 +99,7 @@ def activations(spark, sf_dir):
 
 def attach_structure(spark, sf_dir):
     rows = b.observations(spark, sf_dir).select("idx", *X)
-    return attach.attach_structure(rows, b.atoms(spark, sf_dir).drop("left_order"), "idx")
+    return attach.attach_structure(rows, b.atoms(spark, sf_dir).drop("left_order", "part"), "idx")
 
 
 def attach_molecule(spark, sf_dir):

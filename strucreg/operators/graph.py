@@ -137,23 +137,24 @@ def circular_identifiers(atoms: DataFrame, bonds: DataFrame, keys: Keys = ("name
 
     Neighbours are combined by adding digests, which needs neither an order nor a list, so the
     number does not depend on atom numbering and a much-bonded atom is combined map-side.
-    Every round uses the one before twice, so each is written down before the next.
+    A loop at every atom brings its own identifiers along, so that a round is one join and
+    one sum over the round before.
     """
     edges = symmetric_edges(bonds, keys)
-    node = [*keys, "atom_idx"]
-    bonded = bonded_order(edges, keys)
+    loops = atoms.select(*keys, F.col("atom_idx").alias("src"), F.col("atom_idx").alias("dst"), F.lit(None).cast("int").alias("order"))
+    links = edges.select(*keys, "src", "dst", F.col("order").cast("int")).unionByName(loops)
     parts = [F.lit(0), F.col("atomic_num")]
     parts += [F.coalesce(c, F.lit(0)) for c in (F.col("degree"), F.floor("bonded"), F.col("charge"), F.col("aromatic"))]
-    current = _with_elements(atoms).join(bonded, node, "left").select(*node, _digest(*parts).alias("id0"))
+    bonded = bonded_order(edges, keys)
+    current = _with_elements(atoms).join(bonded, [*keys, "atom_idx"], "left").select(*keys, "atom_idx", _digest(*parts).alias("id0"))
+    own = F.col("order").isNull()
     for r in range(1, radius + 1):
-        current = cut_lineage(current)
-        around = (
-            edges.join(current.select(*keys, F.col("atom_idx").alias("src"), F.col(f"id{r - 1}").alias("id")), [*keys, "src"])
-            .groupBy(*keys, F.col("dst").alias("atom_idx"))
-            .agg(F.sum(_digest(F.col("order"), F.col("id"))).alias("around"))
-        )
+        sent = current.withColumnRenamed("atom_idx", "src").join(links, [*keys, "src"])
+        known = [F.max(F.when(own, F.col(f"id{k}"))).alias(f"id{k}") for k in range(r)]
+        around = F.sum(F.when(~own, _digest(F.col("order"), F.col(f"id{r - 1}")))).alias("around")
+        current = sent.groupBy(*keys, F.col("dst").alias("atom_idx")).agg(*known, around)
         identifier = _digest(F.lit(r), F.col(f"id{r - 1}"), F.coalesce("around", F.lit(0)))
-        current = current.join(around, node, "left").withColumn(f"id{r}", identifier).drop("around")
+        current = current.withColumn(f"id{r}", identifier).drop("around")
     return current
 
 
@@ -196,28 +197,33 @@ def node_features(
     return nodes.select(*keys, "atom_idx", F.concat(*parts).alias("features"))
 
 
-def inverse_sqrt_degree(nodes: DataFrame, edges: DataFrame, keys: Keys = ("name",)) -> DataFrame:
-    """Nodes with ``d`` = 1/sqrt(degree), the self loop counted."""
+def normalized_edges(nodes: DataFrame, edges: DataFrame, keys: Keys = ("name",)) -> DataFrame:
+    """``(keys, src, dst, weight)`` of ``D^-1/2 (A + I) D^-1/2``: the edges and a loop at every node.
+
+    Computed once per graph set; every convolution uses it.
+    """
     degree = edges.groupBy(*keys, F.col("dst").alias("atom_idx")).agg(F.count(F.lit(1)).alias("_deg"))
-    joined = nodes.join(degree, [*keys, "atom_idx"], "left")
-    return joined.withColumn("d", 1 / F.sqrt(F.coalesce("_deg", F.lit(0)) + 1)).drop("_deg")
+    d = nodes.select(*keys, "atom_idx").join(degree, [*keys, "atom_idx"], "left").select(
+        *keys, "atom_idx", (1 / F.sqrt(F.coalesce("_deg", F.lit(0)) + 1)).alias("_d")
+    )
+    d = cut_lineage(d)
+    ends = (
+        edges.select(*keys, "src", "dst")
+        .join(d.select(*keys, F.col("atom_idx").alias("src"), F.col("_d").alias("_from")), [*keys, "src"])
+        .join(d.select(*keys, F.col("atom_idx").alias("dst"), F.col("_d").alias("_to")), [*keys, "dst"])
+    )
+    loops = d.select(*keys, F.col("atom_idx").alias("src"), F.col("atom_idx").alias("dst"), (F.col("_d") * F.col("_d")).alias("weight"))
+    return ends.select(*keys, "src", "dst", (F.col("_from") * F.col("_to")).alias("weight")).unionByName(loops)
 
 
-def propagate(nodes: DataFrame, edges: DataFrame, columns: Sequence[str], keys: Keys = ("name",)) -> DataFrame:
-    """``D^-1/2 (A + I) D^-1/2`` applied to ``columns`` of nodes that carry ``d``.
+def propagate(nodes: DataFrame, weighted: DataFrame, columns: Sequence[str], keys: Keys = ("name",)) -> DataFrame:
+    """The weighted neighbour sum of ``columns``, by the edges of ``normalized_edges``.
 
-    The self loop is a message to oneself, so one grouping adds everything up and the node's
-    own ``d`` comes along without another join.
+    One join and one sum, partly added up before the shuffle. The result is placed by node, as
+    the next call's join wants it.
     """
-    ready = nodes.select(*keys, "atom_idx", "d", *[(F.col(c) * F.col("d")).alias(c) for c in columns])
-    sent = edges.select(*keys, F.col("src").alias("atom_idx"), "dst").join(ready.drop("d"), [*keys, "atom_idx"])
-    messages = sent.select(*keys, F.col("dst").alias("atom_idx"), F.lit(None).cast("double").alias("d"), *columns)
-    summed = (
-        messages.unionByName(ready)
-        .groupBy(*keys, "atom_idx")
-        .agg(F.max("d").alias("d"), *[F.sum(c).alias(c) for c in columns])
-    )
-    return summed.select(*keys, "atom_idx", "d", *[(F.col(c) * F.col("d")).alias(c) for c in columns])
+    sent = nodes.select(*keys, F.col("atom_idx").alias("src"), *columns).join(weighted, [*keys, "src"])
+    return sent.groupBy(*keys, F.col("dst").alias("atom_idx")).agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in columns])
 
 
 def readout(nodes: DataFrame, columns: Sequence[str], keys: Keys = ("name",)) -> DataFrame:

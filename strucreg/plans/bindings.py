@@ -7,7 +7,7 @@ becomes many systems rather than one unbounded group.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -84,15 +84,20 @@ def numbered_items(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     return number_within(items, ["l_orderkey"], F.col("l_partkey") % 256, order, "item_no", **options)
 
 
+def system_name(idx: Column, part: Column) -> Column:
+    return F.concat_ws("_", F.lit("sys"), idx.cast("string"), part.cast("string"))
+
+
 def atoms(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
-    """``idx, name, atom_idx, symbol, x, y, z, left_order``; name is unique per system."""
+    """``idx, part, name, atom_idx, symbol, x, y, z, left_order``; (idx, part) and name are both a system's key."""
     system = F.floor(F.col("item_no") / SYSTEM_ATOMS)
     symbol = (
         F.when(F.col("l_returnflag") == "A", "C").when(F.col("l_returnflag") == "N", "N").otherwise("O")
     )
     return numbered_items(spark, sf_dir, **options).select(
         F.col("l_orderkey").alias("idx"),
-        F.concat_ws("_", F.lit("sys"), F.col("l_orderkey").cast("string"), system.cast("string")).alias("name"),
+        system.alias("part"),
+        system_name(F.col("l_orderkey"), system).alias("name"),
         (F.col("item_no") % SYSTEM_ATOMS).alias("atom_idx"),
         symbol.alias("symbol"),
         F.col("l_quantity").alias("x"),
@@ -103,10 +108,10 @@ def atoms(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 
 def bonds(atom_rows: DataFrame) -> DataFrame:
-    """``idx, name, begin, end, order``: a path through each system."""
-    following = F.lead("atom_idx").over(W.partitionBy("idx", "name").orderBy("atom_idx"))
+    """``idx, part, begin, end, order``: a path through each system."""
+    following = F.lead("atom_idx").over(W.partitionBy("idx", "part").orderBy("atom_idx"))
     return (
-        atom_rows.select("idx", "name", F.col("atom_idx").alias("begin"), following.alias("end"), F.col("left_order").alias("order"))
+        atom_rows.select("idx", "part", F.col("atom_idx").alias("begin"), following.alias("end"), F.col("left_order").alias("order"))
         .filter(F.col("end").isNotNull())
     )
 
@@ -115,14 +120,14 @@ def xyz_text(atom_rows: DataFrame) -> DataFrame:
     """``name, text``: the XYZ file of each system (at most 72 atom lines)."""
     line = F.format_string("%s %.2f %.2f %.2f", "symbol", "x", "y", "z")
     lines = F.array_sort(F.collect_list(F.struct("atom_idx", line.alias("line"))))
-    grouped = atom_rows.groupBy("idx", "name").agg(lines.alias("a"))
+    grouped = atom_rows.groupBy("idx", "part", "name").agg(lines.alias("a"))
     body = F.array_join(F.col("a.line"), "\n")
     return grouped.select("name", F.concat_ws("\n", F.size("a").cast("string"), F.col("name"), body).alias("text"))
 
 
 def sdf_text(atom_rows: DataFrame) -> DataFrame:
     """``name, text``: the SDF file of each system, two records: the structure and a copy without bonds."""
-    following = F.lead("atom_idx").over(W.partitionBy("idx", "name").orderBy("atom_idx"))
+    following = F.lead("atom_idx").over(W.partitionBy("idx", "part").orderBy("atom_idx"))
     atom_line = F.format_string("%10.4f%10.4f%10.4f %-3s 0  0", "x", "y", "z", "symbol")
     bond_line = F.when(
         F.col("following").isNotNull(),
@@ -130,7 +135,7 @@ def sdf_text(atom_rows: DataFrame) -> DataFrame:
     )
     grouped = (
         atom_rows.withColumn("following", following)
-        .groupBy("idx", "name")
+        .groupBy("idx", "part", "name")
         .agg(F.array_sort(F.collect_list(F.struct("atom_idx", atom_line.alias("a"), bond_line.alias("b")))).alias("rows"))
     )
     n_atoms, bond_lines = F.size("rows"), F.array_compact(F.col("rows.b"))
