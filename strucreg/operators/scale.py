@@ -92,13 +92,13 @@ def _literal_array(values: Sequence[float]) -> Column:
 
 
 def transform_array(column: Column, mean: Sequence[float], scale: Sequence[float]) -> Column:
-    centred = F.zip_with(column, _literal_array(mean), lambda v, m: v - m)
-    return F.zip_with(centred, _literal_array(scale), lambda v, s: v / s)
+    shift, width = _literal_array(mean), _literal_array(scale)
+    return F.transform(column, lambda v, i: (v - F.get(shift, i)) / F.get(width, i))
 
 
 def inverse_array(column: Column, mean: Sequence[float], scale: Sequence[float]) -> Column:
-    stretched = F.zip_with(column, _literal_array(scale), lambda v, s: v * s)
-    return F.zip_with(stretched, _literal_array(mean), lambda v, m: v + m)
+    shift, width = _literal_array(mean), _literal_array(scale)
+    return F.transform(column, lambda v, i: v * F.get(width, i) + F.get(shift, i))
 
 
 def select_scaled(df: DataFrame, keys: Sequence[str], *tables: Params) -> DataFrame:
