@@ -12,7 +12,7 @@ from strucreg.functions import arrays
 from strucreg.operators import evaluate, gcn, linear, network, scale, search, split, stopping, trees
 from strucreg.plans import bindings as b
 from strucreg.plans import graphs as graph_plan
-from strucreg.plans import tabular
+from strucreg.plans import scoring, tabular, train
 from strucreg.scratch import scratch_path
 from strucreg.sources import artifacts
 
@@ -186,27 +186,19 @@ def boosted_trees(spark, sf_dir):
     return _metrics(table, model.predict(table.test))
 
 
-def search_decision_tree(spark, sf_dir):
-    """Two trials by three folds, then the refit."""
+def _search(spark, sf_dir, model, n_trials, **options):
     table = _full(spark, sf_dir)
+    _, _, fitted = train.search_model(table, model, n_trials, **options)
+    return _metrics(table, fitted.predict(table.test))
 
-    def fit(rows, p):
-        options = {k: p[k] for k in ("max_depth", "min_samples_split", "min_samples_leaf", "max_features")}
-        return trees.fit_forest(rows, "features", Y, table.width, single_tree=True, **options)
-
-    def objective(p, k):
-        model = fit(table.train.filter(F.col("fold") != k), p)
-        return scaled_error(table, model.predict(table.train.filter(F.col("fold") == k)))
 
-    log, best = search.search(spark, "decision_tree", objective, 2)
-    return _metrics(table, fit(table.train, best).predict(table.test))
+def search_decision_tree(spark, sf_dir):
+    """Two trials by three folds, then the refit."""
+    return _search(spark, sf_dir, "decision_tree", 2)
 
 
-def scaled_error(table, predicted) -> float:
-    """Mean squared error over all scaled targets."""
-    errors = [(F.col(t) - F.col("prediction")[i]) ** 2 for i, t in enumerate(table.targets)]
-    total = sum(errors[1:], errors[0]) / len(errors)
-    return float(predicted.agg(F.avg(total).alias("e")).first()["e"])
+def search_mlp(spark, sf_dir):
+    return _search(spark, sf_dir, "mlp", 2, epochs=2)
 
 
 # --- networks -----------------------------------------------------------------
@@ -279,6 +271,22 @@ def gcn_fit_predict(spark, sf_dir):
     return evaluate.regression_metrics(pairs)
 
 
+def score_graph_batch(spark, sf_dir):
+    """Requests with an SDF text: weights by rule, rejected requests with their reason."""
+    requests = b.sdf_text(b.atoms(spark, sf_dir))
+    requests = requests.withColumn("idx", F.split("name", "_")[1].cast("bigint")).join(
+        b.observations(spark, sf_dir).select("idx", *X), "idx"
+    )
+    shape = gcn.Shape(6 + 256 + 5, 6, 8, 2, "relu")
+    scaler = [0.0] * shape.inputs, [1000.0] * 6 + [1.0] * 256 + [10.0] * 5
+    scored, rejected = scoring.score_graph_requests(requests, "name", X, shape, shape.start(7), scaler, [(0.0, 10.0)] * 6)
+    prediction = [F.round(F.col("prediction")[i], 4).alias(f"p{i}") for i in range(6)]
+    zeros = [F.lit(0.0).alias(f"p{i}") for i in range(6)]
+    return scored.select("name", F.lit("accepted").alias("verdict"), *prediction).unionByName(
+        rejected.select("name", F.col("reason").alias("verdict"), *zeros)
+    )
+
+
 def model_roundtrip(spark, sf_dir):
     """Largest difference between predictions before saving and after loading, per model kind."""
     table = _plain(spark, sf_dir)
@@ -314,8 +322,8 @@ QUERIES = {
     for f in (
         flagship, ols_fit, ridge_fit, lasso_fit, elastic_net_fit, ols_predict, cv_objective, search_ridge, search_lasso,
         search_elastic_net, trial_space, best_trial, early_stop, early_stop_delta, decision_tree, random_forest,
-        boosted_trees, search_decision_tree, slp_train, slp_predict, mlp_train, mlp_predict, gcn_train, gcn_fit_predict,
-        model_roundtrip,
+        boosted_trees, search_decision_tree, search_mlp, slp_train, slp_predict, mlp_train, mlp_predict, gcn_train, gcn_fit_predict,
+        score_graph_batch, model_roundtrip,
     )
 }
 

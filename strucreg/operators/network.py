@@ -168,5 +168,7 @@ def predict(features: Column, shape: Shape, weights: np.ndarray) -> Column:
     return apply(features)
 
 
-def named_weights(shape: Shape, weights: np.ndarray) -> list[tuple[str, np.ndarray]]:
-    return [("kernel" if len(s) == 2 else "bias", w) for s, w in zip(shape.arrays, unpack(weights, shape.arrays))]
+def named_weights(shape, weights: np.ndarray, slots: Sequence[np.ndarray] = ()) -> list[tuple[str, np.ndarray]]:
+    """Kernels and biases in layer order, then the optimizer's slots, as ``save_network`` stores them."""
+    parts = [("kernel" if len(s) == 2 else "bias", w) for s, w in zip(shape.arrays, unpack(weights, shape.arrays))]
+    return [*parts, *[("slot", s) for s in slots]]

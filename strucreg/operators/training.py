@@ -98,6 +98,7 @@ class Fit:
     best_epoch: int
     best_loss: float
     history: list[tuple[int, float, float]] = field(default_factory=list)
+    slots: list[np.ndarray] = field(default_factory=list)  # optimizer state at the end
 
     def history_table(self, spark: SparkSession) -> DataFrame:
         """``(epoch, train_loss, val_loss)``."""
@@ -161,7 +162,7 @@ def run_epochs(
                 loss, seen = loss + more_loss, seen + more_rows
             train_loss = loss / seen
     best = stopping.best_weights if stopping.best_weights is not None else weights
-    return Fit(best, stopping.best_epoch, float(stopping.best_loss), history)
+    return Fit(best, stopping.best_epoch, float(stopping.best_loss), history, slots)
 
 
 def _epoch_task(learn, weights, slots, step, epoch, train):

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from strucreg.functions import arrays
 from strucreg.functions.columns import all_filled
+from strucreg.operators import gcn, graph, scale
 from strucreg.operators.linear import LinearModel
-from strucreg.sources.structures import parse_xyz_text
+from strucreg.sources.structures import first_record, molecule_atoms, molecule_bonds, parse_sdf, split_sdf_text
 
 
 def fold_scaling(
@@ -72,6 +73,54 @@ def score_requests(
     return accepted.select(key, direct.predict(F.col("features")).alias("prediction")), rejected
 
 
-def parse_requests(files: DataFrame) -> DataFrame:
-    """Atoms of uploaded structure files, see ``parse_xyz_text``."""
-    return parse_xyz_text(files)
+def score_graph_requests(
+    requests: DataFrame,
+    key: str,
+    required: Sequence[str],
+    shape: gcn.Shape,
+    weights: np.ndarray,
+    feature_scaler: tuple[Sequence[float], Sequence[float]],
+    target_scaler: Sequence[tuple[float, float]],
+    n_bits: int = 256,
+) -> tuple[DataFrame, DataFrame]:
+    """The same for requests ``(key, numbers..., text)`` that carry an SDF file and a graph network.
+
+    The first usable record counts; a record has at most 999 atoms, so each request is one
+    graph row. A structure with an impossible atom is rejected.
+    """
+    parsed = parse_sdf(split_sdf_text(requests.select(F.col(key).alias("name"), F.coalesce("text", F.lit("")).alias("text"))))
+    molecules = first_record(parsed).persist()
+    atoms, bonds = molecule_atoms(molecules), molecule_bonds(molecules)
+    bad = graph.invalid_structures(atoms, bonds)
+    known = molecules.select("name").join(bad, "name", "left").select(F.col("name").alias(key), F.col("reason").alias("_bad"), F.lit(1).alias("_read"))
+    reason = (
+        F.when(~all_filled(required), "missing value")
+        .when(F.coalesce(F.trim("text"), F.lit("")) == "", "missing structure")
+        .when(F.col("_read").isNull(), "unreadable structure")
+        .otherwise(F.col("_bad"))
+    )
+    judged = requests.join(known, key, "left").withColumn("reason", reason).persist()
+    accepted = judged.filter(F.col("reason").isNull()).select(F.col(key).alias("name"), *required)
+    atoms = atoms.join(accepted.select("name"), "name", "left_semi")
+    bonds = bonds.join(accepted.select("name"), "name", "left_semi")
+    prints = graph.circular_fingerprint(atoms, bonds, n_bits=n_bits)
+    full_atoms, full_bonds = graph.add_hydrogens(atoms, bonds)
+    mean, sd = ([float(x) for x in v] for v in feature_scaler)
+    own = ["atomic_num", "valence", "charge", "aromatic", "mass"]
+    first = len(mean) - len(own)
+    nodes = graph.atom_features(full_atoms, full_bonds).select(
+        "name", "atom_idx",
+        scale.transform_array(F.array(*[F.col(c).cast("double") for c in own]), mean[first:], sd[first:]).alias("features"),
+    )
+    shared = F.concat(F.array(*[F.col(c).cast("double") for c in required]), graph.bit_array(F.col("on_bits"), n_bits))
+    per_graph = accepted.join(prints, "name").select(
+        "name",
+        F.array_repeat(F.lit(0.0), shape.outputs).alias("y"),
+        scale.transform_array(shared, mean[:first], sd[:first]).alias("shared"),
+    )
+    rows = gcn.graph_rows(nodes, graph.symmetric_edges(full_bonds), per_graph, ["name"])
+    low, width = (list(v) for v in zip(*target_scaler))
+    scored = gcn.predict_rows(rows, ["name"], shape, weights).select(
+        F.col("name").alias(key), scale.inverse_array(F.col("prediction"), low, width).alias("prediction")
+    )
+    return scored, judged.filter(F.col("reason").isNotNull()).select(key, "reason")
