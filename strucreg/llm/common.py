@@ -54,6 +54,11 @@ def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 
 
+def packed(docs: DataFrame, **columns: str) -> DataFrame:
+    """The whole row as one column ``row`` beside the named ones, so that no other column's name can clash."""
+    return docs.select(F.struct("*").alias("row"), *[F.col(c).alias(n) for n, c in columns.items()])
+
+
 def in_batches(df: DataFrame, make: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
     """``mapInArrow`` with a function per batch."""
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strucreg.llm.common import SPACE, Tables, text_or_empty
+from strucreg.llm.common import SPACE, Tables, packed, text_or_empty
 
 # Buckets a level's values are sorted in. A name is bucket * 2^32 + place in the bucket.
 BUCKETS = 1 << 20
@@ -122,17 +122,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bl
     """The rows of ``docs`` that stay, with all their columns. Where an id is repeated, its rows are told
     apart by their normalised text, and of equal ones the longest stays."""
     groups = Tables(docs.sparkSession, "kept").keep(exact_groups(docs, id_col, text_col, block_bytes))
-    per_id = groups.groupBy(id_col).agg(F.count(F.lit(1)).alias("_rows"))
-    stay = groups.filter("kept").select(F.col(id_col).alias("_stay"), F.col("text_sha256").alias("_stay_sha"))
-    once = stay.join(per_id.select(F.col(id_col).alias("_i"), "_rows"), F.col("_stay").eqNullSafe(F.col("_i"))).drop("_i")
-    columns = docs.columns
-    single = docs.join(once.filter("_rows = 1"), F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
-    several = once.filter("_rows > 1")
+    per_id = groups.groupBy(F.col(id_col).alias("of")).agg(F.count(F.lit(1)).alias("rows"))
+    stay = groups.filter("kept").select(F.col(id_col).alias("stay"), F.col("text_sha256").alias("sha"))
+    stay = stay.join(per_id, F.col("stay").eqNullSafe(F.col("of"))).select("stay", "sha", "rows")
+    rows = packed(docs, id=id_col)
+    single = rows.join(stay.filter("rows = 1"), F.col("id").eqNullSafe(F.col("stay")), "left_semi").select("row.*")
+    several = stay.filter("rows > 1")
     if several.isEmpty():
         return single
-    sha = F.sha2(F.regexp_replace(text_or_empty(text_col), f"{SPACE}+", ""), 256)
-    rows = docs.withColumns({"_sha_here": sha, "_chars_here": F.length(text_or_empty(text_col))})
-    rows = rows.join(several, F.col(id_col).eqNullSafe(F.col("_stay")) & (F.col("_sha_here") == F.col("_stay_sha")), "left_semi")
-    longest = W.partitionBy(id_col, "_sha_here").orderBy(F.desc("_chars_here"), text_col)
-    rows = rows.withColumn("_first", F.row_number().over(longest)).filter("_first = 1").select(columns)
-    return single.unionByName(rows)
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = rows.select("row", "id", "text", F.sha2(F.regexp_replace("text", f"{SPACE}+", ""), 256).alias("here"))
+    rows = rows.join(several, F.col("id").eqNullSafe(F.col("stay")) & (F.col("here") == F.col("sha")), "left_semi")
+    longest = W.partitionBy("id", "here").orderBy(F.length("text").desc(), "text")
+    return single.unionByName(rows.withColumn("first", F.row_number().over(longest)).filter("first = 1").select("row.*"))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strucreg.llm.common import WORD, Tables
+from strucreg.llm.common import WORD, Tables, packed
 
 MAX_COPIES = 2
 BINS = 1024
@@ -151,6 +151,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """The documents of the mix with all their columns, each as often as it is taken. Repeated ids are taken alike if
     their texts and sources are; otherwise rows of an id take the most copies of any of them."""
     copies = rates(docs, id_col, text_col, source_col, weights, share)
-    copies = copies.groupBy(F.col(id_col).alias("_i")).agg(F.max("copies").cast("int").alias("_copies")).filter("_copies > 0")
-    rows = docs.join(copies, F.col(id_col).eqNullSafe(F.col("_i")))
-    return rows.withColumn("_each", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    copies = copies.groupBy(F.col(id_col).alias("taken")).agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
+    rows = packed(docs, id=id_col).join(copies, F.col("id").eqNullSafe(F.col("taken")))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

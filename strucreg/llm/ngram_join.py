@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strucreg.llm.common import Tables, in_batches
+from strucreg.llm.common import Tables, in_batches, packed
 from strucreg.llm.graph import components
 
 SHINGLE = 5
@@ -246,5 +246,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component with all its columns: the one whose id names the component. Rows that repeat that id stay together;
     rows without id stay unless they are linked to one with."""
-    stay = near_groups(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).eqNullSafe(F.col("_stay")), "left_semi")
+    stay = near_groups(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stay")).distinct()
+    return packed(docs, id=id_col).join(stay, F.col("id").eqNullSafe(F.col("stay")), "left_semi").select("row.*")

@@ -276,22 +276,22 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
 
 def masked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets. Ids must be unique here."""
-    found = spans(docs, id_col, text_col, threshold).select(F.col(id_col).alias("_i"), F.col("all").alias("_spans"))
-    rows = docs.join(found, F.col(id_col).eqNullSafe(F.col("_i")), "left")
-    text = text_or_empty(text_col)
+    found = spans(docs, id_col, text_col, threshold).select(F.col(id_col).alias("of"), F.col("all").alias("spans"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    rows = rows.join(found, F.col("id").eqNullSafe(F.col("of")), "left")
     # overlapping spans of different kinds: what was taken before is not taken again
     piece = F.aggregate(
-        "_spans",
+        "spans",
         F.struct(F.lit("").alias("done"), F.lit(0).cast("bigint").alias("at")),
         lambda a, s: F.when(s["start"] < a["at"], a).otherwise(
             F.struct(
-                F.concat(a["done"], F.substr(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">")).alias("done"), s["end"].alias("at")
+                F.concat(a["done"], F.substr("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit("<"), s["kind"], F.lit(">")).alias("done"), s["end"].alias("at")
             )
         ),
-        lambda a: F.concat(a["done"], F.substr(text, (a["at"] + 1).cast("int"))),
+        lambda a: F.concat(a["done"], F.substr("text", (a["at"] + 1).cast("int"))),
     )
-    changed = F.when(F.size("_spans") > 0, piece).otherwise(F.col(text_col))
-    return rows.select(*[changed.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    changed = F.when(F.size("spans") > 0, piece).otherwise(F.col("row").getField(text_col))
+    return rows.select(F.col("row").withField(text_col, changed).alias("row")).select("row.*")
 
 
 def span_text(column: str) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strucreg.llm.common import SPACE_BYTES, Tables, in_batches
+from strucreg.llm.common import SPACE_BYTES, Tables, in_batches, packed
 
 MIN_WORDS, WINDOW, MAX_REPEATED = 20, 8, 30
 # A document of n words is rejected above the distance a + b / sqrt(n): a histogram of few words strays further by chance.
@@ -193,5 +193,5 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns. Where an id is repeated with different texts, its rows stay if all of them would."""
     rows = quality(docs, id_col, text_col, lang_col)
-    rejected = rows.filter(~F.col("kept")).select(F.col(id_col).alias("_rejected"))
-    return docs.join(rejected, F.col(id_col).eqNullSafe(F.col("_rejected")), "left_anti")
+    rejected = rows.filter(~F.col("kept")).select(F.col(id_col).alias("rejected"))
+    return packed(docs, id=id_col).join(rejected, F.col("id").eqNullSafe(F.col("rejected")), "left_anti").select("row.*")

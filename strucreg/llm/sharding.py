@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strucreg.llm.common import Tables, text_or_empty
+from strucreg.llm.common import Tables, packed, text_or_empty
 
 # Blocks per shard and size class.
 BLOCKS = 256
@@ -147,15 +147,14 @@ def moved_bytes(assigned: DataFrame) -> DataFrame:
     return assigned.filter("old_shard != shard").groupBy("old_shard", "shard").agg(F.sum("size").alias("bytes"))
 
 
-def rewrite(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id") -> list[int]:
-    """Writes the shards whose rows change, as ``path/shard=N``, and returns their numbers; the others' files are not
-    touched. ``docs`` and ``assigned`` are joined by id, which must be unique here."""
+def rewrite(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id", stretch: int = 1_000_000) -> list[int]:
+    """Writes the shards whose rows change, as ``path/shard=N`` with the document in the column ``row``, and returns their numbers; the
+    others' files are not touched. ``docs`` and ``assigned`` are joined by id, which must be unique here."""
     moves = moved_bytes(assigned).select("old_shard", "shard").distinct().collect()  # at most old x new rows
     affected = sorted({n for r in moves for n in r})
-    places = assigned.filter(F.col("shard").isin(affected)).select(F.col(id_col).alias("_i"), "shard", "slot")
-    rows = docs.join(places, F.col(id_col).eqNullSafe(F.col("_i"))).drop("_i")
+    places = assigned.filter(F.col("shard").isin(affected)).select(F.col(id_col).alias("of"), "shard", "slot")
+    rows = packed(docs, id=id_col).join(places, F.col("id").eqNullSafe(F.col("of")))
     # one writer per shard and stretch of slots: a shard's rows are not gathered in one task
-    rows.repartition("shard", F.floor(F.col("slot") / 1_000_000)).sortWithinPartitions("shard", "slot").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("shard").parquet(path)
+    rows = rows.repartition("shard", F.floor(F.col("slot") / stretch)).sortWithinPartitions("shard", "slot").select("shard", "row")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
     return affected

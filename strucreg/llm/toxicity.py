@@ -132,7 +132,7 @@ def choose_features(rows: DataFrame, min_docs: int, max_features: int) -> tuple[
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_train: int = 20_000, min_docs: int = 5, max_features: int = 4096, rounds: int = 30) -> Model:
+          max_train: int = 20_000, min_docs: int = 3, max_features: int = 4096, rounds: int = 30) -> Model:
     """Resilient propagation on the noisy-or likelihood; a round is one job whose tasks return one number per feature."""
     tables = Tables(docs.sparkSession, "toxicity")
     rows = sample(docs, labels, id_col, text_col, label_col, max_train)
