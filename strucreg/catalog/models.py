@@ -29,7 +29,7 @@ def _full(spark, sf_dir) -> tabular.TrainingTable:
     coords = arrays.flatten(b.atoms(spark, sf_dir), ["idx", "name"], None)
     rows = b.observations(spark, sf_dir).drop("name")
     with_features, length = tabular.structure_features(rows, coords, "idx", X)
-    return tabular.training_table(with_features, "name", Y, length=length)
+    return tabular.training_table(with_features, "name", Y, length=length, split_key="idx")
 
 
 def _products(table: tabular.TrainingTable) -> dict:

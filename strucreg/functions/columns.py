@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Names of the twelve energy columns and of the six result quantities.
 FEATURES = [
@@ -42,6 +42,14 @@ PROPERTY_LABELS = [
     "Band Gap (eV)",
 ]
 
+# Fixed value: what counts as a number in text.
+NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity|nan)$"
+# Texts that mean a missing value.
+MISSING = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a",
+    "nan", "null",
+]
+
 _TWO_32 = float(2**32)
 
 
@@ -51,9 +59,13 @@ def nan_to_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def to_numeric(column: str | Column) -> Column:
-    """Unparsable text becomes missing."""
-    c = F.col(column) if isinstance(column, str) else column
-    return c.try_cast("double")
+    """Unparsable text becomes missing. A cast alone would also take type suffixes and hexadecimal forms."""
+    c = F.trim(F.col(column) if isinstance(column, str) else column)
+    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+
+
+def is_missing(column: str) -> Column:
+    return F.col(column).isNull() | F.trim(column).isin(MISSING)
 
 
 def to_long(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str, value: str) -> DataFrame:
@@ -100,11 +112,19 @@ def _sigmoid(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-x))
 
 
-@F.pandas_udf(T.DoubleType())
-def _gelu(values):
-    import math
-
-    return values.map(lambda v: 0.5 * v * (1.0 + math.erf(v / math.sqrt(2.0))), na_action="ignore")
+def _erf(x: Column) -> Column:
+    """Error function: its series near 0, the continued fraction of the complement (forward, 60 terms) beyond 2."""
+    square = x * x
+    series = F.lit(1.0)
+    for n in range(40, 0, -1):  # x e^(-x^2) sum (2 x^2)^n / (1 3 5 ...), all terms positive
+        series = F.lit(1.0) + F.lit(2.0) * square / F.lit(2.0 * n + 1.0) * series
+    near = x * F.exp(-square) * series * (2.0 / math.sqrt(math.pi))
+    size = F.greatest(F.abs(x), F.lit(2.5))
+    fraction = size
+    for n in range(60, 0, -1):
+        fraction = size + F.lit(n / 2.0) / fraction
+    far = F.signum(x) * (F.lit(1.0) - F.exp(-square) / fraction / math.sqrt(math.pi))
+    return F.when(F.abs(x) < 2.5, near).otherwise(far)
 
 
 def activation(name: str, x: Column, leaky_slope: float = 0.2) -> Column:
@@ -124,7 +144,7 @@ def activation(name: str, x: Column, leaky_slope: float = 0.2) -> Column:
     if name == "mish":
         return x * F.tanh(_softplus(x))
     if name == "gelu":
-        return _gelu(x)
+        return F.lit(0.5) * x * (F.lit(1.0) + _erf(x / math.sqrt(2.0)))
     if name == "linear":
         return x
     raise ValueError(f"unknown activation: {name}")

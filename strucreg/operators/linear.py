@@ -56,6 +56,7 @@ class CrossProducts:
 class LinearModel:
     coef: np.ndarray  # features x targets
     intercept: np.ndarray
+    converged: bool = True
 
     def predict(self, features: Column) -> Column:
         """Array of predictions from an array of features."""
@@ -121,9 +122,9 @@ def cross_products(
     return {k: CrossProducts(v.reshape(width, width), len(targets)) for k, v in sorted(totals.items())}
 
 
-def _model(products: CrossProducts, coef: np.ndarray) -> LinearModel:
+def _model(products: CrossProducts, coef: np.ndarray, converged: bool = True) -> LinearModel:
     mean_x, mean_y, _, _ = products.centered()
-    return LinearModel(coef, mean_y - mean_x @ coef)
+    return LinearModel(coef, mean_y - mean_x @ coef, converged)
 
 
 def ols(products: CrossProducts) -> LinearModel:
@@ -141,12 +142,16 @@ def ridge(products: CrossProducts, alpha: float) -> LinearModel:
 def elastic_net(
     products: CrossProducts, alpha: float, l1_ratio: float, max_iter: int = 100_000, tol: float = 1e-10
 ) -> LinearModel:
-    """Minimises half the mean squared error plus ``alpha`` times the mixed penalty, by cyclic descent."""
+    """Minimises half the mean squared error plus ``alpha`` times the mixed penalty, by cyclic descent.
+
+    The model says whether the last sweep changed no weight by more than ``tol``.
+    """
     _, _, xx, xy = products.centered()
     xx, xy = xx / products.n, xy / products.n
     l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
     w = np.zeros_like(xy)
     diagonal = np.diag(xx)
+    converged = False
     for _ in range(max_iter):
         change = 0.0
         for j in np.flatnonzero(diagonal > 1e-14):
@@ -155,8 +160,9 @@ def elastic_net(
             change = max(change, float(np.max(np.abs(new - w[j]))))
             w[j] = new
         if change < tol:
+            converged = True
             break
-    return _model(products, w)
+    return _model(products, w, converged)
 
 
 def lasso(products: CrossProducts, alpha: float, **options) -> LinearModel:
@@ -167,10 +173,8 @@ def lasso(products: CrossProducts, alpha: float, **options) -> LinearModel:
 FAMILIES = {
     "ols": lambda products, params: ols(products),
     "ridge": lambda products, params: ridge(products, params["alpha"]),
-    "lasso": lambda products, params: lasso(products, params["alpha"], max_iter=2000, tol=1e-6),
-    "elastic_net": lambda products, params: elastic_net(
-        products, params["alpha"], params["l1_ratio"], max_iter=2000, tol=1e-4
-    ),
+    "lasso": lambda products, params: lasso(products, params["alpha"], tol=1e-6),
+    "elastic_net": lambda products, params: elastic_net(products, params["alpha"], params["l1_ratio"], tol=1e-6),
 }
 
 

@@ -48,74 +48,18 @@ def _adamw_graph(w, g, s, t, lr, decay):
     return _adam_graph(w * (1 - lr * decay), g, s, t, lr, 0.0)
 
 
-def _nadam_graph(w, g, s, t, lr, decay):
-    g = g + decay * w
-    m, v = _moments(g, s)
-    now = 0.9 * (1 - 0.5 * 0.96 ** (t * 0.004))
-    after = 0.9 * (1 - 0.5 * 0.96 ** ((t + 1) * 0.004))
-    product = s[2] * now
-    denominator = np.sqrt(v / (1 - 0.999**t)) + 1e-8
-    step = (1 - now) / (1 - product) * g + after / (1 - product * after) * m
-    return w - lr * step / denominator, [m, v, product]
-
-
-def _radam_graph(w, g, s, t, lr, decay):
-    g = g + decay * w
-    m, v = _moments(g, s)
-    limit = 2 / 0.001 - 1
-    rho = limit - 2 * t * 0.999**t / (1 - 0.999**t)
-    mean = m / (1 - 0.9**t)
-    if rho <= 5:
-        return w - lr * mean, [m, v]
-    r = np.sqrt((rho - 4) * (rho - 2) * limit / ((limit - 4) * (limit - 2) * rho))
-    return w - lr * mean * r * np.sqrt(1 - 0.999**t) / (np.sqrt(v) + 1e-8), [m, v]
-
-
-def _adagrad(w, g, s, t, lr, decay):
-    total = s[0] + g * g
-    return w - lr * g / np.sqrt(total + 1e-7), [total]
-
-
-def _adadelta(w, g, s, t, lr, decay):
-    a = 0.95 * s[0] + 0.05 * g * g
-    delta = -np.sqrt(s[1] + 1e-7) * g / np.sqrt(a + 1e-7)
-    return w + lr * delta, [a, 0.95 * s[1] + 0.05 * delta * delta]
-
-
-def _adamax(w, g, s, t, lr, decay):
-    m, u = 0.9 * s[0] + 0.1 * g, np.maximum(0.999 * s[1], np.abs(g))
-    return w - lr * m / ((1 - 0.9**t) * (u + 1e-7)), [m, u]
-
-
-def _lion(w, g, s, t, lr, decay):
-    return w - lr * np.sign(0.9 * s[0] + 0.1 * g), [0.99 * s[0] + 0.01 * g]
-
-
-def _ftrl(w, g, s, t, lr, decay):
-    total = s[0] + g * g
-    linear = s[1] + g - (np.sqrt(total) - np.sqrt(s[0])) / lr * w
-    return -linear * lr / np.sqrt(total), [total, linear]
-
-
 # Start values of the slots, then the rule: for the dense networks and for the graph network.
 DENSE = {
     "SGD": ((), _sgd),
     "RMSprop": ((0.0,), _rmsprop_dense),
     "Adam": ((0.0, 0.0), _adam_dense),
     "AdamW": ((0.0, 0.0), _adamw_dense),
-    "Adagrad": ((0.1,), _adagrad),
-    "Adadelta": ((0.0, 0.0), _adadelta),
-    "Adamax": ((0.0, 0.0), _adamax),
-    "Lion": ((0.0,), _lion),
-    "Ftrl": ((0.1, 0.0), _ftrl),
 }
 GRAPH = {
     "SGD": ((), _sgd),
     "RMSprop": ((0.0,), _rmsprop_graph),
     "Adam": ((0.0, 0.0), _adam_graph),
     "AdamW": ((0.0, 0.0), _adamw_graph),
-    "NAdam": ((0.0, 0.0, 1.0), _nadam_graph),
-    "RAdam": ((0.0, 0.0), _radam_graph),
 }
 
 

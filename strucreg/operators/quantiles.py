@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BUFFERED_ROWS = 2_000_000
@@ -27,10 +27,15 @@ def exact_quantiles(
 ) -> dict[str, list[float | None]]:
     """Quantiles per column, missing values skipped; an all-missing column gives None."""
     columns = list(columns)
+    # NaN is a missing value here, as everywhere after loading
+    df = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in columns])
+    finite = {c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in columns}
     row = df.agg(
         *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.min(c).alias(f"lo{i}") for i, c in enumerate(columns)],
-        *[F.max(c).alias(f"hi{i}") for i, c in enumerate(columns)],
+        *[F.count_if(F.col(c) == float("-inf")).alias(f"low{i}") for i, c in enumerate(columns)],
+        *[F.count(finite[c]).alias(f"mid{i}") for i, c in enumerate(columns)],
+        *[F.min(finite[c]).alias(f"lo{i}") for i, c in enumerate(columns)],
+        *[F.max(finite[c]).alias(f"hi{i}") for i, c in enumerate(columns)],
     ).first()
     counts = {c: row[f"n{i}"] for i, c in enumerate(columns)}
     if max(counts.values()) <= buffered_rows:
@@ -38,13 +43,23 @@ def exact_quantiles(
         got = df.agg(*[F.percentile(c, wanted).alias(f"q{i}") for i, c in enumerate(columns)]).first()
         return {c: list(got[f"q{i}"] or [None] * len(probabilities)) for i, c in enumerate(columns)}
 
-    ranges = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns) if counts[c]}
+    ranges = {c: (row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(columns) if row[f"mid{i}"]}
     ranks: set[tuple[str, int]] = set()
-    for c in ranges:
-        for p in probabilities:
+    values: dict[tuple[str, int], float] = {}
+    for i, c in enumerate(columns):
+        for p in probabilities if counts[c] else ():
             h = (counts[c] - 1) * p
-            ranks |= {(c, math.floor(h)), (c, math.ceil(h))}
-    values = _values_at_ranks(df, ranks, ranges, buckets)
+            for rank in (math.floor(h), math.ceil(h)):
+                # infinities stand at both ends; only the finite values between are searched
+                if rank < row[f"low{i}"]:
+                    values[c, rank] = float("-inf")
+                elif rank >= row[f"low{i}"] + row[f"mid{i}"]:
+                    values[c, rank] = float("inf")
+                else:
+                    ranks.add((c, rank - row[f"low{i}"]))
+    found = _values_at_ranks(df.select(*[finite[c].alias(c) for c in columns]), ranks, ranges, buckets)
+    for i, c in enumerate(columns):
+        values.update({(c, r + row[f"low{i}"]): v for (name, r), v in found.items() if name == c})
 
     result: dict[str, list[float | None]] = {}
     for c in columns:
@@ -55,18 +70,42 @@ def exact_quantiles(
         for p in probabilities:
             h = (counts[c] - 1) * p
             low, high = math.floor(h), math.ceil(h)
+            a, b = values[c, low], values[c, high]
             # written like the built-in aggregate, so that both ways agree to the last bit
-            between = (high - h) * values[c, low] + (h - low) * values[c, high]
-            out.append(values[c, low] if low == high else between)
+            out.append(a if low == high or a == b else (high - h) * a + (h - low) * b)
         result[c] = out
     return result
 
 
+def _spread(v: Column) -> Column:
+    """Non-decreasing in v, with equal room for every power of e on both sides of 0."""
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * (F.log(F.abs(v)) + 746.0))
+
+
+def _place(v: float) -> float:
+    return 0.0 if v == 0 else math.copysign(math.log(abs(v)) + 746.0, v)
+
+
+def _interval(number: int, column: str, low: float, high: float) -> tuple:
+    """How the values of an interval are laid out on buckets. Wide ones by logarithm; narrow ones linearly, both ends scaled to about 1
+    by two powers of two, so that nothing overflows or vanishes. Each pass makes the range at least hundreds of times narrower: two passes by
+    logarithm and six linear ones are enough for any two doubles."""
+    a, b = _place(low), _place(high)
+    if b - a > 1:
+        return number, column, low, high, True, 1.0, 1.0, a, b - a
+    exponent = -math.frexp(max(abs(low), abs(high)))[1]
+    first, second = 2.0 ** (exponent // 2), 2.0 ** (exponent - exponent // 2)
+    a, b = low * first * second, high * first * second
+    return number, column, low, high, False, first, second, a, b - a
+
+
 def _values_at_ranks(df, ranks, ranges, buckets) -> dict[tuple[str, int], float]:
-    """Value of the row at each (column, 0-based rank) in sort order."""
+    """Value of the row at each (column, 0-based rank) in sort order; all values are finite."""
     solved: dict[tuple[str, int], float] = {}
     # rank -> (smallest value, largest value, rows below) of the interval that holds it
     open_ranks = {(c, r): (*ranges[c], 0) for c, r in ranks}
+    if not open_ranks:
+        return solved
     long = df.unpivot([], sorted(ranges), "column", "value").filter(F.col("value").isNotNull())
     while True:
         for key, (low, high, _) in list(open_ranks.items()):
@@ -79,15 +118,16 @@ def _values_at_ranks(df, ranks, ranges, buckets) -> dict[tuple[str, int], float]
         # a few intervals per column: bounded by the number of requested quantiles
         table = F.broadcast(
             df.sparkSession.createDataFrame(
-                [(i, c, float(lo), float(hi)) for i, (c, lo, hi, _) in enumerate(intervals)],
-                "interval int, column string, lo double, hi double",
+                [_interval(i, c, float(lo), float(hi)) for i, (c, lo, hi, _) in enumerate(intervals)],
+                "interval int, column string, lo double, hi double, by_log boolean, first double, second double, base double, width double",
             )
         )
-        position = (F.col("value") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * buckets
+        value = F.when(F.col("by_log"), _spread(F.col("value"))).otherwise(F.col("value") * F.col("first") * F.col("second"))
+        position = (value - F.col("base")) / F.col("width") * buckets
         counted = (
             long.join(table, "column")
             .filter(F.col("value").between(F.col("lo"), F.col("hi")))
-            .groupBy("interval", F.least(F.floor(position), F.lit(buckets - 1)).alias("bucket"))
+            .groupBy("interval", F.greatest(F.lit(0), F.least(F.floor(position), F.lit(buckets - 1))).alias("bucket"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
             .collect()
         )

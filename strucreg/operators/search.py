@@ -22,7 +22,7 @@ _TREE = {
     "max_features": ("choice", "sqrt", "log2", "0.5", "0.8", "1.0"),
 }
 _DENSE = {
-    "optimizer": ("choice", "Ftrl", "Adadelta", "Lion", "Adamax", "Adam", "SGD", "RMSprop", "Adagrad", "AdamW"),
+    "optimizer": ("choice", "Adam", "SGD", "RMSprop", "AdamW"),
     "activation": ("choice", "relu", "sigmoid", "tanh", "leaky_relu", "elu", "gelu", "silu", "mish"),
     "learning_rate": ("log_float", 1e-5, 1e-2),
     "units": ("log_int", 5, 200),
@@ -51,7 +51,7 @@ SPACES: dict[str, dict[str, tuple]] = {
         "learning_rate": ("log_float", 1e-5, 1e-2),
         "weight_decay": ("log_float", 1e-8, 1e-2),
         "dropout": ("float", 0.1, 0.5),
-        "optimizer": ("choice", "Adam", "SGD", "RMSprop", "NAdam", "RAdam", "AdamW"),
+        "optimizer": ("choice", "Adam", "SGD", "RMSprop", "AdamW"),
         "activation": ("choice", "relu", "sigmoid", "tanh", "leaky_relu"),
     },
 }
@@ -87,31 +87,67 @@ def random_trials(spark: SparkSession, model: str, n_trials: int, seed: int = 42
     return [r.asDict() for r in table.orderBy("trial").collect()]
 
 
+SCHEMA = "trial long, value double, params map<string,string>, state string"
+
+
 def trial_log(spark: SparkSession, results: list[tuple[int, float, Mapping]]) -> DataFrame:
-    """``(trial, value, params)``: one row per trial made."""
-    rows = [(int(t), float(v), {k: str(p) for k, p in params.items()}) for t, v, params in results]
-    return spark.createDataFrame(rows, "trial long, value double, params map<string,string>")
+    """``(trial, value, params, state)``: one row per trial made; a trial without a finite value has failed."""
+    rows = [(int(t), float(v), {k: str(p) for k, p in params.items()}, _state(v)) for t, v, params in results]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def _state(value: float) -> str:
+    return "complete" if np.isfinite(value) else "failed"
 
 
 def best_trial(trials: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Lowest value, the earlier trial where values are equal."""
-    order = F.struct("value", "trial")
+    """Lowest value, the earlier trial where values are equal. Missing, infinite and NaN values come after all others."""
+    value = F.col("value").cast("double")
+    finite = F.coalesce(F.abs(value) < float("inf"), F.lit(False))
+    order = F.struct((~finite).alias("unusable"), "value", "trial")
     return trials.groupBy(*(keys or [])).agg(
-        F.min_by("trial", order).alias("trial"), F.min("value").alias("value"), F.min_by("params", order).alias("params")
+        F.min_by("trial", order).alias("trial"), F.min_by("value", order).alias("value"), F.min_by("params", order).alias("params")
     )
 
 
+def winner(log: DataFrame):
+    """The best trial's row; there must be one with a finite value."""
+    row = best_trial(log).first()
+    if row is None or row["value"] is None or not np.isfinite(row["value"]):
+        raise ValueError("no trial has a finite value")
+    return row
+
+
+# What is sent to every task: the cross products of the folds, features squared each.
+MAX_SENT_BYTES = 256 << 20
+
+
 def search_linear(
     spark: SparkSession, products: dict[int, linear.CrossProducts], family: str, n_trials: int, seed: int = 42
 ) -> tuple[DataFrame, dict, linear.LinearModel]:
-    """All trials solved from the fold cross products; returns log, best parameters and the refit."""
-    results = []
-    for params in random_trials(spark, family, n_trials, seed):
-        number = params.pop("trial")
-        results.append((number, float(np.mean(linear.fold_errors(products, family, params))), params))
-    best = min(results, key=lambda r: (r[1], r[0]))
+    """Trials are rows, solved in the tasks from the fold cross products; returns log, best parameters and the refit."""
+    sent = sum(p.total.nbytes for p in products.values())
+    if sent > MAX_SENT_BYTES:
+        raise ValueError(f"the cross products of this many features take {sent} bytes")
+    trials = trial_table(spark.range(n_trials).withColumnRenamed("id", "trial"), SPACES[family], seed)
+
+    def solve(frames):
+        import pandas as pd
+
+        for frame in frames:
+            rows = []
+            for params in frame.to_dict("records"):
+                trial = int(params.pop("trial"))
+                value = float(np.mean(linear.fold_errors(products, family, params)))
+                rows.append((trial, value, {k: str(v) for k, v in params.items()}, _state(value)))
+            yield pd.DataFrame(rows, columns=["trial", "value", "params", "state"])
+
+    # a few trials per task; one of them takes from milliseconds to minutes
+    spread = trials.repartition(max(1, min(n_trials // 4, 200)), "trial")
+    log = spark.createDataFrame(spread.mapInPandas(solve, SCHEMA).orderBy("trial").collect(), SCHEMA)  # n_trials rows
+    best = {k: float(v) for k, v in winner(log)["params"].items()}
     everything = sum(list(products.values())[1:], next(iter(products.values())))
-    return trial_log(spark, results), best[2], linear.FAMILIES[family](everything, best[2])
+    return log, best, linear.FAMILIES[family](everything, best)
 
 
 def search(
@@ -126,12 +162,13 @@ def search(
     """``objective(params, fold)`` is a Spark fit and score; trials run a few at a time.
 
     Each (trial, fold) is one set of Spark jobs over the whole training table, so a large
-    cluster is filled by each of them; the pool only overlaps their driver-side gaps.
+    cluster is filled by each of them; the pool only overlaps their driver-side gaps. Diverging trials
+    are logged as failed.
     """
     trials = random_trials(spark, model, n_trials, seed)
     numbers = [t.pop("trial") for t in trials]
     with ThreadPoolExecutor(parallel) as pool:
         jobs = [[pool.submit(objective, t, k) for k in range(folds)] for t in trials]
         results = [(n, float(np.mean([j.result() for j in per])), t) for n, t, per in zip(numbers, trials, jobs)]
-    best = min(results, key=lambda r: (r[1], r[0]))
-    return trial_log(spark, results), best[2]
+    log = trial_log(spark, results)
+    return log, dict(zip(numbers, trials))[winner(log)["trial"]]

@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strucreg.functions import arrays
-from strucreg.functions.columns import all_filled
+from strucreg.functions.columns import all_filled, to_numeric
 from strucreg.operators import gcn, graph, scale
 from strucreg.operators.linear import LinearModel
-from strucreg.sources.structures import first_record, molecule_atoms, molecule_bonds, parse_sdf, split_sdf_text
+from strucreg.sources.structures import LINE_END, first_record, molecule_atoms, molecule_bonds, parse_sdf, split_sdf_text
 
 
 def fold_scaling(
@@ -32,14 +32,14 @@ def request_features(
 
     The structure is parsed inside its row (a request carries one file), nothing is shuffled.
     """
-    lines = F.split("text", r"\r?\n")
+    lines = F.split("text", LINE_END)
     tokens = F.transform(
         F.slice(lines, F.lit(3), F.size(lines)), lambda s: F.split(F.trim(F.regexp_replace(s, r"\s+", " ")), " ")
     )
     numbers = F.flatten(
         F.transform(
             F.filter(tokens, lambda t: F.size(t) == 4),
-            lambda t: F.transform(F.slice(t, 2, 3), lambda v: v.try_cast("double")),
+            lambda t: F.transform(F.slice(t, 2, 3), to_numeric),
         )
     )
     # a generator keeps the parse from being repeated per reference

@@ -22,6 +22,7 @@ class TrainingTable:
     feature_scaler: tuple[list[float], list[float]]
     target_scaler: dict[str, tuple[float, float]]
     length: int
+    rejected: DataFrame  # key and reason of the rows left out
 
     @property
     def train(self) -> DataFrame:
@@ -56,34 +57,57 @@ class TrainingTable:
 def structure_features(
     rows: DataFrame, coordinates: DataFrame, key: str, features: Sequence[str], length: int | None = None
 ) -> tuple[DataFrame, int]:
-    """Adds ``features``: the scalar values followed by the zero-padded ``coords`` of ``coordinates``.
+    """Adds ``features``, the scalar values followed by the zero-padded ``coords`` of ``coordinates``, and ``reason``.
 
-    ``length`` is the padded length; by default the longest structure decides. With a given
-    length, rows with a longer structure get NULL features, which training leaves out.
+    ``length`` is the padded length; by default the longest structure decides. Rows without a structure, or with one
+    longer than a given length, stay with NULL features and the reason; training reports them.
     """
     if length is None:
-        coordinates = coordinates.persist()
         length = int(coordinates.agg(F.max(F.size("coords")).alias("m")).first()["m"] or 0)
     scalars = F.array(*[F.col(f).cast("double") for f in features])
-    joined = rows.join(coordinates, key).withColumn("features", F.concat(scalars, arrays.pad(F.col("coords"), length)))
+    reason = F.when(F.col("coords").isNull(), "missing structure").when(F.size("coords") > length, "structure too long")
+    joined = rows.join(coordinates, key, "left").withColumns(
+        {"features": F.concat(scalars, arrays.pad(F.col("coords"), length)), "reason": reason}
+    )
     return joined.drop("coords"), length
 
 
+def _finite(value):
+    return F.coalesce(F.abs(value.cast("double")) < float("inf"), F.lit(False))
+
+
+def judged(rows: DataFrame, targets: Sequence[str], features: str = "features") -> DataFrame:
+    """Adds ``reason``, NULL for rows that can be trained on. One NaN would spoil the mean and scale of its column for all rows."""
+    bad_target = ~_finite(F.col(targets[0]))
+    for t in targets[1:]:
+        bad_target = bad_target | ~_finite(F.col(t))
+    known = F.col("reason") if "reason" in rows.columns else F.lit(None).cast("string")
+    return rows.withColumn(
+        "reason",
+        F.when(known.isNotNull(), known)
+        .when(F.col(features).isNull() | F.exists(features, lambda v: ~_finite(v)), "missing or infinite feature")
+        .when(bad_target, "missing or infinite target"),
+    )
+
+
 def training_table(
-    rows: DataFrame, key: str, targets: Sequence[str], features: str = "features", folds: int = 3, length: int = 0
+    rows: DataFrame,
+    key: str,
+    targets: Sequence[str],
+    features: str = "features",
+    folds: int = 3,
+    length: int = 0,
+    split_key: str | None = None,
 ) -> TrainingTable:
-    """Splits by key, fits both scalers on the training rows, returns the scaled and persisted table.
-
-    Rows with a missing target or feature are left out before fitting.
-    """
+    """Splits by ``split_key`` (the key unless rows share their targets with others of that key), fits both scalers on the training
+    rows, returns the scaled and persisted table and the rows left out."""
     targets = list(targets)
-    complete = F.coalesce(F.forall(features, lambda v: v.isNotNull()), F.lit(False))
-    for t in targets:
-        complete = complete & F.col(t).isNotNull()
-    parts = rows.filter(complete).select(
+    all_rows = judged(rows, targets, features)
+    by = F.col(split_key or key)
+    parts = all_rows.filter(F.col("reason").isNull()).select(
         key,
-        split.holdout(F.col(key)).alias("split"),
-        split.kfold(F.col(key), folds).alias("fold"),
+        split.holdout(by).alias("split"),
+        split.kfold(by, folds).alias("fold"),
         F.col(features).alias("features"),
         *targets,
     ).persist()
@@ -95,4 +119,5 @@ def training_table(
     ).persist()
     scaled.count()
     parts.unpersist()
-    return TrainingTable(scaled, key, targets, (mean, sd), y_params, length)
+    rejected = all_rows.filter(F.col("reason").isNotNull()).select(key, "reason")
+    return TrainingTable(scaled, key, targets, (mean, sd), y_params, length, rejected)

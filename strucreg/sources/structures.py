@@ -10,16 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strucreg.functions.columns import to_numeric
 from strucreg.operators.numbering import number_in_blocks
 
 WHOLE_FILE_BYTES = 32 * 1024 * 1024
 
-# Fixed value: what counts as a number in a coordinate token.
-NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?(?i:inf|infinity|nan)$"
+LINE_END = r"\r\n|\r|\n"
+# Charge of the codes in an atom line.
+CHARGE_OF_CODE = {1: 3, 2: 2, 3: 1, 5: -1, 6: -2, 7: -3}
 
 
 def _stem(suffix: str) -> Column:
-    return F.regexp_replace(F.regexp_replace("_metadata.file_name", "%20", " "), rf"\.{suffix}$", "")
+    """The file name without suffix; it comes percent-encoded, and a plus sign is itself."""
+    name = F.url_decode(F.regexp_replace("_metadata.file_name", r"\+", "%2B"))
+    return F.regexp_replace(name, rf"\.{suffix}$", "")
 
 
 def _whole_files(spark: SparkSession, path: str, suffix: str, limit: int) -> DataFrame:
@@ -27,8 +31,9 @@ def _whole_files(spark: SparkSession, path: str, suffix: str, limit: int) -> Dat
     return files.filter(F.col("_metadata.file_size") <= limit).select(_stem(suffix).alias("name"), F.col("value").alias("text"))
 
 
-def _split_files(spark: SparkSession, path: str, suffix: str, limit: int, line_sep: str | None) -> DataFrame:
-    """Pieces of the large files with the two numbers that give their order in the file."""
+def _split_files(spark: SparkSession, path: str, suffix: str, limit: int, line_sep: str) -> DataFrame:
+    """Pieces of the large files with the numbers that give their order in the file. Files are cut at one separator only, as
+    a reader of several would also split between the two characters of one line end."""
     files = spark.read.option("pathGlobFilter", f"*.{suffix}").text(path, lineSep=line_sep)
     return files.filter(F.col("_metadata.file_size") > limit).select(
         _stem(suffix).alias("name"),
@@ -45,12 +50,8 @@ def _tokens(line: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(line, r"\s+", " ")), " ")
 
 
-def _number(token: Column) -> Column:
-    return F.when(token.rlike(NUMBER), token.try_cast("double"))
-
-
 def _atom_columns() -> list[Column]:
-    x, y, z = (_number(F.col("t")[i]) for i in (1, 2, 3))
+    x, y, z = (to_numeric(F.col("t")[i]) for i in (1, 2, 3))
     return [
         F.col("t")[0].alias("symbol"),
         x.alias("x"),
@@ -66,7 +67,7 @@ def parse_xyz_text(files: DataFrame) -> DataFrame:
     Two header lines are skipped and only lines of four tokens count; a token that is
     no number leaves its line in place with ``valid`` false.
     """
-    lines = F.split("text", r"\r?\n")
+    lines = F.split("text", LINE_END)
     lines = F.slice(lines, F.lit(3), F.size(lines))
     rows = F.filter(F.transform(lines, _tokens), lambda t: F.size(t) == 4)
     return files.select("name", F.posexplode(rows).alias("atom_idx", "t")).select(
@@ -75,16 +76,21 @@ def parse_xyz_text(files: DataFrame) -> DataFrame:
 
 
 def parse_xyz_lines(pieces: DataFrame) -> DataFrame:
-    """The same for ``(name, block, piece, text)`` lines of files too large for one row."""
-    numbered = number_in_blocks(pieces, ["name"], "block", ["piece"], "line_no")
+    """The same for ``(name, block, piece, text)`` pieces, cut at line feeds, of files too large for one row.
+
+    A piece is a line, or several where the file ends lines by a carriage return.
+    """
+    text = F.regexp_replace("text", r"\r$", "")
+    lines = pieces.select("name", "block", "piece", F.posexplode(F.split(text, r"\r")).alias("nth", "text"))
+    numbered = number_in_blocks(lines, ["name"], "block", ["piece", "nth"], "line_no")
     atoms = numbered.filter(F.col("line_no") >= 2).withColumn("t", _tokens(F.col("text"))).filter(F.size("t") == 4)
-    numbered = number_in_blocks(atoms, ["name"], "block", ["piece"], "atom_idx")
+    numbered = number_in_blocks(atoms, ["name"], "block", ["piece", "nth"], "atom_idx")
     return numbered.select("name", "atom_idx", *_atom_columns())
 
 
 def read_xyz(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     small = parse_xyz_text(_whole_files(spark, path, "xyz", whole_file_bytes))
-    large = parse_xyz_lines(_split_files(spark, path, "xyz", whole_file_bytes, None))
+    large = parse_xyz_lines(_split_files(spark, path, "xyz", whole_file_bytes, "\n"))
     return small.unionByName(large)
 
 
@@ -99,7 +105,7 @@ def quarantine_structures(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def split_sdf_text(files: DataFrame) -> DataFrame:
     """``(name, text)`` to ``(name, record_no, record)``, blank records dropped."""
-    records = F.posexplode(F.split("text", r"\$\$\$\$[ \t]*\r?\n?")).alias("record_no", "record")
+    records = F.posexplode(F.split("text", r"\$\$\$\$[ \t]*(?:\r\n|\r|\n)?")).alias("record_no", "record")
     return files.select("name", records).filter(F.trim(F.regexp_replace("record", r"\s+", " ")) != "")
 
 
@@ -108,7 +114,7 @@ def read_sdf_records(spark: SparkSession, path: str, whole_file_bytes: int = WHO
     pieces = _split_files(spark, path, "sdf", whole_file_bytes, "$$$$")
     numbered = number_in_blocks(pieces, ["name"], "block", ["piece"], "record_no")
     # every piece but the first starts with the line end of its separator
-    record = F.when(F.col("record_no") == 0, F.col("text")).otherwise(F.regexp_replace("text", r"^[ \t]*\r?\n", ""))
+    record = F.when(F.col("record_no") == 0, F.col("text")).otherwise(F.regexp_replace("text", r"^[ \t]*(?:\r\n|\r|\n)", ""))
     large = numbered.select("name", "record_no", record.alias("record")).filter(
         F.trim(F.regexp_replace("record", r"\s+", " ")) != ""
     )
@@ -120,7 +126,7 @@ def _int(line: Column, start: int, length: int) -> Column:
 
 
 def _coordinate(line: Column, start: int) -> Column:
-    return _number(F.trim(F.substring(line, start, 10)))
+    return to_numeric(F.substring(line, start, 10))
 
 
 def parse_sdf(records: DataFrame) -> DataFrame:
@@ -128,14 +134,14 @@ def parse_sdf(records: DataFrame) -> DataFrame:
 
     The counts have three digits, so a record holds at most 999 atoms and 999 bonds.
     """
-    lines = records.withColumn("lines", F.split("record", r"\r?\n")).withColumn("counts", F.get("lines", F.lit(3)))
+    lines = records.withColumn("lines", F.split("record", LINE_END)).withColumn("counts", F.get("lines", F.lit(3)))
     sized = lines.withColumns({"n_atoms": _int(F.col("counts"), 1, 3), "n_bonds": _int(F.col("counts"), 4, 3)})
     n_atoms = F.greatest(F.coalesce("n_atoms", F.lit(0)), F.lit(0))
     n_bonds = F.greatest(F.coalesce("n_bonds", F.lit(0)), F.lit(0))
     charge_pairs = F.flatten(
         F.transform(
             F.filter("lines", lambda s: s.startswith("M  CHG")),
-            lambda s: _charges(F.split(F.trim(F.regexp_replace(F.substring(s, 10, 1000), r"\s+", " ")), " ")),
+            lambda s: _charges(F.split(F.trim(F.regexp_replace(F.substr(s, F.lit(10)), r"\s+", " ")), " ")),
         )
     )
     fields = [
@@ -148,6 +154,7 @@ def parse_sdf(records: DataFrame) -> DataFrame:
                 _coordinate(s, 1).alias("x"),
                 _coordinate(s, 11).alias("y"),
                 _coordinate(s, 21).alias("z"),
+                _int(s, 37, 3).alias("charge_code"),
             ),
         ).alias("atoms"),
         F.transform(
@@ -159,20 +166,22 @@ def parse_sdf(records: DataFrame) -> DataFrame:
         charge_pairs.alias("charges"),
     ]
     # a generator keeps later filters from repeating the parse once per reference
-    parsed = sized.select("name", "record_no", F.inline(F.array(F.struct(*fields))))
+    extended = F.col("counts").rlike(r"\bV3000\b").alias("extended")
+    parsed = sized.select("name", "record_no", F.inline(F.array(F.struct(*fields, extended))))
     bad_atom = F.exists("atoms", lambda a: a.x.isNull() | a.y.isNull() | a.z.isNull() | (a.symbol == ""))
     bad_bond = F.exists("bonds", lambda b: b.begin.isNull() | b.end.isNull() | b.order.isNull())
     loose_bond = F.exists(
         "bonds", lambda b: (b.begin < 0) | (b.end < 0) | (b.begin >= F.col("n_atoms")) | (b.end >= F.col("n_atoms"))
     )
     reason = (
-        F.when(F.col("n_atoms").isNull() | F.col("n_bonds").isNull(), "unreadable counts")
+        F.when(F.col("extended"), "extended format")
+        .when(F.col("n_atoms").isNull() | F.col("n_bonds").isNull(), "unreadable counts")
         .when((F.size("atoms") < F.col("n_atoms")) | (F.size("bonds") < F.col("n_bonds")), "truncated")
         .when(bad_atom, "unreadable atom")
         .when(bad_bond, "unreadable bond")
         .when(loose_bond, "bond to a missing atom")
     )
-    return parsed.withColumn("reason", reason)
+    return parsed.withColumn("reason", reason).drop("extended")
 
 
 def _charges(tokens: Column) -> Column:
@@ -198,10 +207,14 @@ def first_record(parsed: DataFrame, keep: str = "first") -> DataFrame:
 
 
 def molecule_atoms(molecules: DataFrame, keys: tuple[str, ...] = ("name",)) -> DataFrame:
-    """``(keys, atom_idx, symbol, x, y, z, charge)``."""
-    charge = F.aggregate(
+    """``(keys, atom_idx, symbol, x, y, z, charge)``. Charge lines, where there are any, replace the codes of all atom lines."""
+    listed = F.aggregate(
         F.filter("charges", lambda c: c.atom_idx == F.col("atom_idx")), F.lit(0), lambda total, c: c.charge
     )
+    coded = F.lit(0)
+    for code, value in CHARGE_OF_CODE.items():
+        coded = F.when(F.col("a.charge_code") == code, value).otherwise(coded)
+    charge = F.when(F.size("charges") > 0, listed).otherwise(coded)
     return molecules.select(*keys, "charges", F.posexplode("atoms").alias("atom_idx", "a")).select(
         *keys, F.col("atom_idx").cast("bigint"), "a.symbol", "a.x", "a.y", "a.z", charge.alias("charge")
     )

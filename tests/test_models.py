@@ -86,10 +86,29 @@ def test_search_prefers_the_lowest_then_the_earliest(spark, regression):
     rows = log.collect()
     lowest = min(rows, key=lambda r: (r["value"], r["trial"]))
     assert float(lowest["params"]["alpha"]) == best["alpha"] and len(rows) == 25
-    tied = spark.createDataFrame([(3, 1.0, {"a": "x"}), (1, 1.0, {"a": "y"}), (0, 2.0, {"a": "z"})], log.schema)
+    tied = search.trial_log(spark, [(3, 1.0, {"a": "x"}), (1, 1.0, {"a": "y"}), (0, 2.0, {"a": "z"})])
     assert search.best_trial(tied).first().asDict() == {"trial": 1, "value": 1.0, "params": {"a": "y"}}
 
 
+def test_a_diverging_trial_never_wins(spark):
+    nan, inf = float("nan"), float("inf")
+    log = search.trial_log(spark, [(0, nan, {"a": "x"}), (1, 1.0, {"a": "y"}), (2, 0.5, {"a": "z"}), (3, -inf, {"a": "w"}), (4, inf, {"a": "v"})])
+    assert search.winner(log)["trial"] == 2
+    assert [r["state"] for r in log.orderBy("trial").collect()] == ["failed", "complete", "complete", "failed", "failed"]
+    calls = iter([nan, 3.0])
+    log, best = search.search(spark, "ridge", lambda params, fold: next(calls), 2, folds=1, parallel=1)
+    assert best == search.random_trials(spark, "ridge", 2)[1] | {} or best["alpha"] == search.random_trials(spark, "ridge", 2)[1]["alpha"]
+    with pytest.raises(ValueError, match="finite"):
+        search.winner(search.trial_log(spark, [(0, nan, {}), (1, inf, {})]))
+
+
+def test_descent_says_whether_it_settled(regression):
+    df, _, _ = regression
+    products = linear.cross_products(df, "features", ["y0", "y1"])[0]
+    assert linear.lasso(products, 0.01).converged and not linear.lasso(products, 0.01, max_iter=1, tol=0.0).converged
+    assert linear.FAMILIES["elastic_net"](products, {"alpha": 0.001, "l1_ratio": 0.5}).converged
+
+
 def test_drawn_trials_stay_in_their_space(spark):
     for model, space in search.SPACES.items():
         for trial in search.random_trials(spark, model, 60):

@@ -173,3 +173,29 @@ def test_activations_pass_missing_values_on(spark):
     for name in ("relu", "sigmoid", "tanh", "leaky_relu", "elu", "gelu", "silu", "mish"):
         missing, low, high = (r[0] for r in df.select(activation(name, F.col("x"))).collect())
         assert missing is None and math.isfinite(low) and math.isfinite(high)
+
+
+def test_quantiles_of_any_doubles_agree_with_the_built_in(spark):
+    """Infinities, denormals, huge values, ties: both ways, and a bounded number of passes."""
+    inf, tiny = float("inf"), 5e-324
+    columns = {
+        "a": [-inf, 1.0, 2.0, 3.0, 4.0, inf, None, float("nan")],
+        "b": [tiny, 2 * tiny, 3 * tiny, -tiny, 0.0, 1e-310, 1.0, 2.0],
+        "c": [1e300, -1e300, 1e-300, 1.7e308, -1.7e308, 0.0, 1.0, 1.0],
+        "d": [1.0, 1.0 + 2**-52, 1.0 + 2**-51, 1.0, 1.0, 1.0, 1.0, 1.0],
+        "e": [inf] * 8,
+        "f": [None] * 8,
+    }
+    df = spark.createDataFrame(list(zip(*columns.values())), ", ".join(f"{c} double" for c in columns))
+    wanted = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
+    plain = exact_quantiles(df, list(columns), wanted)
+    counted = exact_quantiles(df, list(columns), wanted, buffered_rows=0)
+    assert repr(plain) == repr(counted)
+
+
+def test_p_values_have_one_formula():
+    """Many and few degrees of freedom meet, also far out in the tail."""
+    for t in (1e-6, 0.3, 2.0, 9.0, 30.0):
+        below, above = eda.t_test_p(t, 99_999.0), eda.t_test_p(t, 100_001.0)
+        assert below > 0 and abs(below / above - 1) < 0.05 * max(1.0, t * t / 100) and abs(eda.t_test_p(t, 1e12) / math.erfc(t / math.sqrt(2)) - 1) < 1e-6
+    assert abs(eda.t_test_p(2.0, 10.0) - 0.07338803477074042) < 1e-13 and abs(eda.t_test_p(1.0, 1.0) - 0.5) < 1e-13

@@ -3,9 +3,9 @@
 import oracle
 import pytest
 
-import __spark_entry__ as entry
+from strucreg import catalog
 
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
 @pytest.fixture(scope="module")

@@ -15,6 +15,8 @@ XYZ = {
     "bad": "1\nc\nC 1 x 3\nC 1 2 3\n",
     "suffix": "1\nc\nC 1d 2 3\n",
     "empty": "0\nnothing\n",
+    "returns": "2\rc\rC 1 2 3\rN 4 5 6\r",
+    "c#d e[1] j%k f%20g+h": "1\nc\nC 1 2 3\n",
 }
 
 
@@ -37,11 +39,11 @@ def test_xyz_files(spark, tmp_path, split):
         rows = {(r["name"], r["atom_idx"]): (r["symbol"], r["x"], r["y"], r["z"]) for r in atoms.filter("valid").collect()}
         good, bad = structures.quarantine_structures(atoms)
         assert {tuple(r) for r in bad.collect()} == {("bad", 1), ("suffix", 1)}
-        assert {r["name"] for r in good.select("name").distinct().collect()} == {"plain", "windows", "mixed", "many"}
+        assert {r["name"] for r in good.select("name").distinct().collect()} == {"plain", "windows", "mixed", "many", "returns", "c#d e[1] j%k f%20g+h"}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert rows["plain", 0] == ("H", 0.0, 0.0, 0.1) and rows["plain", 1] == ("O", 1.0, 2.0, 0.3)
-    assert rows["windows", 1] == ("N", 4.0, 5.0, 6.0)
+    assert rows["windows", 1] == rows["returns", 1] == ("N", 4.0, 5.0, 6.0)
     assert [k for k in rows if k[0] == "mixed"] == [("mixed", 0)] and rows["mixed", 0] == ("Ti", -1.5, 0.5, 2.0)
     assert [rows["many", i][1] for i in range(200)] == [float(i) for i in range(200)]
 
@@ -62,6 +64,10 @@ SDF = {
     "short": "t\n\n\n  5  1\n    0.0000    0.0000    0.0000 C   0\n$$$$\n",
     "later": _record("t", CO, [(1, 2, 1)], counts=(99, 1)) + _record("ok", CO, [(1, 2, 1)]),
     "windows": _record("w", CO, [(1, 2, 1)]).replace("\n", "\r\n"),
+    "returns": _record("r", CO, [(1, 2, 1)]).replace("\n", "\r"),
+    "v3000": "t\n\n\n  0  0  0     0  0            999 V3000\nM  V30 BEGIN CTAB\nM  END\n$$$$\n" + _record("ok", CO, [(1, 2, 1)]),
+    "coded": _record("t", CO, []).replace(" O   0  0", " O   0  3").replace(" C   0  0", " C   0  5"),
+    "long": _record("t", [("N", 0, 0, 0)] * 200, [], ["M  CHG200" + "".join(f" {i:3d}   1" for i in range(1, 201))]),
     "none": "\n",
 }
 
@@ -74,20 +80,24 @@ def test_sdf_files(spark, tmp_path, split):
     reasons = {(r["name"], r["record_no"]): r["reason"] for r in parsed.collect()}
     assert reasons == {
         ("two", 0): None, ("two", 1): None, ("charged", 0): None, ("windows", 0): None,
+        ("returns", 0): None, ("v3000", 0): "extended format", ("v3000", 1): None, ("coded", 0): None, ("long", 0): None,
         ("loose", 0): "bond to a missing atom", ("short", 0): "truncated", ("later", 0): "truncated", ("later", 1): None,
     }
     first = structures.first_record(parsed)
-    assert {r["name"]: r["n_atoms"] for r in first.collect()} == {"two": 2, "charged": 3, "windows": 2, "later": 2}
+    assert {r["name"]: r["n_atoms"] for r in first.collect()} == {
+        "two": 2, "charged": 3, "windows": 2, "later": 2, "returns": 2, "v3000": 2, "coded": 2, "long": 200,
+    }
     assert {r["name"]: r["n_atoms"] for r in structures.first_record(parsed, "last").collect()}["two"] == 1
     atoms = {(r["name"], r["atom_idx"]): r for r in structures.molecule_atoms(first).collect()}
     assert [atoms["charged", i]["charge"] for i in range(3)] == [1, -1, 0]
+    assert [atoms["coded", i]["charge"] for i in range(2)] == [-1, 1] and all(atoms["long", i]["charge"] == 1 for i in range(200))
     assert (atoms["two", 1]["symbol"], atoms["two", 1]["x"], atoms["charged", 2]["y"]) == ("O", 1.25, 2.0)
     bonds = {tuple(r) for r in structures.molecule_bonds(first).filter(F.col("name") == "charged").collect()}
     assert bonds == {("charged", 0, 1, 1), ("charged", 0, 2, 4)}
 
 
 def test_table_columns_are_found_by_name(spark, tmp_path):
-    (tmp_path / "t.csv").write_text("name,extra,b,a\nm1,q,2.5,1\nm2,q,,NaN\nm3,q,n/a,4\n")
+    (tmp_path / "t.csv").write_text("name,extra,b,a\nm1,q,2.5,1\nm2,q,,NaN\nm3,q,x/y,4\n")
     rows = tables.read_observations(spark, str(tmp_path), numeric=["a", "b"]).orderBy("name").collect()
     assert [tuple(r) for r in rows] == [("m1", 1.0, 2.5), ("m2", None, None), ("m3", 4.0, None)]
     bad = tables.unreadable_numbers(spark, str(tmp_path), ["a", "b"]).collect()
@@ -161,3 +171,13 @@ def test_score_requests_judges_every_request(spark):
         ("zero", "missing value"), ("null", "missing value"), ("nofile", "missing structure"), ("noatom", "missing structure"),
         ("bad", "unreadable structure"), ("long", "structure too long"),
     }
+
+
+def test_quotes_line_ends_and_missing_marks(spark, tmp_path):
+    rows = [(1, 'a "b" c, d', "2.5"), (2, "two\nlines", "NA"), (3, "plain", "1.5d"), (4, "", "0x1p3"), (5, None, " 7 ")]
+    tables.write_csv(spark.createDataFrame(rows, "idx int, name string, value string"), str(tmp_path / "t"))
+    back = tables.read_observations(spark, str(tmp_path / "t"), numeric=["value"], keep=["idx", "name"], multi_line=True)
+    got = {int(r["idx"]): (r["name"], r["value"]) for r in back.collect()}
+    assert got[1] == ('a "b" c, d', 2.5) and got[2] == ("two\nlines", None) and got[3][1] is None and got[4][1] is None and got[5][1] == 7.0
+    bad = tables.unreadable_numbers(spark, str(tmp_path / "t"), ["value"], ["idx"], multi_line=True)
+    assert sorted(int(r["idx"]) for r in bad.collect()) == [3, 4]
