@@ -250,7 +250,7 @@ def _graph_fit(spark, sf_dir, epochs):
     # fixed values: units, layers and dropout of the best known graph network
     shape = gcn.Shape(table.width, len(Y), 35, 3, "relu", 0.45)
     fit = gcn.fit(
-        table.training_rows(), "idx", shape, "RMSprop", learning_rate=1e-3, weight_decay=5e-5, epochs=epochs,
+        table.training_rows(), ("idx", "part"), shape, "RMSprop", learning_rate=1e-3, weight_decay=5e-5, epochs=epochs,
         large=table.large,
     )
     return rows, table, shape, fit

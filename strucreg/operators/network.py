@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from strucreg.operators import optimizers
 from strucreg.operators.partial_sums import matrix
-from strucreg.operators.training import EarlyStopping, Fit, activate, glorot, pack, run_epochs, unpack
+from strucreg.operators.training import MODELS, EarlyStopping, Fit, activate, glorot, pack, run_epochs, unpack
 
 LEAKY_SLOPE = 0.2
 
@@ -100,11 +100,10 @@ def fit(
     epochs: int = 500,
     patience: int = 20,
     batch: int = 16,
-    partitions: int | None = None,
+    partitions: int = MODELS,
     seed: int = 42,
 ) -> Fit:
-    """Trains on the rows where ``watch`` is false and watches the loss on the others."""
-    partitions = partitions or rows.sparkSession.sparkContext.defaultParallelism
+    """Trains on the rows where ``watch`` is false and watches the loss on the others. ``partitions`` models are averaged."""
     rule = optimizers.DENSE[optimizer]
 
     def learn(batches, weights, slots, step, epoch, train):

@@ -16,7 +16,12 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from strucreg.operators.partial_sums import SLOTS, sum_vectors, vector_rows
+from strucreg.operators.partial_sums import FEW_TASKS, sum_vectors, vector_rows
+
+
+# Models that are trained beside each other and averaged after every epoch. Fixed, so that weights do not depend on
+# the size of the cluster; a table of many terabytes wants more.
+MODELS = 8
 
 
 def unpack(flat: np.ndarray, shapes: Sequence[tuple[int, ...]]) -> list[np.ndarray]:
@@ -145,7 +150,7 @@ def run_epochs(
     for epoch in range(1, epochs + 2):
         train = epoch <= epochs
         task = _epoch_task(learn, weights, slots, step, epoch, train)
-        total = sum_vectors(rows, task, few_tasks=partitions <= SLOTS)[0]
+        total = sum_vectors(rows, task, few_tasks=partitions <= FEW_TASKS)[0]
         tail = dict(zip(_TAIL, total[-len(_TAIL) :]))
         if epoch > 1:
             if watch_more is not None:
