@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("eda", "prepare", "evaluation", "graphs", "models")
+MODULES = ("eda", "prepare", "evaluation", "graphs", "models", "fits")
 
 
 def _merged(attribute: str) -> dict:

@@ -136,12 +136,12 @@ SQL = {
     "rank_mean_abs_corr": f"WITH {_CORR} SELECT feature, {rnd('avg(abs(r))')} AS strength FROM corr GROUP BY feature",
     "rank_max_abs_corr": f"WITH {_CORR} SELECT feature, {rnd('max(abs(r))')} AS strength FROM corr GROUP BY feature",
     # the tail area of Student's t by Simpson's rule on [0, |t|]
-    "corr_pvalues": f"""WITH {_CORR},
-tested AS (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, (n - 2)::DOUBLE AS dof FROM corr),
-nodes AS (SELECT unnest(range(0, 2001)) AS k),
+    "corr_pvalues": f"""WITH {_CORR.replace('corr AS (', 'corr AS MATERIALIZED (')},
+tested AS MATERIALIZED (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, (n - 2)::DOUBLE AS dof FROM corr),
+nodes AS (SELECT unnest(range(0, 801)) AS k),
 area AS (
-  SELECT feature, target, sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
-           * pow(1 + pow(least(abs(t), 40) * k / 2000, 2) / dof, -(dof + 1) / 2)) * least(abs(t), 40) / 2000 / 3 AS s
+  SELECT feature, target, sum((CASE WHEN k IN (0, 800) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+           * pow(1 + pow(least(abs(t), 40) * k / 800, 2) / dof, -(dof + 1) / 2)) * least(abs(t), 40) / 800 / 3 AS s
   FROM tested, nodes GROUP BY feature, target, t)
 SELECT feature, target, n, {rnd('r')} AS r, {rnd('t', 4)} AS t,
   {rnd('greatest(0, 1 - 2 * s * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi()))')} AS p

@@ -45,7 +45,7 @@ def _metrics(table, predicted):
     return evaluate.regression_metrics(table.pairs(predicted))
 
 
-def flagship(spark, sf_dir):
+def ols_structures(spark, sf_dir):
     table = _full(spark, sf_dir)
     model = linear.ols(_everything(_products(table)))
     return _metrics(table, table.test.withColumn("prediction", model.predict(F.col("features"))))
@@ -96,28 +96,6 @@ def cv_objective(spark, sf_dir):
     return rounded(log.select("trial", "value"), ["value"], 6)
 
 
-def _search_linear(spark, sf_dir, family, n_trials):
-    table = _full(spark, sf_dir)
-    log, best, model = search.search_linear(spark, _products(table), family, n_trials)
-    path = scratch_path(spark, "trials")
-    artifacts.save_trials(log, path)
-    winner = search.best_trial(artifacts.load_trials(spark, path)).first()
-    predicted = table.test.withColumn("prediction", model.predict(F.col("features")))
-    return _metrics(table, predicted).withColumns({k: F.lit(winner[k]) for k in ("trial", "value")})
-
-
-def search_ridge(spark, sf_dir):
-    return _search_linear(spark, sf_dir, "ridge", 50)
-
-
-def search_lasso(spark, sf_dir):
-    return _search_linear(spark, sf_dir, "lasso", 10)
-
-
-def search_elastic_net(spark, sf_dir):
-    return _search_linear(spark, sf_dir, "elastic_net", 10)
-
-
 # --- search parts -------------------------------------------------------------
 
 _SPACE = {
@@ -320,8 +298,7 @@ def model_roundtrip(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        flagship, ols_fit, ridge_fit, lasso_fit, elastic_net_fit, ols_predict, cv_objective, search_ridge, search_lasso,
-        search_elastic_net, trial_space, best_trial, early_stop, early_stop_delta, decision_tree, random_forest,
+        ols_structures, ols_fit, ridge_fit, lasso_fit, elastic_net_fit, ols_predict, cv_objective, trial_space, best_trial, early_stop, early_stop_delta, decision_tree, random_forest,
         boosted_trees, search_decision_tree, search_mlp, slp_train, slp_predict, mlp_train, mlp_predict, gcn_train, gcn_fit_predict,
         score_graph_batch, model_roundtrip,
     )
@@ -405,6 +382,8 @@ errors AS (
 SELECT trial, {rnd('avg(mse)')} AS value FROM errors GROUP BY trial"""
 
 SQL = {
+    "model_roundtrip": f"""WITH {OBS} SELECT model, count(*) FILTER ({holdout('idx')} = 'test') AS n, 0.0::DOUBLE AS gap
+FROM obs, (VALUES ('forest'), ('boosted'), ('network')) m(model) GROUP BY model""",
     "ols_fit": _descent("0.0::DOUBLE", "0.0::DOUBLE", 400),
     "ridge_fit": _descent("0.0::DOUBLE", "50.0 / n", 200),
     "lasso_fit": _descent("0.05::DOUBLE", "0.0::DOUBLE", 200),

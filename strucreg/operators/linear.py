@@ -173,8 +173,8 @@ def lasso(products: CrossProducts, alpha: float, **options) -> LinearModel:
 FAMILIES = {
     "ols": lambda products, params: ols(products),
     "ridge": lambda products, params: ridge(products, params["alpha"]),
-    "lasso": lambda products, params: lasso(products, params["alpha"], tol=1e-6),
-    "elastic_net": lambda products, params: elastic_net(products, params["alpha"], params["l1_ratio"], tol=1e-6),
+    "lasso": lambda products, params: lasso(products, params["alpha"], tol=1e-9),
+    "elastic_net": lambda products, params: elastic_net(products, params["alpha"], params["l1_ratio"], tol=1e-9),
 }
 
 

@@ -102,6 +102,7 @@ def fit(
     batch: int = 16,
     partitions: int = MODELS,
     seed: int = 42,
+    start: np.ndarray | None = None,
 ) -> Fit:
     """Trains on the rows where ``watch`` is false and watches the loss on the others. ``partitions`` models are averaged."""
     rule = optimizers.DENSE[optimizer]
@@ -146,7 +147,7 @@ def fit(
     placed = training_rows(rows, key, features, targets, watch, partitions)
     try:
         return run_epochs(
-            placed, partitions, shape.start(seed), rule, learn, lambda w: penalty(shape, w), epochs, EarlyStopping(patience)
+            placed, partitions, shape.start(seed) if start is None else start, rule, learn, lambda w: penalty(shape, w), epochs, EarlyStopping(patience)
         )
     finally:
         placed.unpersist()
