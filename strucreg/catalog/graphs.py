@@ -18,7 +18,7 @@ HIDDEN, OUTPUTS = 4, 6
 
 def _graph(spark, sf_dir):
     """Atoms with a charge on some nitrogens, and bonds; both are used several times over."""
-    charge = F.when((F.col("symbol") == "N") & (F.col("x") > 25), 1).otherwise(0)
+    charge = F.when((F.col("symbol") == "N") & (F.col("x") > b.CHARGED_ABOVE), 1).otherwise(0)
     atoms = b.atoms(spark, sf_dir).withColumn("charge", charge).persist()
     return atoms, b.bonds(atoms).persist()
 
@@ -74,6 +74,26 @@ def node_standardize(spark, sf_dir):
     return rounded(scale.fit_standard_array(train, "features"), ["mean", "scale"], 4)
 
 
+BITS = 256
+
+
+def _node_rows(spark, sf_dir):
+    """All 267 values of every node: the order's numbers, the fingerprint, the atom's own."""
+    atoms, bonds = _graph(spark, sf_dir)
+    systems = atoms.select(*KEYS).distinct()
+    rows = b.observations(spark, sf_dir).drop("name").join(systems, "idx")
+    return graph.node_features(rows, X, atoms, bonds, KEYS, graph.circular_fingerprint(atoms, bonds, KEYS, n_bits=BITS))
+
+
+def node_table(spark, sf_dir):
+    return _named(_node_rows(spark, sf_dir))
+
+
+def node_table_standardize(spark, sf_dir):
+    train = _node_rows(spark, sf_dir).filter(split.three_way(F.col("idx")) == "train")
+    return rounded(scale.fit_standard_array(train, "features"), ["mean", "scale"], 4)
+
+
 def _weights(rows: int, columns: int, shift: int) -> list[list[float]]:
     return [[((i * 5 + j * 3 + shift) % 7 - 3) / 10 for j in range(columns)] for i in range(rows)]
 
@@ -127,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         symmetric_edges, atom_features, add_hydrogens, hydrogen_bonds, validate_structure, circular_fingerprint,
-        node_features, node_standardize, gcn_propagate, graph_readout, gcn_predict,
+        node_features, node_standardize, node_table, node_table_standardize, gcn_propagate, graph_readout, gcn_predict,
     )
 }
 
@@ -200,7 +220,20 @@ for _i, (_columns, _w, _bias, _from) in enumerate(((OWN, W1, B1, "ready"), (H, W
     ) + f" FROM s{_i})"
 _GCN += ",\nmeans AS (SELECT name, " + ", ".join(f"avg({h}) AS {h}" for h in H) + " FROM l1 GROUP BY name)"
 
+_NODE_TABLE = f"""{_FINGERPRINT},
+ids AS ({union_all(f'SELECT name, id FROM r{r}' for r in range(3))}),
+prints AS (SELECT name, list(DISTINCT (id % {BITS})::INT) AS bits FROM ids GROUP BY name),
+wide AS MATERIALIZED (
+  SELECT feats.idx, feats.name, atom_idx, list_concat([{', '.join(X)}], list_concat(
+    list_transform(range(0, {BITS}), lambda v: list_contains(bits, v)::INT::DOUBLE),
+    [atomic_num::DOUBLE, valence::DOUBLE, charge::DOUBLE, aromatic::DOUBLE, mass])) AS features
+  FROM feats JOIN obs ON feats.idx = obs.idx JOIN prints ON feats.name = prints.name)"""
+
 SQL = {
+    "node_table": f"WITH {OBS}, {_NODE_TABLE} SELECT name, atom_idx, features FROM wide",
+    "node_table_standardize": f"""WITH {OBS}, {_NODE_TABLE},
+slots AS (SELECT unnest(range(0, {len(X) + BITS + len(OWN)}))::INT AS pos, unnest(features) AS v FROM wide WHERE {three_way('idx')} = 'train')
+SELECT pos, {rnd('avg(v)', 4)} AS mean, {rnd('CASE WHEN min(v) = max(v) THEN 1 ELSE stddev_pop(v) END', 4)} AS scale FROM slots GROUP BY pos""",
     "symmetric_edges": f'WITH {GRAPH} SELECT name, src, dst, "order" FROM edges',
     "atom_features": f"WITH {GRAPH} SELECT name, atom_idx, atomic_num, valence, charge, aromatic, mass FROM feats",
     "add_hydrogens": f"""WITH {GRAPH} SELECT name, atom_idx, symbol, charge FROM charged

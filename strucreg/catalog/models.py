@@ -6,10 +6,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from strucreg.catalog.common import rounded
-from strucreg.catalog.graphs import _graph
+from strucreg.catalog.graphs import _FINGERPRINT, _graph
 from strucreg.catalog.sql import OBS, X, Y, bucket, holdout, rnd, uniform, union_all
 from strucreg.functions import arrays
-from strucreg.operators import evaluate, gcn, linear, network, scale, search, split, stopping, trees
+from strucreg.operators import evaluate, gcn, linear, network, search, split, stopping, training, trees
 from strucreg.plans import bindings as b
 from strucreg.plans import graphs as graph_plan
 from strucreg.plans import scoring, tabular, train
@@ -249,15 +249,20 @@ def gcn_fit_predict(spark, sf_dir):
     return evaluate.regression_metrics(pairs)
 
 
+def _graph_scorer():
+    """A small graph network with fixed weights, and the scale of its 267 inputs."""
+    shape = gcn.Shape(6 + 256 + 5, 6, 8, 2, "relu")
+    return shape, np.round(shape.start(7), 6), [1000.0] * 6 + [1.0] * 256 + [10.0] * 5
+
+
 def score_graph_batch(spark, sf_dir):
     """Requests with an SDF text: weights by rule, rejected requests with their reason."""
     requests = b.sdf_text(b.atoms(spark, sf_dir))
     requests = requests.withColumn("idx", F.split("name", "_")[1].cast("bigint")).join(
         b.observations(spark, sf_dir).select("idx", *X), "idx"
     )
-    shape = gcn.Shape(6 + 256 + 5, 6, 8, 2, "relu")
-    scaler = [0.0] * shape.inputs, [1000.0] * 6 + [1.0] * 256 + [10.0] * 5
-    scored, rejected = scoring.score_graph_requests(requests, "name", X, shape, shape.start(7), scaler, [(0.0, 10.0)] * 6)
+    shape, weights, spreads = _graph_scorer()
+    scored, rejected = scoring.score_graph_requests(requests, "name", X, shape, weights, ([0.0] * shape.inputs, spreads), [(0.0, 10.0)] * 6)
     prediction = [F.round(F.col("prediction")[i], 4).alias(f"p{i}") for i in range(6)]
     zeros = [F.lit(0.0).alias(f"p{i}") for i in range(6)]
     return scored.select("name", F.lit("accepted").alias("verdict"), *prediction).unionByName(
@@ -381,7 +386,51 @@ errors AS (
   GROUP BY trial, fold)
 SELECT trial, {rnd('avg(mse)')} AS value FROM errors GROUP BY trial"""
 
+def _score_graph_sql() -> str:
+    shape, flat, spreads = _graph_scorer()
+    w1, b1, w2, b2, w3, b3 = training.unpack(flat, shape.arrays)
+    n = shape.units
+    num = lambda v: f"{float(v)!r}::DOUBLE"
+    rows = ", ".join("(" + ", ".join([str(bit), *(num(v) for v in w1[6 + bit])]) + ")" for bit in range(256))
+    own = ["atomic_num", "valence", "charge", "aromatic", "mass"]
+    shared = ", ".join(" + ".join([f"sum(g{j})", *(f"any_value({x}) / {spreads[i]} * {num(w1[i][j])}" for i, x in enumerate(X))]) + f" AS z{j}" for j in range(n))
+    first = ", ".join(" + ".join([f"z{j}", *(f"{c} / 10.0 * {num(w1[262 + i][j])}" for i, c in enumerate(own))]) + f" AS h{j}" for j in range(n))
+
+    def spread(source: str, out: str, bias) -> str:
+        sums = ", ".join(f"greatest(sum(s.h{j} / sqrt(a.deg + 1) / sqrt(b.deg + 1)) + {num(bias[j])}, 0) AS h{j}" for j in range(n))
+        return f"""{out} AS MATERIALIZED (
+  SELECT l.name, l.dst AS atom_idx, {sums}
+  FROM loops l JOIN {source} s ON l.name = s.name AND l.src = s.atom_idx JOIN degree a ON l.name = a.name AND l.src = a.atom_idx
+  JOIN degree b ON l.name = b.name AND l.dst = b.atom_idx GROUP BY l.name, l.dst)"""
+
+    second = ", ".join(" + ".join(f"h{i} * {num(w2[i][j])}" for i in range(n)) + f" AS h{j}" for j in range(n))
+    heads = [" + ".join([num(b3[k]), *(f"avg(h{j}) * {num(w3[j][k])}" for j in range(n))]) for k in range(6)]
+    good = " AND ".join(f"{x} <> 0" for x in X)
+    return f"""WITH {OBS}, {_FINGERPRINT},
+ids AS ({union_all(f'SELECT name, id FROM r{r}' for r in range(3))}),
+prints AS (SELECT DISTINCT name, id % 256 AS bit FROM ids),
+bits(bit, {', '.join(f'g{j}' for j in range(n))}) AS (VALUES {rows}),
+bad AS (SELECT DISTINCT name FROM feats WHERE valence > usual + shift),
+systems AS (SELECT DISTINCT f.idx, f.name, CASE WHEN NOT ({good}) THEN 'missing value' WHEN bad.name IS NOT NULL THEN 'too many bonds' ELSE 'accepted' END AS verdict
+  FROM feats f JOIN obs ON f.idx = obs.idx LEFT JOIN bad ON f.name = bad.name),
+shared AS (SELECT p.name, {shared} FROM prints p JOIN bits USING (bit) JOIN systems s ON p.name = s.name JOIN obs ON s.idx = obs.idx GROUP BY p.name),
+nodes AS (
+  SELECT f.name, f.atom_idx, atomic_num, f.valence + h.missing AS valence, charge, aromatic, mass FROM feats f JOIN hyd h ON f.name = h.name AND f.atom_idx = h.parent
+  UNION ALL SELECT name, atom_idx, 1, 1, 0, 0, 1.008::DOUBLE FROM hydrogens),
+alledges AS (SELECT name, src, dst FROM edges UNION ALL SELECT name, parent, atom_idx FROM hydrogens UNION ALL SELECT name, atom_idx, parent FROM hydrogens),
+degree AS MATERIALIZED (SELECT n.name, n.atom_idx, count(e.src) AS deg FROM nodes n LEFT JOIN alledges e ON n.name = e.name AND n.atom_idx = e.dst GROUP BY n.name, n.atom_idx),
+loops AS MATERIALIZED (SELECT name, src, dst FROM alledges UNION ALL SELECT name, atom_idx, atom_idx FROM nodes),
+h0 AS MATERIALIZED (SELECT n.name, n.atom_idx, {first} FROM nodes n JOIN shared USING (name)),
+{spread('h0', 'l1', b1)},
+m1 AS (SELECT name, atom_idx, {second} FROM l1),
+{spread('m1', 'l2', b2)},
+told AS (SELECT name, {', '.join(f'({h}) * 10 AS p{k}' for k, h in enumerate(heads))} FROM l2 GROUP BY name)
+SELECT name, verdict, {', '.join(f"CASE WHEN verdict = 'accepted' THEN {rnd(f'p{k}', 4)} ELSE 0.0::DOUBLE END AS p{k}" for k in range(6))}
+FROM systems JOIN told USING (name)"""
+
+
 SQL = {
+    "score_graph_batch": _score_graph_sql(),
     "model_roundtrip": f"""WITH {OBS} SELECT model, count(*) FILTER ({holdout('idx')} = 'test') AS n, 0.0::DOUBLE AS gap
 FROM obs, (VALUES ('forest'), ('boosted'), ('network')) m(model) GROUP BY model""",
     "ols_fit": _descent("0.0::DOUBLE", "0.0::DOUBLE", 400),

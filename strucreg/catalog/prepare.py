@@ -10,6 +10,7 @@ from strucreg.functions import arrays
 from strucreg.functions.columns import activation, point_color, to_numeric
 from strucreg.operators import attach, scale, split
 from strucreg.plans import bindings as b
+from strucreg.plans import tabular
 from strucreg.scratch import scratch_path
 from strucreg.sources import artifacts, structures, tables
 
@@ -20,9 +21,12 @@ ACTIVATIONS = ["relu", "sigmoid", "tanh", "leaky_relu", "elu", "gelu", "silu", "
 
 
 def csv_roundtrip(spark, sf_dir):
+    """With a text that needs quoting: quotes, a comma and, in some rows, a line end."""
     path = scratch_path(spark, "observations")
-    tables.write_csv(b.observations_with_gaps(spark, sf_dir), path)
-    back = tables.read_observations(spark, path, numeric=["mass_au", *XY], keep=["idx", "name"])
+    end = F.when(F.col("idx") % 7 == 0, F.lit("\n")).otherwise(F.lit(" "))
+    note = F.concat(F.lit('say "'), F.col("name"), F.lit('",'), end, F.lit("then more"))
+    tables.write_csv(b.observations_with_gaps(spark, sf_dir).withColumn("note", note), path)
+    back = tables.read_observations(spark, path, numeric=["mass_au", *XY], keep=["idx", "name", "note"], multi_line=True)
     return back.withColumn("idx", F.col("idx").cast("bigint"))
 
 
@@ -37,7 +41,7 @@ def _molecules(spark, sf_dir):
 
 
 def sdf_parse(spark, sf_dir):
-    return structures.molecule_atoms(_molecules(spark, sf_dir)).drop("charge")
+    return structures.molecule_atoms(_molecules(spark, sf_dir))
 
 
 def sdf_bonds(spark, sf_dir):
@@ -166,6 +170,17 @@ def minmax(spark, sf_dir):
     return rounded(scale.select_scaled(rows, ["idx"], params), Y)
 
 
+REJECT_LENGTH = 15
+
+
+def training_verdicts(spark, sf_dir):
+    """Every row with its verdict: structures of some orders are left out, some are too long, some numbers are missing."""
+    coords = arrays.flatten(b.atoms(spark, sf_dir), ["idx", "name"], None).filter(F.col("idx") % 31 != 0)
+    rows, _ = tabular.structure_features(b.observations_with_gaps(spark, sf_dir).drop("name"), coords, "idx", X, REJECT_LENGTH)
+    verdict = F.coalesce("reason", F.lit("accepted")).alias("verdict")
+    return tabular.judged(rows, Y).select("idx", "name", verdict)
+
+
 def _order_keys(spark, sf_dir):
     return b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"))
 
@@ -194,7 +209,7 @@ QUERIES = {
         csv_roundtrip, xyz_parse, sdf_parse, sdf_bonds, quarantine, coerce_numeric, head_rows, sample_rows, label_rows,
         validate_inputs, empty_graphs, activations, attach_structure, attach_molecule, flatten_coordinates,
         flatten_long, pad_coordinates, expand_coordinates, standardize_fit, scaler_roundtrip, standardize,
-        standardize_inverse, minmax, holdout_split, three_way_split, validation_split, kfold_assign,
+        standardize_inverse, minmax, training_verdicts, holdout_split, three_way_split, validation_split, kfold_assign,
     )
 }
 
@@ -226,9 +241,10 @@ _ERF = (
 )
 
 SQL = {
-    "csv_roundtrip": f"WITH {GAPS} SELECT * FROM gaps",
+    "csv_roundtrip": f"""WITH {GAPS} SELECT *, 'say "' || name || '",' || CASE WHEN idx % 7 = 0 THEN chr(10) ELSE ' ' END || 'then more' AS note FROM gaps""",
     "xyz_parse": f"WITH {ATOMS} SELECT name, atom_idx, symbol, x, y, z FROM atoms",
-    "sdf_parse": f"WITH {ATOMS} SELECT name, atom_idx, symbol, x, y, z FROM atoms",
+    "sdf_parse": f"""WITH {ATOMS} SELECT name, atom_idx, symbol, x, y, z,
+  CASE WHEN symbol = 'N' AND x > {b.CHARGED_ABOVE} THEN 1 ELSE 0 END AS charge FROM atoms""",
     "sdf_bonds": f'WITH {ATOMS} SELECT name, "begin", "end", "order" FROM bonds',
     "quarantine": f"WITH {_TEXT} SELECT name, 'total' AS bad_columns FROM text WHERE try_cast(total AS DOUBLE) IS NULL",
     "coerce_numeric": f"WITH {_TEXT} SELECT idx, try_cast(total AS DOUBLE) AS total, customer::DOUBLE AS customer FROM text",
@@ -264,6 +280,11 @@ FROM atoms GROUP BY idx, name""",
     "standardize_inverse": f"WITH {OBS} SELECT idx, " + ", ".join(f"{rnd(c, 6)} AS {c}" for c in Y) + " FROM obs",
     "minmax": f"WITH {_SPLIT}{_STATS} SELECT idx, "
     + ", ".join(f"{rnd(f'({c} - lo_{c}) / w_{c}')} AS {c}" for c in Y) + " FROM split, stats",
+    "training_verdicts": f"""WITH {GAPS}, {_FLAT}
+SELECT gaps.idx, flat.name, CASE WHEN flat.name IS NULL THEN 'missing structure' WHEN len(coords) > {REJECT_LENGTH} THEN 'structure too long'
+  WHEN {' OR '.join(f'{x} IS NULL' for x in X)} THEN 'missing or infinite feature'
+  WHEN {' OR '.join(f'{y} IS NULL' for y in Y)} THEN 'missing or infinite target' ELSE 'accepted' END AS verdict
+FROM gaps LEFT JOIN flat ON gaps.idx = flat.idx AND flat.idx % 31 <> 0""",
     "holdout_split": f"SELECT o_orderkey AS idx, {holdout('o_orderkey')} AS split FROM orders",
     "three_way_split": f"SELECT o_orderkey AS idx, {three_way('o_orderkey')} AS split FROM orders",
     "validation_split": f"""SELECT o_orderkey AS idx, {bucket('o_orderkey', 'watch42', 10)} = 0 AS is_validation

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strucreg.functions.elements import LOSES_BOND_WHEN_CHARGED, element_table
-from strucreg.scratch import cut_lineage
 
 Keys = Sequence[str]
 # Fixed value: bond type 4 is aromatic and counts one and a half.
@@ -206,7 +205,6 @@ def normalized_edges(nodes: DataFrame, edges: DataFrame, keys: Keys = ("name",))
     d = nodes.select(*keys, "atom_idx").join(degree, [*keys, "atom_idx"], "left").select(
         *keys, "atom_idx", (1 / F.sqrt(F.coalesce("_deg", F.lit(0)) + 1)).alias("_d")
     )
-    d = cut_lineage(d)
     ends = (
         edges.select(*keys, "src", "dst")
         .join(d.select(*keys, F.col("atom_idx").alias("src"), F.col("_d").alias("_from")), [*keys, "src"])

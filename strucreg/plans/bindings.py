@@ -18,6 +18,8 @@ X = [f"x{i}" for i in range(1, 7)]
 Y = [f"y{i}" for i in range(1, 7)]
 # Fixed value: 72 atoms, 216 coordinates, is the length a scoring request may have.
 SYSTEM_ATOMS = 72
+# Nitrogens beyond this x are charged.
+CHARGED_ABOVE = 25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -128,7 +130,9 @@ def xyz_text(atom_rows: DataFrame) -> DataFrame:
 def sdf_text(atom_rows: DataFrame) -> DataFrame:
     """``name, text``: the SDF file of each system, two records: the structure and a copy without bonds."""
     following = F.lead("atom_idx").over(W.partitionBy("idx", "part").orderBy("atom_idx"))
-    atom_line = F.format_string("%10.4f%10.4f%10.4f %-3s 0  0", "x", "y", "z", "symbol")
+    # fixed value: code 3 of an atom line is a charge of one
+    code = F.when((F.col("symbol") == "N") & (F.col("x") > CHARGED_ABOVE), 3).otherwise(0)
+    atom_line = F.format_string("%10.4f%10.4f%10.4f %-3s 0%3d", "x", "y", "z", "symbol", code)
     bond_line = F.when(
         F.col("following").isNotNull(),
         F.format_string("%3d%3d%3d  0", F.col("atom_idx") + 1, F.col("following") + 1, F.col("left_order")),
