@@ -34,14 +34,12 @@ def _blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Da
         f"transform(sequence(0, greatest(0, (octet_length(_text) - 1) div {block_bytes})), "
         f"i -> substring(cast(_text as binary), i * {block_bytes} + 1, {block_bytes}))"
     )
+    # a generator, as a projection would be repeated for every block
+    normal = F.explode(F.array(F.struct(F.length("_raw").alias("_chars"), F.regexp_replace("_raw", f"{SPACE}+", "").alias("_text")))).alias("_t")
     return (
         docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_raw"))
-        .select(
-            "_id",
-            F.monotonically_increasing_id().alias("_row"),
-            F.length("_raw").alias("_chars"),
-            F.regexp_replace("_raw", f"{SPACE}+", "").alias("_text"),
-        )
+        .select("_id", F.monotonically_increasing_id().alias("_row"), normal)
+        .select("_id", "_row", "_t.*")
         .select("_id", "_row", "_chars", F.sha2("_text", 256).alias("_sha"), whole.alias("_all"))
         .select("*", F.size("_all").alias("_n"), F.posexplode("_all").alias("_pos", "_block"))
         .drop("_all")
