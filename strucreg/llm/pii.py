@@ -70,11 +70,13 @@ def _matches(kind: str) -> Column:
     return F.filter(each, lambda x: x["match"].isNotNull())
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def candidates(tables: Tables, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate (at least one per row of ``docs``, with a null kind if it has none): _row, _id, kind, match, start, end, before, after."""
     rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
     rows = rows.withColumn("_row", F.monotonically_increasing_id())
+    # written once, as numbering and the rows without candidates both read it
     found = rows.select("_row", "_id", F.explode_outer(F.flatten(F.array(*[_matches(k) for k in PATTERNS]))).alias("c")).select("_row", "_id", "c.*")
+    found = tables.keep(found)
     none = found.filter("kind is null").select("_row", "_id", "kind", "match", F.lit(None).cast("bigint").alias("start"), F.lit(None).cast("bigint").alias("end"), "before", "after")
     some = found.filter("kind is not null")
     until = F.sum(F.col("skipped") + F.length("match")).over(W.partitionBy("_row", "kind").orderBy("nth"))
@@ -225,7 +227,7 @@ def classifier(patterns: list[tuple[tuple[int, ...], float, float]], rounds: int
 
 def judged(tables: Tables, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The candidates with votes, features, base and probability."""
-    rows = tables.keep(votes(candidates(docs, id_col, text_col)).withColumns(_features()))
+    rows = tables.keep(votes(candidates(tables, docs, id_col, text_col)).withColumns(_features()))
     real = rows.filter("kind is not null")
     counted = real.groupBy("kind", *VOTES).count().collect()  # at most 5 * 3^5 rows
     by_kind: dict[str, list] = {k: [] for k in PATTERNS}
