@@ -6,9 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strucreg.catalog import graphs
 from strucreg.catalog.models import _draw, _everything, _metrics, _plain, _products
 from strucreg.catalog.sql import OBS, X, Y, bucket, holdout, union_all, uniform
-from strucreg.operators import linear, network, search, split, trees
+from strucreg.operators import gcn, graph, linear, network, partial_sums, search, split, trees
+from strucreg.plans import bindings as b
 from strucreg.scratch import scratch_path
 from strucreg.sources import artifacts
 
@@ -120,10 +122,36 @@ def mlp_metrics(spark, sf_dir):
     return _net_metrics(spark, sf_dir, "mlp")
 
 
+Y_SIZES = (1e5, 1e5, 1e5, 10.0, 1e5, 1e4)
+
+
+def gcn_gradient(spark, sf_dir):
+    """Loss and gradient of a graph network with weights by rule, summed over all graphs: what a training step is made of."""
+    atoms, bonds = graphs._graph(spark, sf_dir)
+    own = F.array(*[F.col(c) / s for c, s in graphs.SIZES.items()])
+    nodes = graph.atom_features(atoms, bonds, graphs.KEYS).select(*graphs.KEYS, "atom_idx", own.alias("features"))
+    targets = atoms.select(*graphs.KEYS).distinct().join(b.observations(spark, sf_dir).drop("name"), "idx")
+    targets = targets.select(*graphs.KEYS, F.array(*[F.col(y) / s for y, s in zip(Y, Y_SIZES)]).alias("y"))
+    rows = gcn.graph_rows(nodes, graph.symmetric_edges(bonds, graphs.KEYS), targets, graphs.KEYS)
+    shape = gcn.Shape(len(graphs.OWN), len(Y), graphs.HIDDEN, 2)
+    weights = network.pack([np.array(w) for w in (graphs.W1, graphs.B1, graphs.W2, graphs.B2, graphs.W3, graphs.B3)])
+
+    def task(batches):
+        total = np.zeros(2 + weights.size)
+        for batch in batches:
+            for _, x, src, dst, y, _ in gcn._graphs(batch):
+                loss, slope = gcn.gradient(shape, weights, x, src, dst, y)
+                total += np.concatenate([[1.0, loss], slope])
+        yield partial_sums.vector_rows({0: total})
+
+    total = partial_sums.sum_vectors(rows, task)[0]
+    return _shown(spark.createDataFrame([(i, float(v) + 0.0) for i, v in enumerate(total)], "pos int, value double"), ["value"])
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        flagship, search_ridge, search_lasso, search_elastic_net, decision_stump, boosted_stumps, slp_steps, mlp_steps, slp_metrics, mlp_metrics,
+        gcn_gradient, flagship, search_ridge, search_lasso, search_elastic_net, decision_stump, boosted_stumps, slp_steps, mlp_steps, slp_metrics, mlp_metrics,
     )
 }
 
@@ -315,7 +343,46 @@ loss{e} AS (SELECT avg({error}) FILTER (NOT watch) + any_value({penalty}) AS tra
     return f"{sql},\ntold AS ({told})\n{_metrics_sql('told')}"
 
 
+def _gradient_sql() -> str:
+    own, hidden = graphs.OWN, graphs.H
+    num = lambda v: f"{float(v)!r}::DOUBLE"
+
+    def layer(source: str, out: str, inputs, w, bias) -> str:
+        sums = [" + ".join([num(bias[j]), *(f"{c} * {num(w[i][j])}" for i, c in enumerate(inputs))]) for j in range(len(hidden))]
+        return f",\n{out} AS MATERIALIZED (SELECT name, atom_idx, d, {', '.join(f'greatest({x}, 0) AS {h}' for x, h in zip(sums, hidden))} FROM {source})"
+
+    sql = f"WITH {OBS}, {graphs._READY}{graphs._step('ready', 'sa', own)}{layer('sa', 'u1', own, graphs.W1, graphs.B1)}"
+    sql += f"{graphs._step('u1', 'sb', hidden)}{layer('sb', 'u2', hidden, graphs.W2, graphs.B2)}"
+    heads = [" + ".join([num(graphs.B3[k]), *(f"avg({h}) * {num(graphs.W3[j][k])}" for j, h in enumerate(hidden))]) for k in range(6)]
+    sql += f""",
+pool AS (SELECT name, count(*) AS n, {', '.join(f'avg({h}) AS m{j}' for j, h in enumerate(hidden))}, {', '.join(f'{x} AS q{k}' for k, x in enumerate(heads))}
+  FROM u2 GROUP BY name),
+systems AS (SELECT DISTINCT idx, name FROM feats),
+errors AS MATERIALIZED (SELECT pool.*, {', '.join(f'q{k} - {y} / {num(s)} AS e{k}' for k, (y, s) in enumerate(zip(Y, Y_SIZES)))}
+  FROM pool JOIN systems USING (name) JOIN obs ON systems.idx = obs.idx),
+back2 AS MATERIALIZED (SELECT u2.name, u2.atom_idx, u2.d, {', '.join(
+    f"CASE WHEN {h} > 0 THEN ({' + '.join(f'{num(graphs.W3[j][k])} * e{k} / 3' for k in range(6))}) / n ELSE 0 END AS b{j}" for j, h in enumerate(hidden)
+  )} FROM u2 JOIN errors USING (name)),
+inner1 AS (SELECT name, atom_idx, d, {', '.join(
+    f"{' + '.join(f'b{j} * {num(graphs.W2[i][j])}' for j in range(len(hidden)))} AS {h}" for i, h in enumerate(hidden))} FROM back2)"""
+    sql += graphs._step("inner1", "sent1", hidden)
+    sql += f""",
+back1 AS MATERIALIZED (SELECT s.name, s.atom_idx, {', '.join(f'CASE WHEN u1.{h} > 0 THEN s.{h} ELSE 0 END AS b{j}' for j, h in enumerate(hidden))}
+  FROM sent1 s JOIN u1 USING (name, atom_idx))"""
+    n = len(hidden)
+    parts = [("errors", ["count(*)::DOUBLE", "sum((" + " + ".join(f"e{k} * e{k}" for k in range(6)) + ") / 6)"])]
+    parts += [("back1 JOIN sa USING (name, atom_idx)", [f"sum({c} * b{j})" for c in own for j in range(n)]), ("back1", [f"sum(b{j})" for j in range(n)])]
+    parts += [("back2 JOIN sb USING (name, atom_idx)", [f"sum({h} * b{j})" for h in hidden for j in range(n)]), ("back2", [f"sum(b{j})" for j in range(n)])]
+    parts += [("errors", [f"sum(m{j} * e{k} / 3)" for j in range(n) for k in range(6)]), ("errors", [f"sum(e{k} / 3)" for k in range(6)])]
+    rows, at = [], 0
+    for source, sums in parts:
+        rows.append(f"SELECT unnest(range({at}, {at + len(sums)}))::INT AS pos, unnest([{', '.join(sums)}]) AS value FROM {source}")
+        at += len(sums)
+    return f"{sql}\nSELECT pos, {_six('value')} + 0.0::DOUBLE AS value FROM ({union_all(rows)})"
+
+
 SQL = {
+    "gcn_gradient": _gradient_sql(),
     "flagship": _FLAGSHIP,
     **{f"search_{f}": _search_sql(f) for f in TRIALS},
     "decision_stump": _DECISION,

@@ -173,7 +173,7 @@ def run_epochs(
                 step += max(1, int(round(tail["steps"] / seen)))
             if between is not None:
                 weights, slots, more_loss, more_rows = between(weights, slots, step, epoch)
-                step += 1
+                step += more_rows
                 loss, seen = loss + more_loss, seen + more_rows
             train_loss = loss / seen
     best = stopping.best_weights if stopping.best_weights is not None else weights

@@ -109,9 +109,9 @@ def test_graph_run_saved_and_scored(spark, graph_table, tmp_path):
     params = {"units": 6, "layers": 2, "activation": "tanh", "dropout": 0.1, "optimizer": "AdamW", "learning_rate": 1e-2, "weight_decay": 1e-6}
     shape, fit = train.fit_graph_model(table, table.training_rows(), params, epochs=3)
     assert table.width == 267 and fit.history[-1][1] < fit.history[0][1]
-    artifacts.save_network(spark, network.named_weights(shape, fit.weights, fit.slots), shape.info(), str(tmp_path / "gcn"))
+    artifacts.save_network(spark, network.named_weights(shape, fit.weights, fit.slots), vars(shape), str(tmp_path / "gcn"))
     named, info = artifacts.load_network(spark, str(tmp_path / "gcn"))
-    assert int(info["hidden_dim"]) == 6 and sum(k == "slot" for k, _ in named) == 2
+    assert int(info["units"]) == 6 and sum(k == "slot" for k, _ in named) == 2
     loaded = train.flat_weights(named)
     expected = {r["name"]: r["prediction"] for part in ("train", "test", "val") for r in table.predict(shape, loaded, part).collect()}
     requests = obs.select("name", *FEATURES).join(texts, "name")
