@@ -140,7 +140,8 @@ def test_boosting_follows_its_formula(spark, regression):
     rows = df
     for r, per_target in enumerate(model.rounds):
         for t, (tree, columns, _) in enumerate(per_target):
-            rows = trees._with_leaf(rows, tree, "features", columns).withColumnRenamed("_leaf", f"l{r}_{t}")
+            placed = trees._with_leaf(rows.withColumn(trees.VECTOR, trees._vector("features", columns)), tree)
+            rows = placed.withColumnRenamed("_leaf", f"l{r}_{t}").drop(trees.VECTOR)
     rows = rows.orderBy("id").collect()
     for t in range(2):
         current = np.full(400, y[:, t].mean())
