@@ -25,6 +25,7 @@ class Tables:
         self.spark = spark
         self.root = scratch_path(spark, label)
         self.count = 0
+        self.paths: dict[int, str] = {}
 
     def write(self, df: DataFrame) -> str:
         self.count += 1
@@ -37,7 +38,14 @@ class Tables:
         return reader.parquet(path)
 
     def keep(self, df: DataFrame) -> DataFrame:
-        return self.read(self.write(df), df.schema)
+        path = self.write(df)
+        kept = self.read(path, df.schema)
+        self.paths[id(kept)] = path
+        return kept
+
+    def forget(self, kept: DataFrame) -> None:
+        """Removes a kept table that nothing reads any more."""
+        self.drop(self.paths.pop(id(kept)))
 
     def release(self) -> None:
         """Shuffle files of tables already written go when the driver collects its garbage; this asks for it."""

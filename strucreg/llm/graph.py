@@ -8,22 +8,28 @@ from pyspark.sql import functions as F
 from strucreg.llm.common import Tables
 
 
-def components(tables: Tables, nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable. ``nodes`` has node, ``links`` has a and b. Alternating star
+def _state(edges: DataFrame):
+    """Count and sum of hashes of the edges, which tell two rounds apart."""
+    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
+def components(tables: Tables, links: DataFrame) -> DataFrame:
+    """(node, component) of every node of ``links`` (a, b): the smallest node reachable. Alternating star
     contraction: every node hands its larger, then its smaller neighbours to its smallest one, until all edges point at the smallest
     node of their component. A round is two shuffles with map-side minima; the number of rounds grows with the logarithm of the longest chain."""
-    edges = tables.write(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = tables.keep(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = _state(edges)
     while True:
-        now = tables.read(edges)
         # large star: neighbours larger than u go to the smallest of u and its neighbours
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("m"))
+        both = edges.union(edges.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         # small star: smaller neighbours of u, and u, go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        after = tables.write(small.filter("u != v").distinct())
-        same = tables.read(after)
-        if now.join(same, ["u", "v"], "left_anti").isEmpty() and same.join(now, ["u", "v"], "left_anti").isEmpty():
-            return nodes.join(same.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("component"))
-        edges = after
+        edges = tables.keep(small.filter("u != v").distinct())
+        now = _state(edges)
+        if now == before:
+            smallest = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            return smallest.union(smallest.select("component", "component")).distinct()
+        before = now
