@@ -14,6 +14,7 @@ and ties are judged alike; without any language reference only the base rules ju
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -117,10 +118,12 @@ FIELDS = (("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Counts and histograms of every row, with its id and language."""
 
-    def batch_of(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [measure(t or "") for t in batch.column(2).to_pylist()]
-        columns = [pa.array([r[name] for r in rows], kind) for name, kind in FIELDS]
-        return pa.record_batch([batch.column(0), batch.column(1), *columns], names=[id_col, "_lang", *(n for n, _ in FIELDS)])
+    def batch_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for low in range(0, batch.num_rows, 500):
+            part = batch.slice(low, 500)
+            rows = [measure(t or "") for t in part.column(2).to_pylist()]
+            columns = [pa.array([r[name] for r in rows], kind) for name, kind in FIELDS]
+            yield pa.record_batch([part.column(0), part.column(1), *columns], names=[id_col, "_lang", *(n for n, _ in FIELDS)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
@@ -168,7 +171,7 @@ def judge(rows: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]], id_co
         at = {n: i for i, n in enumerate(batch.schema.names)}
         found = []
         for name, k in (("classes", 0), ("common", 1)):
-            counts = np.array(batch.column(at[name]).to_pylist(), np.float64).reshape(batch.num_rows, -1)
+            counts = batch.column(at[name]).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
             each = [distance(counts, r[k]) for r in langs]
             found.append(np.round(np.min(each, axis=0), 6) if each else np.zeros(batch.num_rows))
         keep = [batch.column(i) for n, i in at.items() if n not in ("classes", "common", "_lang")]
