@@ -20,10 +20,11 @@ def components(tables: Tables, links: DataFrame) -> DataFrame:
     edges = tables.keep(links.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = _state(edges)
     while True:
-        # large star: neighbours larger than u go to the smallest of u and its neighbours
+        # large star: the larger neighbours of a node go to the smallest of it and its neighbours. The minima are written, so that
+        # the join reads both sides anew and the rows of a node with very many neighbours can be split
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        least = tables.keep(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m")))
+        large = edges.join(least, "v").select("u", F.col("m").alias("v")).distinct()
         # small star: smaller neighbours of u, and u, go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
