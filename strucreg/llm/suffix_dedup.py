@@ -3,7 +3,8 @@
 A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier. The corpus is first cut into shards that can be sorted
 apart: every string of that length is assigned to its anchor, the 36-byte gram with the smallest hash in it (the leftmost of equal ones), so equal strings
 have equal anchors. Neighbouring strings with one anchor form a segment. Anchors that occur once need no sorting, segments that are equal as a whole
-only their first location; of the others, distinct segments with a common anchor, the text goes to the shard of the anchor.
+only their first location; of the others, distinct segments with a common anchor, the text goes to the shard of the anchor. The strings of
+very common anchors (a line with many different neighbours) are grouped one by one instead, so that no shard grows with them.
 
 A shard's segments are one text whose suffixes are sorted by induction: the suffixes that begin a descent-to-ascent (LMS) are sorted by
 inducing their substrings, naming these, and ordering the shorter text of names; from their order all others are induced. A priority
@@ -18,6 +19,7 @@ are passed in pieces; other columns are not read. Ids are integers.
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 from collections.abc import Iterator
 
@@ -34,6 +36,8 @@ PER_STRING = LENGTH - GRAM + 1
 # Strings passed at a time; their places share a word with the hash, so at most 2^20.
 PIECE = 1 << 19
 SHARD_BYTES = 2 << 20
+# An anchor with more segments than this is not sorted in one shard; its strings are grouped one by one.
+COMMON = 1000
 IN_MEMORY = 8 << 20
 BLOCK = 1 << 18
 LAST = (1 << 63) - 1
@@ -317,8 +321,6 @@ def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def _contested(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
     """(anchor, doc, start, span, raw): the bytes of segments."""
-    per_doc = wanted.groupBy("doc", F.shiftrightunsigned("start", PLACE_BITS).alias("tie")).agg(F.collect_list(F.struct("anchor", "start", "span")).alias("found"))
-    rows = keyed.select("doc", "tie", "text")
 
     def cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         columns: list[list] = [[], [], [], [], []]
@@ -337,7 +339,37 @@ def _contested(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
         if columns[0]:
             yield _segment_batch(columns)
 
-    return in_batches(rows.join(per_doc, ["doc", "tie"]).select("doc", "text", "found"), cut, "anchor bigint, doc bigint, start bigint, span int, raw binary")
+    return in_batches(_with_text(keyed, wanted), cut, "anchor bigint, doc bigint, start bigint, span int, raw binary")
+
+
+def _with_text(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, text, found): documents with the segments wanted of them."""
+    per_doc = wanted.groupBy("doc", F.shiftrightunsigned("start", PLACE_BITS).alias("tie")).agg(F.collect_list(F.struct("anchor", "start", "span")).alias("found"))
+    return keyed.select("doc", "tie", "text").join(per_doc, ["doc", "tie"]).select("doc", "text", "found")
+
+
+def _named_strings(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc, start, span) of repeats among the segments of common anchors. Each string is a group of its own, named by 128 bits, so that the
+    segments of one anchor are spread; equal strings are reduced to their first location before they move."""
+
+    def name(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        for i in range(0, batch.num_rows, 200):
+            names, doc_of, start_of = [], [], []
+            for doc, text, found in zip(*(batch.column(c).slice(i, 200).to_pylist() for c in range(3))):
+                raw = text.encode("utf-8", "surrogatepass")
+                for f in found:
+                    at = f["start"] & ((1 << PLACE_BITS) - 1)
+                    names += [hashlib.blake2b(raw[p : p + LENGTH], digest_size=16).digest() for p in range(at, at + f["span"] + 1)]
+                    doc_of += [doc] * (f["span"] + 1)
+                    start_of += range(f["start"], f["start"] + f["span"] + 1)
+            half = np.frombuffer(b"".join(names), "<i8").reshape(-1, 2)
+            columns = [np.ascontiguousarray(half[:, 0]), np.ascontiguousarray(half[:, 1]), np.array(doc_of, np.int64), np.array(start_of, np.int64)]
+            yield pa.record_batch([pa.array(c) for c in columns], names=["low", "high", "doc", "start"])
+
+    strings = in_batches(_with_text(keyed, wanted), name, "low bigint, high bigint, doc bigint, start bigint")
+    first = strings.groupBy("low", "high").agg(F.min(F.struct("doc", "start")).alias("first"))
+    later = strings.join(first, ["low", "high"]).filter((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
+    return later.select("doc", "start", F.lit(0).alias("span"))
 
 
 def _segment_batch(columns: list[list]) -> pa.RecordBatch:
@@ -385,12 +417,16 @@ def repeats(tables: Tables, keyed: DataFrame) -> DataFrame:
     occurrence = F.rank().over(W.partitionBy("anchor", "whole").orderBy("doc", "start"))
     every = W.partitionBy("anchor")
     rows = rows.withColumns({"nth": occurrence}).withColumns({"low": F.min("whole").over(every), "high": F.max("whole").over(every)})
+    rows = rows.withColumn("common", F.count(F.lit(1)).over(every) > COMMON)
     rows = rows.withColumn("repeat", F.col("again") | (F.col("nth") > 1)).filter("repeat or low != high")
-    rows = tables.keep(rows.select(F.when(~F.col("repeat"), F.col("anchor")).alias("anchor"), "doc", "start", "span"))
+    rows = tables.keep(rows.select(F.when(~F.col("repeat"), F.col("anchor")).alias("anchor"), "doc", "start", "span", "common"))
     tables.release()
-    wanted = rows.filter("anchor is not null")
+    wanted = rows.filter("anchor is not null and not common").drop("common")
+    common = rows.filter("anchor is not null and common").drop("common")
     size = wanted.agg(F.sum(F.col("span") + LENGTH + 1)).first()[0] or 0
     found = _sorted_shards(_contested(keyed, wanted), max(1, -(-size // SHARD_BYTES)))
+    if not common.isEmpty():
+        found = found.unionByName(_named_strings(keyed, common))
     out = tables.keep(rows.filter("anchor is null").select("doc", "start", "span").unionByName(found))
     tables.release()
     return out
