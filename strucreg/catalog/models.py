@@ -96,6 +96,33 @@ def cv_objective(spark, sf_dir):
     return rounded(log.select("trial", "value"), ["value"], 6)
 
 
+# Trials of the linear searches, as many as the reference makes.
+TRIALS = {"ridge": 1000, "lasso": 1000, "elastic_net": 1000}
+
+
+def _search_linear(spark, sf_dir, family):
+    """Trials by three folds over the numbers and padded coordinates, the log written and read back, the refit of the best trial on the test rows."""
+    table = _full(spark, sf_dir)
+    log, _, model = search.search_linear(spark, _products(table), family, TRIALS[family])
+    path = scratch_path(spark, "trials")
+    artifacts.save_trials(log, path)
+    winner = search.winner(artifacts.load_trials(spark, path))
+    predicted = table.test.withColumn("prediction", model.predict(F.col("features")))
+    return _metrics(table, predicted).withColumns({k: F.lit(winner[k]) for k in ("trial", "value")})
+
+
+def search_ridge(spark, sf_dir):
+    return _search_linear(spark, sf_dir, "ridge")
+
+
+def search_lasso(spark, sf_dir):
+    return _search_linear(spark, sf_dir, "lasso")
+
+
+def search_elastic_net(spark, sf_dir):
+    return _search_linear(spark, sf_dir, "elastic_net")
+
+
 # --- search parts -------------------------------------------------------------
 
 _SPACE = {
@@ -303,7 +330,7 @@ def model_roundtrip(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        ols_structures, ols_fit, ridge_fit, lasso_fit, elastic_net_fit, ols_predict, cv_objective, trial_space, best_trial, early_stop, early_stop_delta, decision_tree, random_forest,
+        ols_structures, ols_fit, ridge_fit, lasso_fit, elastic_net_fit, ols_predict, cv_objective, search_ridge, search_lasso, search_elastic_net, trial_space, best_trial, early_stop, early_stop_delta, decision_tree, random_forest,
         boosted_trees, search_decision_tree, search_mlp, slp_train, slp_predict, mlp_train, mlp_predict, gcn_train, gcn_fit_predict,
         score_graph_batch, model_roundtrip,
     )

@@ -288,3 +288,21 @@ def test_weights_survive_packing():
     shape = gcn.Shape(3, 2, 4, 2)
     w = shape.start(1)
     assert np.array_equal(pack(unpack(w, shape.arrays)), w)
+
+
+@pytest.mark.parametrize("family", ["ridge", "lasso", "elastic_net"])
+def test_linear_searches_read_structures(spark, sf_dir, monkeypatch, family):
+    """The searches run the reference's number of trials on the numbers and the padded coordinates; two trials are enough to see it."""
+    from strucreg import catalog
+
+    seen, real = [], search.search_linear
+
+    def few(spark, products, family, n_trials):
+        seen.append((family, len(next(iter(products.values())).total) - 1 - 6, n_trials))
+        return real(spark, products, family, 2)
+
+    monkeypatch.setattr(search, "search_linear", few)
+    rows = catalog.queries()[f"search_{family}"](spark, sf_dir).collect()
+    assert len(rows) == 6 and {r["trial"] for r in rows} <= {0, 1}
+    assert seen[0][0] == family and seen[0][1] > 6 and seen[0][2] >= 1000
+    assert f"search_{family}_numbers" in catalog.oracle_sql()
