@@ -67,7 +67,7 @@ def packed(docs: DataFrame, **columns: str) -> DataFrame:
     return docs.select(F.struct("*").alias("row"), *[F.col(c).alias(n) for n, c in columns.items()])
 
 
-def in_batches(df: DataFrame, make: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | pa.Table], schema: str) -> DataFrame:
+def in_batches(df: DataFrame, make: Callable[[pa.RecordBatch], Iterable[pa.RecordBatch] | pa.RecordBatch | pa.Table], schema) -> DataFrame:
     """``mapInArrow`` with a function per batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strucreg.llm.common import WORD, Tables, packed
+from strucreg.llm.common import WORD, Tables
 
 MAX_COPIES = 2
 BINS = 1024
@@ -122,14 +122,13 @@ def _thresholds(tables: Tables, rated: DataFrame, targets: DataFrame) -> DataFra
     return state.select("_key", F.when(all_of & (F.col("_next") > 0), F.col("_from") + width).otherwise(F.col("_from")).alias("_cut"))
 
 
-def rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(3, 1, 2), share: float = 1.5) -> DataFrame:
-    """One row per row of ``docs``: the id, size, source_size, target, rate (expected copies), copies, taken."""
-    tables = Tables(docs.sparkSession, "mix")
+def _rated(tables: Tables, docs: DataFrame, id_col: str, text_col: str, source_col: str, weights, share: float, carried: Column) -> DataFrame:
+    """One row per row of ``docs``: _carried, size, source_size, target, _rate, copies. The number of copies is found for the row, not for its id."""
     source = F.col(source_col).cast("string")
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
     key = F.struct(source.isNull().alias("missing"), F.coalesce(source, F.lit("")).alias("source"))
     draw = F.pmod(F.xxhash64(F.lit("draw"), F.col(id_col)), F.lit(1 << 52)) / float(1 << 52)
-    sizes = tables.keep(docs.select(F.col(id_col).alias("_id"), key.alias("_key"), words.alias("size"), draw.alias("_draw")))
+    sizes = tables.keep(docs.select(carried.alias("_carried"), key.alias("_key"), words.alias("size"), draw.alias("_draw")))
     targets = tables.keep(source_targets(sizes, weights, share, float(MAX_COPIES)))
     solved = multipliers(tables, sizes, targets).select("_key", "_tilt", "_mean")
     facts = tables.keep(targets.join(solved, "_key", "left"))
@@ -142,15 +141,19 @@ def rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     for c in range(2, MAX_COPIES + 1):
         copies = copies + taken(c)
     copies = F.when(F.col("size") > 0, copies).otherwise(F.lit(1).cast("bigint"))
-    return rated.join(cuts, "_key").select(
-        F.col("_id").alias(id_col), "size", "source_size", "target", F.col("_rate").alias("rate"), copies.alias("copies"), (copies * F.col("size")).alias("taken")
+    return rated.join(cuts, "_key").select("_carried", "size", "source_size", "target", "_rate", copies.alias("copies"))
+
+
+def rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(3, 1, 2), share: float = 1.5) -> DataFrame:
+    """One row per row of ``docs``: the id, size, source_size, target, rate (expected copies), copies, taken."""
+    rated = _rated(Tables(docs.sparkSession, "mix"), docs, id_col, text_col, source_col, weights, share, F.col(id_col))
+    return rated.select(
+        F.col("_carried").alias(id_col), "size", "source_size", "target", F.col("_rate").alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=(3, 1, 2), share: float = 1.5) -> DataFrame:
-    """The documents of the mix with all their columns, each as often as it is taken. Repeated ids are taken alike if
-    their texts and sources are; otherwise rows of an id take the most copies of any of them."""
-    copies = rates(docs, id_col, text_col, source_col, weights, share)
-    copies = copies.groupBy(F.col(id_col).alias("taken")).agg(F.max("copies").cast("int").alias("copies")).filter("copies > 0")
-    rows = packed(docs, id=id_col).join(copies, F.col("id").eqNullSafe(F.col("taken")))
+    """The documents of the mix with all their columns, each row as often as it is taken itself, whatever other rows share its id."""
+    rated = _rated(Tables(docs.sparkSession, "mix"), docs, id_col, text_col, source_col, weights, share, F.struct("*"))
+    rows = rated.filter("copies > 0").select(F.col("_carried").alias("row"), F.col("copies").cast("int").alias("copies"))
     return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strucreg.llm.common import SPACE_BYTES, Tables, in_batches, packed
+from strucreg.llm.common import SPACE_BYTES, Tables, in_batches
 from strucreg.llm.graph import components
 
 SHINGLE = 5
@@ -329,7 +329,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component with all its columns: the one whose id names the component. Rows that repeat that id stay together;
-    rows without id stay unless they are linked to one with."""
-    stay = near_groups(docs, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("stay")).distinct()
-    return packed(docs, id=id_col).join(stay, F.col("id").eqNullSafe(F.col("stay")), "left_semi").select("row.*")
+    """One row of each component with all its columns: the one with the smallest id, the first of those that repeat it; a row without id only
+    where none of the component has one. Rows are numbered in a written copy of ``docs`` and told apart by that number."""
+    tables = Tables(docs.sparkSession, "near-kept")
+    rows = tables.keep(docs.select(F.monotonically_increasing_id().alias("_number"), F.struct("*").alias("_row")))
+    of_row = lambda c: F.col("_row").getField(c)
+    groups = near_groups(rows.select("_number", of_row(text_col).alias("_text")), "_number", "_text").select("_number", "component_id")
+    order = F.struct(of_row(id_col).isNull().alias("missing"), of_row(id_col).alias("id"), F.col("_number").alias("number"))
+    members = groups.join(rows.select("_number", order.alias("order")), "_number")
+    stay = members.groupBy("component_id").agg(F.min("order").alias("first")).select(F.col("first.number").alias("_number"))
+    return rows.join(stay, "_number", "left_semi").select("_row.*")

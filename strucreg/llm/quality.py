@@ -20,8 +20,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strucreg.llm.common import SPACE_BYTES, Tables, in_batches, packed
+from strucreg.llm.common import SPACE_BYTES, Tables, in_batches
 
 MIN_WORDS, WINDOW, MAX_REPEATED = 20, 8, 30
 # A document of n words is rejected above the distance a + b / sqrt(n): a histogram of few words strays further by chance.
@@ -125,11 +126,12 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             columns = [pa.array([r[name] for r in rows], kind) for name, kind in FIELDS]
             yield pa.record_batch([part.column(0), part.column(1), *columns], names=[id_col, "_lang", *(n for n, _ in FIELDS)])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col), lang.alias("_lang"), F.col(text_col).cast("string").alias("_text"))
-    numbers = ", ".join(f"{n} {'bigint' if pa.types.is_integer(t) else 'array<bigint>'}" for n, t in FIELDS)
-    return in_batches(rows, batch_of, f"`{id_col}` {kind}, _lang string, {numbers}")
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("_lang", T.StringType())])
+    for n, t in FIELDS:
+        schema = schema.add(n, T.LongType() if pa.types.is_integer(t) else T.ArrayType(T.LongType()))
+    return in_batches(rows, batch_of, schema)
 
 
 def failed():
@@ -178,9 +180,10 @@ def judge(rows: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]], id_co
         names = [n for n in at if n not in ("classes", "common", "_lang")]
         return pa.record_batch([*keep, pa.array(found[0]), pa.array(found[1])], names=[*names, "class_distance", "word_distance"])
 
-    kind = rows.schema[id_col].dataType.simpleString()
-    numbers = ", ".join(f"{n} bigint" for n, t in FIELDS if pa.types.is_integer(t))
-    judged = in_batches(rows, compare, f"`{id_col}` {kind}, {numbers}, class_distance double, word_distance double")
+    schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType)])
+    for n in [*(n for n, t in FIELDS if pa.types.is_integer(t)), "class_distance", "word_distance"]:
+        schema = schema.add(n, T.DoubleType() if n.endswith("distance") else T.LongType())
+    judged = in_batches(rows, compare, schema)
     chance = 1 / F.sqrt(F.greatest(F.lit(1), F.col("n_words")))
     odd_classes = (F.col("word_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE[0] + MAX_CLASS_DISTANCE[1] * chance)
     odd_words = (F.col("n_words") >= MIN_COUNTED) & (F.col("word_distance") > MAX_WORD_DISTANCE[0] + MAX_WORD_DISTANCE[1] * chance)
@@ -194,7 +197,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns. Where an id is repeated with different texts, its rows stay if all of them would."""
-    rows = quality(docs, id_col, text_col, lang_col)
-    rejected = rows.filter(~F.col("kept")).select(F.col(id_col).alias("rejected"))
-    return packed(docs, id=id_col).join(rejected, F.col("id").eqNullSafe(F.col("rejected")), "left_anti").select("row.*")
+    """The rows of ``docs`` that are kept, with all their columns. Each row is judged by itself and carried through the verdict, so ids do not matter."""
+    carried = "_row"
+    lang = F.col(lang_col) if lang_col in docs.columns else F.lit(None)
+    rows = docs.select(F.struct("*").alias(carried), F.col(text_col).alias("_text"), lang.cast("string").alias("_lang"))
+    return quality(rows, carried, "_text", "_lang").filter("kept").select(f"{carried}.*")

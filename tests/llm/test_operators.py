@@ -476,6 +476,37 @@ def test_rewrite_touches_affected_shards_only(spark, odd, tmp_path):
     assert sorted((r["doc_id"]) for r in rows.collect()) == sorted(r["doc_id"] for r in placed.filter(placed.shard.isin(affected)).collect())
 
 
+@pytest.fixture(scope="module")
+def shared_ids(spark):
+    """Good and bad texts under one null id and one repeated id; of the good ones (name g..) g1 and g2 are near copies, as are g3 and g4."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(400)]
+    texts = {f"g{k}": " ".join(rng.choice(vocabulary) for _ in range(200 + 40 * k)) for k in (1, 3, 5, 6, 7, 8)}
+    texts["g2"], texts["g4"] = texts["g1"] + " changed", texts["g3"] + " changed"
+    ids = {"g1": None, "g2": 1, "g3": 2, "g4": 2, "g5": None, "g6": 2, "g7": None, "g8": 3}
+    rows = [(ids[n], t, n) for n, t in sorted(texts.items())] + [(i, "too short", f"b{k}") for k, i in enumerate((None, None, 2))]
+    return spark.createDataFrame([(i, t, "en", "s%d" % (k % 2), n) for k, (i, t, n) in enumerate(rows)], "doc_id bigint, text string, lang string, source string, name string").repartition(3).cache()
+
+
+def test_quality_keeps_good_rows_that_share_an_id_with_bad_ones(shared_ids):
+    assert sorted(r["name"] for r in quality.keep_good(shared_ids).collect()) == [f"g{k}" for k in range(1, 9)]
+
+
+def test_near_keeps_one_row_of_a_component_whatever_ids_are_shared(shared_ids):
+    kept = sorted(r["name"] for r in ngram_join.keep_one(shared_ids.filter("name like 'g%'")).collect())
+    # g1 without id is linked to g2 with one; g3 and g4 share their id, either may stay
+    assert [n for n in kept if n not in ("g3", "g4")] == ["g2", "g5", "g6", "g7", "g8"] and len(kept) == 6
+
+
+def test_mix_takes_each_row_by_itself(shared_ids):
+    words = lambda r: len((r["text"] or "").split())
+    copies = mixing.rates(shared_ids).collect()
+    expected = sorted((str(r["doc_id"]), r["size"]) for r in copies for _ in range(r["copies"]))
+    assert sorted((str(r["doc_id"]), words(r)) for r in mixing.mix(shared_ids).collect()) == expected
+    of_null = {r["copies"] for r in copies if r["doc_id"] is None}
+    assert len(of_null) > 1  # else the case shows nothing
+
+
 @pytest.mark.parametrize(
     "apply",
     [
