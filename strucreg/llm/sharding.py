@@ -148,13 +148,18 @@ def moved_bytes(assigned: DataFrame) -> DataFrame:
 
 
 def rewrite(docs: DataFrame, assigned: DataFrame, path: str, id_col: str = "doc_id", stretch: int = 1_000_000) -> list[int]:
-    """Writes the shards whose rows change, as ``path/shard=N`` with the document in the column ``row``, and returns their numbers; the
-    others' files are not touched. ``docs`` and ``assigned`` are joined by id, which must be unique here."""
+    """Writes the shards whose rows change, as ``path/shard=N`` with the document in the column ``row``, and returns their numbers; the folder
+    of a shard left without rows is deleted, the others' files are not touched. ``docs`` and ``assigned`` are joined by id, which must be unique here."""
     moves = moved_bytes(assigned).select("old_shard", "shard").distinct().collect()  # at most old x new rows
     affected = sorted({n for r in moves for n in r})
     places = assigned.filter(F.col("shard").isin(affected)).select(F.col(id_col).alias("of"), "shard", "slot")
     rows = packed(docs, id=id_col).join(places, F.col("id").eqNullSafe(F.col("of")))
+    filled = {r["shard"] for r in places.select("shard").distinct().collect()}
     # one writer per shard and stretch of slots: a shard's rows are not gathered in one task
     rows = rows.repartition("shard", F.floor(F.col("slot") / stretch)).sortWithinPartitions("shard", "slot").select("shard", "row")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    # the write replaces only shards that get rows; the folders of those left without any go after it
+    tables = Tables(docs.sparkSession, "rewrite")
+    for shard in set(affected) - filled:
+        tables.drop(f"{path}/shard={shard}")
     return affected

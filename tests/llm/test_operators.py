@@ -476,6 +476,15 @@ def test_rewrite_touches_affected_shards_only(spark, odd, tmp_path):
     assert sorted((r["doc_id"]) for r in rows.collect()) == sorted(r["doc_id"] for r in placed.filter(placed.shard.isin(affected)).collect())
 
 
+def test_rewrite_removes_shards_left_without_rows(spark, odd, tmp_path):
+    path, old = str(tmp_path / "layout"), queries.F.col("doc_id") % 4
+    odd.select(old.cast("int").alias("shard"), queries.F.struct("*").alias("row")).write.partitionBy("shard").parquet(path)
+    placed = sharding.reshard(odd, old, 4, 2).cache()
+    assert set(sharding.rewrite(odd, placed, path)) >= {2, 3}
+    rows = spark.read.parquet(path).selectExpr("shard", "row.doc_id").collect()
+    assert sorted(map(tuple, rows)) == sorted((r["shard"], r["doc_id"]) for r in placed.collect())
+
+
 @pytest.fixture(scope="module")
 def shared_ids(spark):
     """Good and bad texts under one null id and one repeated id; of the good ones (name g..) g1 and g2 are near copies, as are g3 and g4."""
