@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strucreg.llm import exact_dedup, language_id, mixing, ngram_join, packing, pii, quality, sharding, suffix_dedup, toxicity
+from strucreg.llm import collocations, exact_dedup, language_id, mixing, ngram_join, packing, pii, quality, sharding, suffix_dedup, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -72,13 +72,17 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir)).drop("k")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_language_id, op4_toxicity, op5_ngram_join, op6_packing, op7_quality, op8_suffix_dedup, op9_mixing, op10_sharding, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_language_id, op4_toxicity, op5_ngram_join, op6_packing, op7_quality, op8_suffix_dedup, op9_mixing, op10_sharding, op11_collocations, pipeline)}
 
 SQL = {
     "op1_exact_dedup": r"""
@@ -87,7 +91,7 @@ SQL = {
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)""",
     "op5_ngram_join": r"""
         WITH RECURSIVE w AS (
-          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS words
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS words
           FROM documents),
         sets AS MATERIALIZED (
           SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
@@ -117,4 +121,21 @@ SQL = {
         SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
           sha256(unhex(CASE WHEN gone IS NULL THEN h ELSE kept || substr(h, 2 * last + 1) END)) AS kept_sha256
         FROM t LEFT JOIN cut USING (doc_id)""",
+    "op11_collocations": r"""
+        WITH t AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS x FROM documents),
+        pieces AS (SELECT lang, unnest(regexp_split_to_array(x, '[.,;:!?\x0A-\x0D]')) AS p FROM t),
+        w AS MATERIALIZED (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+        grams AS (SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase FROM w, range(1, 5) r(size)),
+        f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+        n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
+        c AS MATERIALIZED (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2),
+        cuts AS (SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * c.a // (x.f + y.f) AS score
+          FROM c, range(1, 4) q(k), f x, f y
+          WHERE k < c.size AND x.lang = c.lang AND y.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
+        best AS (SELECT lang, phrase, a, min_by((score, l, r), (score, k)) AS b FROM cuts GROUP BY ALL),
+        inner_ AS (SELECT lang, a AS f, unnest(list_transform(range(1, size - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM c, range(2, 4) q(m) WHERE m < size),
+        cover AS (SELECT lang, phrase, max(f) AS f FROM inner_ GROUP BY ALL),
+        kept AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY b[1] DESC, a DESC, encode(best.phrase)) AS rank
+          FROM best LEFT JOIN cover USING (lang, phrase) WHERE cover.f IS NULL OR 100 * cover.f < 80 * a)
+        SELECT lang, rank, phrase, a, b[2] AS l, b[3] AS r, n, b[1]::BIGINT AS score FROM kept JOIN n USING (lang) WHERE rank <= 2000""",
 }
