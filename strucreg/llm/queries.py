@@ -129,9 +129,9 @@ SQL = {
         f AS MATERIALIZED (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
         n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
         c AS MATERIALIZED (SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size >= 2),
-        cuts AS (SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * c.a // (x.f + y.f) AS score
-          FROM c, range(1, 4) q(k), f x, f y
-          WHERE k < c.size AND x.lang = c.lang AND y.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ') AND y.phrase = array_to_string(c.w[k + 1:], ' ')),
+        parts AS MATERIALIZED (SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail FROM c, range(1, 4) q(k) WHERE k < size),
+        cuts AS MATERIALIZED (SELECT p.lang, p.phrase, a, k, x.f AS l, y.f AS r, 2000000::HUGEINT * a // (x.f + y.f) AS score
+          FROM parts p JOIN f x ON x.lang = p.lang AND x.phrase = p.head JOIN f y ON y.lang = p.lang AND y.phrase = p.tail),
         best AS (SELECT lang, phrase, a, min_by((score, l, r), (score, k)) AS b FROM cuts GROUP BY ALL),
         inner_ AS (SELECT lang, a AS f, unnest(list_transform(range(1, size - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS phrase FROM c, range(2, 4) q(m) WHERE m < size),
         cover AS (SELECT lang, phrase, max(f) AS f FROM inner_ GROUP BY ALL),
