@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strucreg.llm import collocations, exact_dedup, language_id, mixing, ngram_join, packing, pii, quality, sharding, suffix_dedup, toxicity
+from strucreg.llm import collocations, exact_dedup, language_id, license_scan, mixing, ngram_join, packing, pii, quality, sharding, source_audit, suffix_dedup, toxicity
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -76,15 +76,66 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir)).drop("k")
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.audit(documents(spark, sf_dir))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_scan.scan(documents(spark, sf_dir))
+    # a base phrase alone is worth a half
+    score = F.greatest(F.coalesce(F.array_max("notices.score"), F.lit(0.0)), F.when(F.size("places") > 0, 0.5).otherwise(0.0))
+    return found.select(
+        "doc_id", "n_words", F.size("places").cast("bigint").alias("n_base"), F.array_min("places.at").alias("first_word"), F.array_max("places.at").alias("last_word"),
+        F.array_join("base_labels", ",").alias("base_labels"), F.array_join("labels", ",").alias("labels"), score.alias("score"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_language_id, op4_toxicity, op5_ngram_join, op6_packing, op7_quality, op8_suffix_dedup, op9_mixing, op10_sharding, op11_collocations, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_pii, op3_language_id, op4_toxicity, op5_ngram_join, op6_packing, op7_quality, op8_suffix_dedup, op9_mixing, op10_sharding, op11_collocations, op12_source_audit, op13_license_scan, pipeline)}
+
+def _license_sql() -> str:
+    texts = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    base = ", ".join(f"({texts(p.split())}, '{label}')" for p, label in license_scan.PHRASES.items())
+    notices = ", ".join(f"({i}, '{n.label}', {texts(n.text.split())})" for i, n in enumerate(license_scan.NOTICES))
+    keys = ", ".join(f"({i}, {texts(k.split())})" for i, n in enumerate(license_scan.NOTICES) for k in n.keys)
+    return rf"""
+        WITH w AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        p AS MATERIALIZED (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM w),
+        base(words, label) AS (VALUES {base}),
+        notices(notice, label, words) AS (VALUES {notices}),
+        keys(notice, words) AS (VALUES {keys}),
+        places AS (SELECT r, pos, label FROM p JOIN base ON p.word = words[1] JOIN w USING (r) WHERE w[pos + 1:pos + len(words)] = words),
+        index_ AS (SELECT notice, word, place FROM (SELECT notice, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS place FROM notices)
+          WHERE word NOT IN {tuple(license_scan.EVERYDAY)}),
+        hits AS MATERIALIZED (SELECT r, pos, notice, word, place FROM p JOIN index_ USING (word)),
+        idf AS (SELECT word, round(ln(((SELECT count(*) FROM w) + 1) / count(DISTINCT r)) * 1000000)::BIGINT AS idf FROM hits GROUP BY word),
+        best AS (SELECT r, notice, word, idf FROM (SELECT DISTINCT r, notice, word FROM hits) JOIN idf USING (word) QUALIFY row_number() OVER (PARTITION BY r, notice ORDER BY idf DESC, word) <= {license_scan.TOP}),
+        whole AS (SELECT r, notice, sum(idf) AS whole, count(*) AS sought FROM best GROUP BY ALL),
+        begins AS (SELECT r, notice, start, sum(idf) AS weight, count(*) AS words
+          FROM (SELECT DISTINCT r, notice, pos - place AS start, word, idf FROM hits JOIN best USING (r, notice, word)) GROUP BY ALL),
+        standing AS (
+          SELECT b.r, b.notice, b.start, b.weight, whole.whole
+          FROM begins b JOIN whole USING (r, notice) JOIN notices n USING (notice) JOIN w USING (r)
+          WHERE b.words >= ceil(sought * {license_scan.IN_PLACE}) AND NOT EXISTS (
+            SELECT 1 FROM keys k WHERE k.notice = b.notice AND NOT list_bool_or(list_transform(range(0, len(n.words) - len(k.words) + 1), lambda i: n.words[i + 1:i + len(k.words)] = k.words
+              AND start + i >= 0 AND w.w[start + i + 1:start + i + len(k.words)] = k.words)))),
+        told AS (SELECT r, label, round(weight / greatest(whole, 1), 6) AS score FROM standing JOIN notices USING (notice)),
+        named AS (SELECT r, label, TRUE AS base, pos, 0.5::DOUBLE AS score FROM places UNION ALL SELECT r, label, FALSE, NULL, score FROM told),
+        out_ AS (SELECT r, count(*) FILTER (base) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels,
+            string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM named GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+          coalesce(score, 0)::DOUBLE AS score
+        FROM w LEFT JOIN out_ USING (r)"""
+
 
 SQL = {
+    "op13_license_scan": _license_sql(),
     "op1_exact_dedup": r"""
         WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[ \t-\r]', '', 'g') AS norm FROM documents),
         g AS (SELECT norm, arg_min(doc_id, (-chars, doc_id)) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
@@ -138,4 +189,28 @@ SQL = {
         kept AS (SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY b[1] DESC, a DESC, encode(best.phrase)) AS rank
           FROM best LEFT JOIN cover USING (lang, phrase) WHERE cover.f IS NULL OR 100 * cover.f < 80 * a)
         SELECT lang, rank, phrase, a, b[2] AS l, b[3] AS r, n, b[1]::BIGINT AS score FROM kept JOIN n USING (lang) WHERE rank <= 2000""",
+    "op12_source_audit": r"""
+        WITH t AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+            regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w,
+            row_number() OVER () AS doc FROM documents),
+        words AS MATERIALIZED (SELECT lang, source, doc, unnest(w) AS term FROM t),
+        kept AS MATERIALIZED (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT doc) >= 30),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+        groups AS MATERIALIZED (SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(total, 0) AS total
+          FROM (SELECT DISTINCT lang, source FROM t) g LEFT JOIN v USING (lang) LEFT JOIN (SELECT lang, source, sum(n) AS total FROM counts GROUP BY ALL) USING (lang, source)),
+        p AS MATERIALIZED (
+          SELECT g.lang, g.source, k.term, coalesce(n, 0) AS n, 1 + 1000000000::HUGEINT * (coalesce(n, 0) + 5) // (g.total + 5 * g.v) AS p
+          FROM groups g JOIN kept k USING (lang) LEFT JOIN counts USING (lang, source, term)),
+        q AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(n) + 5) // (sum(sum(n)) OVER (PARTITION BY lang) + 5 * count(*) OVER (PARTITION BY lang)) AS q
+          FROM counts GROUP BY lang, term),
+        pairs AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+        rows_ AS (
+          SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+          FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+          UNION ALL
+          SELECT p.lang, p.source, 'term', p.term, (p.p - q.q)::BIGINT FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q)
+        SELECT lang, source, part, item, value, rank FROM (
+          SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM rows_)
+        WHERE part = 'pair' OR rank <= 50""",
 }
