@@ -23,6 +23,7 @@ CONTRACT = {
     "op7_quality": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
     "op8_suffix_dedup": "doc_id n_bytes n_removed n_spans kept_sha256",
     "op9_mixing": "doc_id size source_size target taken",
+    "op13_license_scan": "doc_id n_words n_base first_word last_word base_labels labels score",
     "op10_sharding": "doc_id size text_crc32 law shard slot grown_shard",
 }
 
