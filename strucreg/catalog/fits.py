@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from strucreg.catalog import graphs
 from strucreg.catalog.models import _draw, _everything, _metrics, _plain, _products
-from strucreg.catalog.sql import OBS, X, Y, bucket, holdout, union_all, uniform
+from strucreg.catalog.sql import ATOMS, OBS, X, Y, bucket, holdout, union_all, uniform
 from strucreg.operators import gcn, graph, linear, network, partial_sums, search, split, trees
 from strucreg.plans import bindings as b
 from strucreg.scratch import scratch_path
@@ -34,7 +34,7 @@ def flagship(spark, sf_dir):
 def _search(spark, sf_dir, family):
     """A few trials by three folds on the six numbers alone, the log written and read back, the refit of the best trial on the test rows."""
     table = _plain(spark, sf_dir)
-    log, _, model = search.search_linear(spark, _products(table), family, TRIALS[family])
+    log, _, model = search.search_linear(spark, _products(table), family, TRIALS[family], gap=0.0)
     path = scratch_path(spark, "trials")
     artifacts.save_trials(log, path)
     winner = search.winner(artifacts.load_trials(spark, path))
@@ -239,6 +239,38 @@ test AS (SELECT z.*, {', '.join(f'{_hat(t)} AS h{t}' for t in range(1, 7))} FROM
 {_metrics_sql('test')}"""
 
 
+# least squares on the numbers and all coordinates: the products of all columns, then elimination. The shortest solution is where
+# ridge goes as its strength vanishes: two small strengths are solved and the line through both is followed to 0
+_OLS = f"""WITH RECURSIVE {OBS}, {ATOMS},
+systems AS MATERIALIZED (SELECT DISTINCT idx, name FROM atoms),
+rows_ AS MATERIALIZED (SELECT s.name, {holdout('s.idx')} AS split, {', '.join([*X, *Y])} FROM systems s JOIN obs ON s.idx = obs.idx),
+width AS (SELECT 6 + 3 * (max(atom_idx) + 1) AS d FROM atoms),
+given AS (
+  {union_all(f"SELECT name, {i} AS pos, {x} AS v FROM rows_" for i, x in enumerate(X, 1))}
+  UNION ALL {union_all(f"SELECT name, 6 + 3 * atom_idx + {i} AS pos, {c} AS v FROM atoms" for i, c in enumerate("xyz", 1))}
+  UNION ALL {union_all(f"SELECT name, d + {i} AS pos, {y} AS v FROM rows_, width" for i, y in enumerate(Y, 1))}),
+entries AS MATERIALIZED (SELECT name, split, pos, coalesce(v, 0)::DOUBLE AS v FROM (SELECT name, split, unnest(range(1, d + 7)) AS pos FROM rows_, width) LEFT JOIN given USING (name, pos)),
+scales AS MATERIALIZED (SELECT pos, avg(v) AS m, CASE WHEN min(v) = max(v) THEN 1 ELSE stddev_pop(v) END AS s FROM entries WHERE split = 'train' GROUP BY pos),
+zs AS MATERIALIZED (SELECT name, split, pos, (v - m) / s AS v FROM entries JOIN scales USING (pos)),
+grams AS MATERIALIZED (SELECT a.pos AS i, b.pos AS j, sum(a.v * b.v) AS p FROM zs a JOIN zs b USING (name) WHERE a.split = 'train' AND b.split = 'train' GROUP BY ALL),
+rows_of AS (SELECT i, list(p ORDER BY j) AS row FROM grams, width WHERE i <= d GROUP BY i),
+solve AS (
+  SELECT 1 AS k, lam, list_transform(a, lambda row, i: list_transform(row, lambda v, j: v + CASE WHEN i = j THEN lam * 1e-7 * n ELSE 0 END)) AS a
+  FROM (SELECT list(row ORDER BY i) AS a FROM rows_of), (SELECT count(*)::DOUBLE AS n FROM rows_ WHERE split = 'train'), range(1, 3) r(lam)
+  UNION ALL
+  SELECT k + 1, lam, list_transform(a, lambda row, i: CASE WHEN i = k THEN list_transform(row, lambda v: v / row[k])
+    ELSE list_transform(row, lambda v, j: v - row[k] * a[k][j] / a[k][k]) END)
+  FROM solve, width WHERE k <= d),
+solved AS MATERIALIZED (SELECT lam, a FROM solve, width WHERE k = d + 1),
+weights AS MATERIALIZED (SELECT list_transform(range(1, 7), lambda t: list_transform(range(1, d + 1), lambda i: 2 * one.a[i][d + t] - two.a[i][d + t])) AS w
+  FROM solved one, solved two, width WHERE one.lam = 1 AND two.lam = 2),
+vectors AS (SELECT name, list(v ORDER BY pos) AS x FROM zs, width WHERE split = 'test' AND pos <= d GROUP BY name),
+test AS (SELECT {', '.join(Y)}, {', '.join(f'list_dot_product(x, w[{t}]) AS h{t}' for t in range(1, 7))},
+  {', '.join(f"(SELECT m FROM scales, width WHERE pos = d + {i}) AS m_{y}, (SELECT s FROM scales, width WHERE pos = d + {i}) AS d_{y}" for i, y in enumerate(Y, 1))}
+  FROM vectors JOIN rows_ USING (name), weights)
+{_metrics_sql('test')}"""
+
+
 def _stump(rows: str, name: str, least: int) -> str:
     """The best cut of x5 per target for rows (target, x, r): the smallest sum of squares within the sides."""
     return f"""
@@ -385,6 +417,7 @@ back1 AS MATERIALIZED (SELECT s.name, s.atom_idx, {', '.join(f'CASE WHEN u1.{h}
 SQL = {
     "gcn_gradient": _gradient_sql(),
     "flagship": _FLAGSHIP,
+    "ols_structures": _OLS,
     **{f"search_{f}_numbers": _search_sql(f) for f in TRIALS},
     "decision_stump": _DECISION,
     "boosted_stumps": _boosted_sql(),

@@ -45,10 +45,16 @@ def _metrics(table, predicted):
     return evaluate.regression_metrics(table.pairs(predicted))
 
 
+def _shown(df, columns=("mse", "rmse", "r2", "mae", "mape")):
+    """Six significant digits, in a form that both engines print alike."""
+    return df.withColumns({c: F.format_string("%.5e", F.col(c)).cast("double") for c in columns})
+
+
 def ols_structures(spark, sf_dir):
+    """Least squares on the numbers and all padded coordinates, from a triangular factor of the rows."""
     table = _full(spark, sf_dir)
-    model = linear.ols(_everything(_products(table)))
-    return _metrics(table, table.test.withColumn("prediction", model.predict(F.col("features"))))
+    model = linear.least_squares(table.train, "features", table.targets)
+    return _shown(_metrics(table, table.test.withColumn("prediction", model.predict(F.col("features")))))
 
 
 # --- linear -------------------------------------------------------------------

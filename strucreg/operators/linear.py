@@ -1,8 +1,11 @@
 """Least squares, ridge, lasso and elastic net for several targets at once.
 
 One pass over the data builds the cross-product matrix of (1, features, targets) per fold.
-It has the size of the feature list squared, and every fit, trial and validation error
+It has the size of the feature list squared, and every penalised fit, trial and validation error
 follows from it: the data is not read again, however many trials are made.
+
+Plain least squares has no penalty to hide that products square the condition number, so it comes from a triangular factor of
+the rows instead (``triangular_factor``), of the same size.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strucreg.operators import paths
 from strucreg.operators.partial_sums import matrix, sum_vectors, vector_rows
 
 
@@ -139,50 +143,133 @@ def ridge(products: CrossProducts, alpha: float) -> LinearModel:
     return _model(products, np.linalg.solve(xx + alpha * np.eye(len(xx)), xy))
 
 
-def elastic_net(
-    products: CrossProducts, alpha: float, l1_ratio: float, max_iter: int = 100_000, tol: float = 1e-10
-) -> LinearModel:
-    """Minimises half the mean squared error plus ``alpha`` times the mixed penalty, by cyclic descent.
+def moments(products: CrossProducts) -> paths.Moments:
+    _, mean_y, xx, xy = products.centered()
+    yy = np.diag(products.total)[1 + len(xx) :] / products.n - mean_y**2
+    return paths.Moments(xx / products.n, xy / products.n, yy)
+
 
-    The model says whether the last sweep changed no weight by more than ``tol``.
+def elastic_net(products: CrossProducts, alpha: float, l1_ratio: float, max_iter: int = 100_000, tol: float = 1e-12, gap: float = 0.0) -> LinearModel:
+    """Minimises half the mean squared error plus ``alpha`` times the mixed penalty.
+
+    The model says whether every target ended: its duality gap is at most ``gap`` times its mean square, or the last sweep changed
+    no weight by more than ``tol``.
     """
-    _, _, xx, xy = products.centered()
-    xx, xy = xx / products.n, xy / products.n
-    l1, l2 = alpha * l1_ratio, alpha * (1 - l1_ratio)
-    w = np.zeros_like(xy)
-    diagonal = np.diag(xx)
-    converged = False
-    for _ in range(max_iter):
-        change = 0.0
-        for j in np.flatnonzero(diagonal > 1e-14):
-            rho = xy[j] - xx[j] @ w + diagonal[j] * w[j]
-            new = np.sign(rho) * np.maximum(np.abs(rho) - l1, 0) / (diagonal[j] + l2)
-            change = max(change, float(np.max(np.abs(new - w[j]))))
-            w[j] = new
-        if change < tol:
-            converged = True
-            break
-    return _model(products, w, converged)
+    weights, ended = paths.elastic_path(moments(products), [alpha], [l1_ratio], gap=gap, settled=tol, max_iter=max_iter)
+    return _model(products, weights[0], bool(ended[0]))
 
 
 def lasso(products: CrossProducts, alpha: float, **options) -> LinearModel:
     return elastic_net(products, alpha, 1.0, **options)
 
 
-# Name of each family and how it is fitted from its parameters.
+# Fixed value: the share of a target's mean square at which the gap of a trial is small enough.
+GAP = 1e-4
+
+# Name of each family and how it is fitted from its parameters and the gap at which it may end.
 FAMILIES = {
-    "ols": lambda products, params: ols(products),
-    "ridge": lambda products, params: ridge(products, params["alpha"]),
-    "lasso": lambda products, params: lasso(products, params["alpha"], tol=1e-9),
-    "elastic_net": lambda products, params: elastic_net(products, params["alpha"], params["l1_ratio"], tol=1e-9),
+    "ols": lambda products, params, gap=GAP: ols(products),
+    "ridge": lambda products, params, gap=GAP: ridge(products, params["alpha"]),
+    "lasso": lambda products, params, gap=GAP: lasso(products, params["alpha"], gap=gap),
+    "elastic_net": lambda products, params, gap=GAP: elastic_net(products, params["alpha"], params["l1_ratio"], gap=gap),
 }
 
 
+def trial_models(products: CrossProducts, family: str, trials: Sequence[dict], gap: float = GAP) -> list[LinearModel]:
+    """The models of many trials, solved together where the family has a way."""
+    if family == "ridge":
+        _, _, xx, xy = products.centered()
+        return [_model(products, w) for w in paths.ridge_path(xx, xy, [t["alpha"] for t in trials])]
+    if family in ("lasso", "elastic_net"):
+        ratios = [1.0 if family == "lasso" else t["l1_ratio"] for t in trials]
+        weights, ended = paths.elastic_path(moments(products), [t["alpha"] for t in trials], ratios, gap=gap)
+        return [_model(products, w, bool(e)) for w, e in zip(weights, ended)]
+    return [FAMILIES[family](products, t) for t in trials]
+
+
+def added(products: dict[int, CrossProducts]) -> CrossProducts:
+    return sum(list(products.values())[1:], next(iter(products.values())))
+
+
+def fold_error(products: dict[int, CrossProducts], fold: int, family: str, trials: Sequence[dict], gap: float = GAP) -> list[float]:
+    """Per trial: fit on the other folds, mean squared error over all targets on this one."""
+    held_out = products[fold]
+    return [float(np.mean(held_out.squared_errors(m))) for m in trial_models(added(products) - held_out, family, trials, gap)]
+
+
 def fold_errors(products: dict[int, CrossProducts], family: str, params: dict) -> list[float]:
-    """Per fold: fit on the other folds, mean squared error over all targets on this one."""
-    everything = sum(list(products.values())[1:], next(iter(products.values())))
-    errors = []
-    for held_out in products.values():
-        model = FAMILIES[family](everything - held_out, params)
-        errors.append(float(np.mean(held_out.squared_errors(model))))
-    return errors
+    """The errors of one trial, fold by fold."""
+    return [fold_error(products, fold, family, [params])[0] for fold in products]
+
+
+# --- least squares from a triangular factor ------------------------------------
+
+# Rows taken into a factor at a time, and the meeting places of the first round.
+_BLOCK, _MEETING = 4096, 256
+
+
+def _folded(factor: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
+    """The triangular factor of rows added to those of ``factor``."""
+    stacked = rows if factor is None else np.vstack([factor, rows])
+    return np.linalg.qr(stacked, mode="r") if len(stacked) > 1 else stacked
+
+
+def triangular_factor(df: DataFrame, features: Sequence[str] | str, targets: Sequence[str]) -> np.ndarray:
+    """R of the QR factorisation of the rows (1, features, targets).
+
+    Every task folds its rows into one factor, factors meet in at most ``_MEETING`` tasks that fold them as they come, then in
+    a sixteenth of that, then on the driver: its share is sixteen factors whatever the data.
+    """
+    x = F.col(features) if isinstance(features, str) else F.array(*[F.col(f).cast("double") for f in features])
+    rows = df.select(F.concat(F.array(F.lit(1.0)), x, F.array(*targets)).alias("v"))
+    schema = "part int, factor array<double>"
+
+    def table(factor, part: int):
+        import pyarrow as pa
+
+        flat = pa.array([np.ravel(f) for f in ([] if factor is None else [factor])], pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array([part] * len(flat), pa.int32()), flat], names=["part", "factor"])
+
+    def fold_rows(batches):
+        from pyspark import TaskContext
+
+        factor = None
+        for batch in batches:
+            v = matrix(batch.column("v"))
+            for at in range(0, len(v), _BLOCK):
+                factor = _folded(factor, v[at : at + _BLOCK])
+        yield table(factor, TaskContext.get().partitionId() % _MEETING)
+
+    def fold_factors(batches):
+        merged: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, flat in zip(batch.column("part").to_pylist(), batch.column("factor")):
+                values = flat.values.to_numpy(zero_copy_only=False)
+                merged[part] = _folded(merged.get(part), values.reshape(-1, width))
+        for part, factor in merged.items():
+            yield table(factor, part // 16)
+
+    first = rows.first()
+    if first is None:
+        raise ValueError("no rows")
+    width = len(first["v"])
+    factors = rows.mapInArrow(fold_rows, schema)
+    for _ in range(2):
+        factors = factors.repartition("part").mapInArrow(fold_factors, schema)
+    whole = None
+    for row in factors.toLocalIterator():
+        whole = _folded(whole, np.array(row["factor"]).reshape(-1, width))
+    return whole
+
+
+def least_squares(df: DataFrame, features: Sequence[str] | str, targets: Sequence[str], rcond: float = 1e-13) -> LinearModel:
+    """Least squares from the triangular factor; the shortest solution where the features are dependent.
+
+    The first row of the factor holds the means, the rest is the factor of the centred rows. Singular values below ``rcond`` times
+    the largest count as none.
+    """
+    factor = triangular_factor(df, features, targets)
+    d = factor.shape[1] - 1 - len(targets)
+    means = factor[0, 1:] / factor[0, 0]
+    coef = np.linalg.lstsq(factor[1 : 1 + d, 1 : 1 + d], factor[1 : 1 + d, 1 + d :], rcond=rcond)[0] if len(factor) > 1 else np.zeros((d, len(targets)))
+    return LinearModel(coef, means[d:] - means[:d] @ coef)

@@ -122,32 +122,43 @@ def winner(log: DataFrame):
 MAX_SENT_BYTES = 256 << 20
 
 
+# Trials that are solved one after the other by descending strength; each such run is a task.
+PATH_TRIALS = 64
+
+
 def search_linear(
-    spark: SparkSession, products: dict[int, linear.CrossProducts], family: str, n_trials: int, seed: int = 42
+    spark: SparkSession, products: dict[int, linear.CrossProducts], family: str, n_trials: int, seed: int = 42, gap: float = linear.GAP
 ) -> tuple[DataFrame, dict, linear.LinearModel]:
-    """Trials are rows, solved in the tasks from the fold cross products; returns log, best parameters and the refit."""
+    """Log, best parameters and the refit, from the fold cross products alone.
+
+    The trials are ordered by strength and cut into paths; a task solves one path of one fold, all its trials and targets
+    together. A fit ends at ``gap`` (see ``linear.elastic_net``); 0 fits to the last digit.
+    """
     sent = sum(p.total.nbytes for p in products.values())
     if sent > MAX_SENT_BYTES:
         raise ValueError(f"the cross products of this many features take {sent} bytes")
-    trials = trial_table(spark.range(n_trials).withColumnRenamed("id", "trial"), SPACES[family], seed)
+    trials = random_trials(spark, family, n_trials, seed)
+    ordered = sorted(trials, key=lambda t: (-t.get("alpha", 0.0), t["trial"]))
+    pieces = [ordered[i : i + PATH_TRIALS] for i in range(0, n_trials, PATH_TRIALS)]
+    tasks = [(at, fold, len(piece), [t["trial"] for t in piece]) for at, piece in enumerate(pieces) for fold in products]
 
     def solve(frames):
         import pandas as pd
 
         for frame in frames:
-            rows = []
-            for params in frame.to_dict("records"):
-                trial = int(params.pop("trial"))
-                value = float(np.mean(linear.fold_errors(products, family, params)))
-                rows.append((trial, value, {k: str(v) for k, v in params.items()}, _state(value)))
-            yield pd.DataFrame(rows, columns=["trial", "value", "params", "state"])
-
-    # a few trials per task; one of them takes from milliseconds to minutes
-    spread = trials.repartition(max(1, min(n_trials // 4, 200)), "trial")
-    log = spark.createDataFrame(spread.mapInPandas(solve, SCHEMA).orderBy("trial").collect(), SCHEMA)  # n_trials rows
+            for at, fold in zip(frame["path"], frame["fold"]):
+                values = linear.fold_error(products, int(fold), family, pieces[int(at)], gap)
+                yield pd.DataFrame({"trial": [t["trial"] for t in pieces[int(at)]], "fold": int(fold), "value": values})
+
+    # one row per path and fold; the row number spreads them evenly over the tasks
+    spread = spark.createDataFrame(tasks, "path int, fold int, n int, trials array<bigint>").repartitionByRange(len(tasks), "path", "fold")
+    solved = spread.select("path", "fold").mapInPandas(solve, "trial long, fold int, value double")
+    # n_trials rows, folds added in their order
+    means = {r["trial"]: r["values"] for r in solved.groupBy("trial").agg(F.transform(F.array_sort(F.collect_list(F.struct("fold", "value"))), lambda v: v["value"]).alias("values")).collect()}
+    results = [(t["trial"], float(np.mean(means[t["trial"]])), {k: v for k, v in t.items() if k != "trial"}) for t in trials]
+    log = trial_log(spark, results)
     best = {k: float(v) for k, v in winner(log)["params"].items()}
-    everything = sum(list(products.values())[1:], next(iter(products.values())))
-    return log, best, linear.FAMILIES[family](everything, best)
+    return log, best, linear.FAMILIES[family](linear.added(products), best, gap)
 
 
 def search(
