@@ -31,10 +31,11 @@ LONGEST = 4
 # Counters of a summary, as a multiple of mass / threshold.
 ROOM = 4
 # Phrases that a task counts before it sends them on, and the most phrases that a partition is meant to get.
-STRETCH = 4 << 20
-PARTITION_MASS = 64 << 20
-_SENT = "part int, kind int, mass bigint, keys binary, counts binary"
-_SENT_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("mass", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
+STRETCH = 2 << 20
+PARTITION_MASS = 32 << 20
+# Two rows per partition and stretch: kind 0 with the occurrences, kind 1 with the number of different keys, the keys and counts.
+_SENT = "part int, kind int, amount bigint, keys binary, counts binary"
+_SENT_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("amount", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _ODD = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -71,12 +72,14 @@ def phrase_keys(found: words.Words, lang: np.ndarray, seeds: np.ndarray):
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """The numbers byte by byte, all lowest bytes first: upper bytes are mostly 0 and are compressed away."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    """The numbers byte by byte, all lowest bytes first: upper bytes are mostly 0 and are compressed away. Compressed here and not
+    by the shuffle, so that a task's batch of rows is no larger than what it was sent."""
+    return pa.compress(values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), codec="zstd", asbytes=True)
 
 
-def _from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+def _from_planes(data: bytes, count: int) -> np.ndarray:
+    raw = pa.decompress(data, decompressed_size=4 * count, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 def _sent(keys: list[np.ndarray], bits: int) -> pa.RecordBatch:
@@ -88,7 +91,7 @@ def _sent(keys: list[np.ndarray], bits: int) -> pa.RecordBatch:
     rows: list[tuple] = []
     for p, names, n in zip(part[np.concatenate([[0], cuts])].tolist(), np.split(name, cuts), np.split(counts, cuts)):
         rows.append((p, 0, int(n.sum()), None, None))
-        rows.append((p, 1, 0, _planes(np.diff(names, prepend=names[:1] * 0)), _planes(n)))
+        rows.append((p, 1, len(n), _planes(np.diff(names, prepend=names[:1] * 0)), _planes(n)))
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _SENT_ARROW.types)], schema=_SENT_ARROW)
 
 
@@ -161,17 +164,18 @@ def survivors(tables: Tables, texts: DataFrame, threshold: int, partition_mass:
             return pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64))], names=["key"])
 
         for batch in batches:
-            for p, kind, m, keys, counts in zip(*(batch.column(i) for i in range(5))):
+            for p, kind, amount, keys, counts in zip(*(batch.column(i) for i in range(5))):
                 if p.as_py() != part:
                     if part is not None:
                         yield finished()
                     part, mass, summary = p.as_py(), 0, None
                 if kind.as_py() == 0:
-                    mass += m.as_py()
+                    mass += amount.as_py()
                     continue
                 if summary is None:
                     summary = Summary(room * mass // threshold + 1)
-                summary.add(np.cumsum(_from_planes(keys.as_py()).astype(np.uint64)), _from_planes(counts.as_py()).astype(np.int64))
+                n = amount.as_py()
+                summary.add(np.cumsum(_from_planes(keys.as_py(), n).astype(np.uint64)), _from_planes(counts.as_py(), n).astype(np.int64))
         if part is not None:
             yield finished()
 

@@ -111,7 +111,7 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
             for found, lang, langs, row, _, copies in _slices(batch, table):
                 weight = np.bincount(row, weights=copies, minlength=len(lang)).astype(np.int64)
                 # each term once per text
-                pairs = np.unique(found.row * max(1, len(found.distinct)) + found.code)
+                pairs = np.unique(found.row.astype(np.int64) * max(1, len(found.distinct)) + found.code)
                 text, term = np.divmod(pairs, max(1, len(found.distinct)))
                 (of, term), df = _added([lang[text].astype(np.int64), term], weight[text])
                 yield pa.RecordBatch.from_arrays([langs.take(pa.array(of)), found.distinct.take(pa.array(term)), pa.array(df)], names=["lang", "term", "df"])

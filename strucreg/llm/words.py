@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes of text that are cut into words at a time; a longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 3 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -64,12 +64,12 @@ def cut(texts: pa.Array, table: np.ndarray) -> Words:
     edges = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(raw))]
     opens[edges] = inside[edges]
     starts = np.flatnonzero(opens)
-    row = np.searchsorted(ends, starts, side="right") - 1
-    piece = row + np.searchsorted(np.flatnonzero(kind == 2), starts)
+    row = (np.searchsorted(ends, starts, side="right") - 1).astype(np.int32)
+    piece = row + np.searchsorted(np.flatnonzero(kind == 2), starts).astype(np.int32)
     # the words one after the other, and where each begins
     begins = np.zeros(len(starts) + 1, np.int64)
     count = np.add.reduceat(inside, starts, dtype=np.int64) if len(starts) else np.zeros(0, np.int64)
     np.cumsum(count, out=begins[1:])
     joined = _LOWER[raw[inside]]
     found = pa.StringArray.from_buffers(len(starts), pa.py_buffer(begins.astype(np.int32)), pa.py_buffer(joined)).dictionary_encode()
-    return Words(found.indices.to_numpy(zero_copy_only=False).astype(np.int64), row, piece, found.dictionary)
+    return Words(found.indices.to_numpy(zero_copy_only=False), row, piece, found.dictionary)

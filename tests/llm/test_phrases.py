@@ -136,10 +136,11 @@ def test_packed_counts():
     batch = collocations._sent([keys, keys[:100]], 5)
     back, mass = [], 0
     for p, kind, m, k, c in zip(*(column.to_pylist() for column in batch.columns)):
-        mass += m
-        if kind:
-            names = np.cumsum(collocations._from_planes(k).astype(np.uint64))
-            back.append(np.repeat((np.uint64(p) << np.uint64(32)) | names, collocations._from_planes(c)))
+        if not kind:
+            mass += m
+        else:
+            names = np.cumsum(collocations._from_planes(k, m).astype(np.uint64))
+            back.append(np.repeat((np.uint64(p) << np.uint64(32)) | names, collocations._from_planes(c, m)))
     assert mass == len(keys) + 100 and np.array_equal(np.sort(np.concatenate(back)), np.sort(np.concatenate([keys, keys[:100]]) >> np.uint64(27)))
 
 
