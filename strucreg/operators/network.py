@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql import types as T
 
 from strucreg.operators import optimizers
 from strucreg.operators.partial_sums import matrix
-from strucreg.operators.training import MODELS, EarlyStopping, Fit, activate, glorot, pack, run_epochs, unpack
+from strucreg.operators.training import MODELS, EarlyStopping, Fit, Model, activate, glorot, pack, run_epochs, unpack
 
 LEAKY_SLOPE = 0.2
 
@@ -76,11 +77,12 @@ def gradient(shape: Shape, weights: np.ndarray, x: np.ndarray, y: np.ndarray) ->
 
 
 def training_rows(
-    rows: DataFrame, key: str, features: str, targets: Sequence[str], watch: Column, partitions: int
+    rows: DataFrame, key: str, features: str, targets: Sequence[str], mark: Column, partitions: int
 ) -> DataFrame:
-    """Rows placed by key and sorted, so that a run can be repeated; keys are spread evenly by hash."""
+    """Rows placed by key and sorted, so that a run can be repeated; keys are spread evenly by hash. ``mark`` is whether a row is
+    watched, or its fold."""
     return (
-        rows.select(key, F.col(features).alias("x"), F.array(*targets).alias("y"), watch.alias("watch"))
+        rows.select(key, F.col(features).alias("x"), F.array(*targets).alias("y"), mark.alias("mark"))
         .repartition(partitions, key)
         .sortWithinPartitions(key)
         .drop(key)
@@ -88,71 +90,107 @@ def training_rows(
     )
 
 
-def fit(
+def _read(batch):
+    return (matrix(batch.column("x")), matrix(batch.column("y"))), batch.column("mark").to_numpy(zero_copy_only=False)
+
+
+class _Learner:
+    """Mini-batch steps of one model in one task; rows that do not fill a batch wait for the next ones."""
+
+    def __init__(self, shape: Shape, rule: tuple, rate: float, batch: int, weights, slots, step, epoch, train):
+        self.shape, self.rule, self.rate, self.batch = shape, rule, rate, batch
+        self.start, self.weights, self.slots, self.begun, self.step, self.train = weights, weights, slots, step, step, train
+        self.rows = self.watched = 0
+        self.loss = self.watch_loss = 0.0
+        self.held: tuple | None = None
+
+    def _move(self, x, y) -> None:
+        part, g = gradient(self.shape, self.weights, x, y)
+        self.step += 1
+        self.weights, self.slots = self.rule[1](self.weights, g, self.slots, self.step, self.rate, 0.0)
+        self.loss += part * len(x)
+        self.rows += len(x)
+
+    def take(self, parsed, watched) -> None:
+        x, y = parsed
+        watched = watched.astype(bool)
+        if watched.any():
+            error = forward(self.shape, self.start, x[watched])[0] - y[watched]
+            self.watch_loss += float((error * error).mean(axis=1).sum())
+            self.watched += int(watched.sum())
+        if not self.train:
+            return
+        x, y = x[~watched], y[~watched]
+        if self.held is not None:
+            x, y = np.concatenate([self.held[0], x]), np.concatenate([self.held[1], y])
+        full = len(x) - len(x) % self.batch
+        for a in range(0, full, self.batch):
+            self._move(x[a : a + self.batch], y[a : a + self.batch])
+        self.held = x[full:], y[full:]
+
+    def result(self):
+        if self.held is not None and len(self.held[0]):
+            self._move(*self.held)
+        return self.weights, self.slots, self.rows, self.loss, self.watched, self.watch_loss, self.step - self.begun
+
+
+@dataclass(frozen=True)
+class Spec:
+    """One of several models that are trained together; it watches the rows of ``fold``."""
+
+    shape: Shape
+    optimizer: str
+    learning_rate: float
+    fold: int | None = None
+
+
+def fit_many(
     rows: DataFrame,
     key: str,
     features: str,
     targets: Sequence[str],
-    shape: Shape,
-    watch: Column,
-    optimizer: str = "RMSprop",
-    learning_rate: float = 1e-4,
+    specs: dict[int, Spec],
+    mark: Column,
     epochs: int = 500,
     patience: int = 20,
     batch: int = 16,
     partitions: int = MODELS,
     seed: int = 42,
     start: np.ndarray | None = None,
-) -> Fit:
-    """Trains on the rows where ``watch`` is false and watches the loss on the others. ``partitions`` models are averaged."""
-    rule = optimizers.DENSE[optimizer]
-
-    def learn(batches, weights, slots, step, epoch, train):
-        import numpy as np
-
-        w, s, t = weights, slots, step
-        n = val_n = 0
-        loss = val_loss = 0.0
-        held_x = held_y = None
-        for arrow in batches:
-            if not arrow.num_rows:
-                continue
-            x, y = matrix(arrow.column("x")), matrix(arrow.column("y"))
-            watched = arrow.column("watch").to_numpy(zero_copy_only=False).astype(bool)
-            if watched.any():
-                error = forward(shape, weights, x[watched])[0] - y[watched]
-                val_loss += float((error * error).mean(axis=1).sum())
-                val_n += int(watched.sum())
-            if not train:
-                continue
-            x, y = x[~watched], y[~watched]
-            if held_x is not None:
-                x, y = np.concatenate([held_x, x]), np.concatenate([held_y, y])
-            full = len(x) - len(x) % batch
-            for a in range(0, full, batch):
-                part, g = gradient(shape, w, x[a : a + batch], y[a : a + batch])
-                t += 1
-                w, s = rule[1](w, g, s, t, learning_rate, 0.0)
-                loss += part * batch
-                n += batch
-            held_x, held_y = x[full:], y[full:]
-        if held_x is not None and len(held_x):
-            part, g = gradient(shape, w, held_x, held_y)
-            t += 1
-            w, s = rule[1](w, g, s, t, learning_rate, 0.0)
-            loss += part * len(held_x)
-            n += len(held_x)
-        return w, s, n, loss, val_n, val_loss, t - step
-
-    placed = training_rows(rows, key, features, targets, watch, partitions)
+    checkpoints=None,
+) -> dict[int, Fit]:
+    """Trains every model of ``specs`` in the same jobs. ``mark`` is each row's fold, or whether it is watched where the models have none."""
+    models = {}
+    for k, spec in specs.items():
+        rule = optimizers.DENSE[spec.optimizer]
+        weights = spec.shape.start(seed) if start is None else start
+        models[k] = Model(
+            partial(_Learner, spec.shape, rule, spec.learning_rate, batch), weights, optimizers.start_slots(rule, weights.size),
+            EarlyStopping(patience), partial(penalty, spec.shape), spec.fold,
+        )
+    placed = training_rows(rows, key, features, targets, mark, partitions)
     try:
-        return run_epochs(
-            placed, partitions, shape.start(seed) if start is None else start, rule, learn, lambda w: penalty(shape, w), epochs, EarlyStopping(patience)
-        )
+        return run_epochs(placed, partitions, models, _read, epochs, checkpoints=checkpoints)
     finally:
         placed.unpersist()
 
 
+def fit(
+    rows: DataFrame,
+    key: str,
+    features: str,
+    targets: Sequence[str],
+    shape: Shape,
+    watch: Column,
+    optimizer: str = "RMSprop",
+    learning_rate: float = 1e-4,
+    epochs: int = 500,
+    **options,
+) -> Fit:
+    """Trains on the rows where ``watch`` is false and watches the loss on the others. ``partitions`` models are averaged."""
+    return fit_many(rows, key, features, targets, {0: Spec(shape, optimizer, learning_rate)}, watch, epochs, **options)[0]
+
+
 def predict(features: Column, shape: Shape, weights: np.ndarray) -> Column:
     """Array of outputs from an array of inputs."""
 

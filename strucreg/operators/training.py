@@ -1,17 +1,20 @@
-"""What the two network trainers share: weights as one vector, epochs, early stopping.
+"""What the two network trainers share: weights as one vector, epochs, early stopping, any number of models at once.
 
 An epoch is one Spark job: every partition starts from the same weights, makes its own
 mini-batch steps over its rows, and the results are averaged by row count. With one
 partition this is plain mini-batch descent. The job also scores the watch rows with the
 weights it starts from, so the loss of an epoch arrives with the following one and no
 second job is needed.
+
+The models of a search train in the same jobs: each is a key of the epoch's vectors, learns from the rows that are not in its
+fold and leaves the keys when it stops. The table is placed and read once for all of them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -120,71 +123,153 @@ class Fit:
         return spark.createDataFrame(self.history, "epoch int, train_loss double, val_loss double")
 
 
+@dataclass
+class Model:
+    """A model in training: how it learns and where it stands.
+
+    ``learner(weights, slots, step, epoch, train)`` makes an object for one task with ``take(rows, watched)`` and ``result()``: new
+    weights and slots, rows seen, summed loss, watch rows, summed watch loss and steps made. ``fold`` is the number of the rows
+    that are watched; without it they are marked in the table.
+    """
+
+    learner: Callable
+    weights: np.ndarray
+    slots: list[np.ndarray]
+    stopping: EarlyStopping
+    penalty: Callable[[np.ndarray], float] = lambda weights: 0.0
+    fold: int | None = None
+    step: int = 0
+    train_loss: float = math.nan
+    history: list[tuple[int, float, float]] = field(default_factory=list)
+    ended: bool = False
+
+    def fit(self) -> Fit:
+        best = self.stopping.best_weights if self.stopping.best_weights is not None else self.weights
+        return Fit(best, self.stopping.best_epoch, float(self.stopping.best_loss), self.history, self.slots)
+
+    def state(self) -> dict[str, np.ndarray]:
+        """Everything that changes, as named vectors; ``resumed`` takes them back."""
+        s = self.stopping
+        facts = [self.step, self.train_loss, s.best_loss, s.best_epoch, s.waited, self.ended]
+        vectors = {"weights": self.weights, "facts": np.array(facts, float), "history": np.array(self.history, float).ravel()}
+        vectors |= {f"slot{i}": v for i, v in enumerate(self.slots)}
+        return vectors if s.best_weights is None else vectors | {"best": s.best_weights}
+
+    def resumed(self, state: dict[str, np.ndarray]) -> Model:
+        step, train_loss, best_loss, best_epoch, waited, ended = state["facts"].tolist()
+        stopping = replace(self.stopping, best_loss=best_loss, best_epoch=int(best_epoch), waited=int(waited), best_weights=state.get("best"))
+        history = [(int(e), a, b) for e, a, b in state["history"].reshape(-1, 3).tolist()]
+        slots = [state[f"slot{i}"] for i in range(len(self.slots))]
+        return replace(self, weights=state["weights"], slots=slots, stopping=stopping, step=int(step), train_loss=train_loss, history=history, ended=bool(ended))
+
+
 # Positions at the end of a task's vector.
 _TAIL = ("rows", "loss", "val_rows", "val_loss", "steps")
+# Weights and slots that are sent to the tasks at once; more models than this holds take turns within an epoch.
+MAX_SENT_BYTES = 256 << 20
+
+
+def _turns(models: dict[int, Model]) -> list[list[int]]:
+    turns: list[list[int]] = []
+    size = 0
+    for key, m in models.items():
+        own = m.weights.nbytes * (1 + len(m.slots))
+        if not turns or size + own > MAX_SENT_BYTES:
+            turns.append([])
+            size = 0
+        turns[-1].append(key)
+        size += own
+    return turns
+
+
+def _epoch(rows: DataFrame, read: Callable, models: dict[int, Model], epoch: int, train: bool, few_tasks: bool) -> dict[int, np.ndarray]:
+    """One job: every task moves every model over its rows."""
+    sent = rows.sparkSession.sparkContext.broadcast({k: (m.weights, m.slots) for k, m in models.items()})
+    how = {k: (m.learner, m.fold, m.step) for k, m in models.items()}
+
+    def task(batches):
+        learners = {k: (learner(*sent.value[k], step, epoch, train), fold) for k, (learner, fold, step) in how.items()}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            parsed, mark = read(batch)
+            for learner, fold in learners.values():
+                learner.take(parsed, mark if fold is None else mark == fold)
+        vectors = {}
+        for k, (learner, _) in learners.items():
+            w, s, n, loss, val_n, val_loss, steps = learner.result()
+            # steps are weighted like the weights, so that their mean fits the averaged state
+            vectors[k] = np.concatenate([np.concatenate([w, *s]) * n, [n, loss, val_n, val_loss, steps * n]])
+        yield vector_rows(vectors)
+
+    try:
+        return sum_vectors(rows, task, few_tasks=few_tasks)
+    finally:
+        sent.destroy()
 
 
 def run_epochs(
     rows: DataFrame,
     partitions: int,
-    weights: np.ndarray,
-    rule: tuple,
-    learn: Callable,
-    penalty: Callable[[np.ndarray], float],
+    models: dict[int, Model],
+    read: Callable,
     epochs: int,
-    stopping: EarlyStopping,
     between: Callable | None = None,
     watch_more: Callable | None = None,
-) -> Fit:
-    """``learn(batches, weights, slots, step, epoch, train)`` runs in each task.
-
-    It gives back new weights and slots, rows seen, summed loss, watch rows, summed watch
-    loss and steps made. ``between`` may change weights after each averaging, and
-    ``watch_more(weights)`` adds watch rows that are not among ``rows``.
+    checkpoints=None,
+) -> dict[int, Fit]:
+    """Trains all ``models`` on the placed ``rows``; the jobs of an epoch do not become more with the models.
+
+    ``read(batch)`` gives the rows in the learners' form and each row's mark: watched or not, or its fold. ``between(key, weights,
+    slots, step, epoch)`` may change a model after each averaging, and ``watch_more(key, weights)`` adds watch rows that are not
+    among ``rows``. With ``checkpoints`` (see ``artifacts.Checkpoints``) the state after an epoch is written, and a run that
+    finds one goes on from it.
     """
-    from strucreg.operators.optimizers import start_slots
-
-    size, slots, step = weights.size, start_slots(rule, weights.size), 0
-    history: list[tuple[int, float, float]] = []
-    train_loss = math.nan
-    for epoch in range(1, epochs + 2):
+    first = 1
+    if checkpoints is not None and (found := checkpoints.latest()) is not None:
+        first, states = found[0] + 1, found[1]
+        models = {k: m.resumed(states[k]) for k, m in models.items()}
+    for epoch in range(first, epochs + 2):
         train = epoch <= epochs
-        task = _epoch_task(learn, weights, slots, step, epoch, train)
-        total = sum_vectors(rows, task, few_tasks=partitions <= FEW_TASKS)[0]
-        tail = dict(zip(_TAIL, total[-len(_TAIL) :]))
-        if epoch > 1:
-            if watch_more is not None:
-                more_loss, more_rows = watch_more(weights)
-                tail["val_loss"] += more_loss
-                tail["val_rows"] += more_rows
-            val_loss = tail["val_loss"] / tail["val_rows"] if tail["val_rows"] else train_loss
-            val_loss += penalty(weights)
-            history.append((epoch - 1, float(train_loss), float(val_loss)))
-            if stopping.update(epoch - 1, val_loss, weights):
-                break
-        if train:
-            if not tail["rows"] and between is None:
-                raise ValueError("no training rows")
-            seen, loss = tail["rows"], tail["loss"]
-            if seen:
-                state = total[: -len(_TAIL)] / seen
-                weights = state[:size]
-                slots = [state[size * (i + 1) : size * (i + 2)] for i in range(len(slots))]
-                step += max(1, int(round(tail["steps"] / seen)))
-            if between is not None:
-                weights, slots, more_loss, more_rows = between(weights, slots, step, epoch)
-                step += more_rows
-                loss, seen = loss + more_loss, seen + more_rows
-            train_loss = loss / seen
-    best = stopping.best_weights if stopping.best_weights is not None else weights
-    return Fit(best, stopping.best_epoch, float(stopping.best_loss), history, slots)
-
-
-def _epoch_task(learn, weights, slots, step, epoch, train):
-    def task(batches):
-        w, s, n, loss, val_n, val_loss, steps = learn(batches, weights, slots, step, epoch, train)
-        state = np.concatenate([w, *s]) * n
-        # steps are weighted like the weights, so that their mean fits the averaged state
-        yield vector_rows({0: np.concatenate([state, [n, loss, val_n, val_loss, steps * n]])})
-
-    return task
+        live = {k: m for k, m in models.items() if not m.ended}
+        for turn in _turns(live):
+            totals = _epoch(rows, read, {k: live[k] for k in turn}, epoch, train, partitions <= FEW_TASKS)
+            for k in turn:
+                _advance(k, live[k], totals[k], epoch, train, between, watch_more)
+        if all(m.ended for m in models.values()):
+            break
+        if checkpoints is not None and train:
+            checkpoints.save(epoch, {k: m.state() for k, m in models.items()})
+    return {k: m.fit() for k, m in models.items()}
+
+
+def _advance(key: int, model: Model, total: np.ndarray, epoch: int, train: bool, between, watch_more) -> None:
+    """Takes in what the tasks made of a model in one epoch."""
+    tail = dict(zip(_TAIL, total[-len(_TAIL) :]))
+    if epoch > 1:
+        if watch_more is not None:
+            more_loss, more_rows = watch_more(key, model.weights)
+            tail["val_loss"] += more_loss
+            tail["val_rows"] += more_rows
+        val_loss = tail["val_loss"] / tail["val_rows"] if tail["val_rows"] else model.train_loss
+        val_loss += model.penalty(model.weights)
+        model.history.append((epoch - 1, float(model.train_loss), float(val_loss)))
+        if model.stopping.update(epoch - 1, val_loss, model.weights):
+            model.ended = True
+            return
+    if not train:
+        model.ended = True
+        return
+    if not tail["rows"] and between is None:
+        raise ValueError("no training rows")
+    seen, loss, size = tail["rows"], tail["loss"], model.weights.size
+    if seen:
+        state = total[: -len(_TAIL)] / seen
+        model.weights = state[:size]
+        model.slots = [state[size * (i + 1) : size * (i + 2)] for i in range(len(model.slots))]
+        model.step += max(1, int(round(tail["steps"] / seen)))
+    if between is not None:
+        model.weights, model.slots, more_loss, more_rows = between(key, model.weights, model.slots, model.step, epoch)
+        model.step += more_rows
+        loss, seen = loss + more_loss, seen + more_rows
+    model.train_loss = loss / seen

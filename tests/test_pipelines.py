@@ -136,8 +136,11 @@ def test_graph_search_and_large_graphs_give_a_trial_log(graph_table):
     expected = {r["name"]: r["prediction"] for r in whole.predict(shape, shape.start(1), "train").collect()}
     got = {r["name"]: r["prediction"] for r in both.collect()}
     assert got.keys() == expected.keys() and all(np.allclose(got[k], expected[k]) for k in got)
-    log, best = train.search_graph_model(whole, n_trials=1, epochs=1)
-    assert log.count() == 1 and best["units"] >= 5
+    log, best, (shape, fit) = train.search_graph_model(whole, n_trials=2, epochs=2)
+    assert log.count() == 2 and shape.units == best["units"] >= 5 and len(fit.history) == 2
+    # the large graphs take part in the folds, too
+    log, best, (shape, fit) = train.search_graph_model(table, n_trials=1, epochs=1, folds=2)
+    assert log.count() == 1 and np.isfinite(log.first()["value"]) and len(fit.history) == 1
 
 
 @pytest.fixture(scope="module")
