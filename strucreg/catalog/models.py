@@ -308,8 +308,8 @@ def model_roundtrip(spark, sf_dir):
     table = _plain(spark, sf_dir)
     forest = trees.fit_forest(table.train, "features", Y, table.width, n_estimators=3, max_depth=4)
     path = scratch_path(spark, "forest")
-    forest.save(path)
-    loaded = trees.TreeModels.load(path, len(Y))
+    forest.save(spark, path)
+    loaded = trees.TreeModels.load(spark, path)
     both = loaded.predict(forest.predict(table.test, out="before"), out="after")
     boosted = trees.fit_boosted(table.train, "idx", "features", Y, table.width, n_estimators=2, max_depth=3, learning_rate=0.3)
     path = scratch_path(spark, "boosted")

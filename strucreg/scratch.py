@@ -33,3 +33,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise to reliable storage so that loops keep a short plan and survive lost executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
