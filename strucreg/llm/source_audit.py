@@ -48,29 +48,37 @@ def _key(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 16), 16, -10).cast("bigint")
 
 
-def collapsed(tables: Tables, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", max_bits: int = bitset.MAX_BITS) -> tuple[DataFrame, DataFrame]:
-    """``lang, text, sources`` (array of source and copies), one row per different text of a language; and the groups ``lang, source, documents``."""
+def collapsed(tables: Tables, docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", max_bits: int = bitset.MAX_BITS) -> tuple[DataFrame, bitset.Bits, DataFrame]:
+    """``lang, text, sources, key``, where each text of a language is to be read once; the set of bits; and the groups ``lang, source``.
+
+    ``sources`` lists sources and copies. Rows with a key are documents as they are, to be passed over if the key is in the set;
+    the texts passed over are there once more, collapsed, without a key.
+    """
     rows = _rows(docs, text_col, lang_col, source_col)
     per_source = tables.keep(rows.groupBy("lang", "source", "digest").agg(F.count(F.lit(1)).alias("n")))
-    groups = tables.keep(per_source.groupBy("lang", "source").agg(F.sum("n").alias("documents")))
+    groups = tables.keep(per_source.select("lang", "source").distinct())
     several = per_source.groupBy("digest").agg(F.sum("n").alias("n")).filter("n > 1").select(_key(F.col("digest")).alias("key"))
     several = tables.keep(several)
     copied = bitset.build(several, several.count(), max_bits)
+    tables.forget(several)
+    tables.forget(per_source)
+    keyed = rows.withColumn("key", _key(F.col("digest")))
 
-    @F.pandas_udf("boolean")
-    def may_be_copied(key):
-        import pandas as pd
-
-        return pd.Series(copied.has(key.to_numpy().view(np.uint64)))
+    def chosen(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_in_set(batch, copied)))
 
-    marked = rows.withColumn("copied", may_be_copied(_key(F.col("digest"))))
-    one = F.array(F.struct("source", F.lit(1).cast("bigint").alias("n")))
-    alone = marked.filter(~F.col("copied")).select("lang", "text", one.alias("sources"))
-    # equal texts are added up in the task before they are sent; a text takes part once per task and source
-    met = marked.filter("copied").groupBy("lang", "digest", "source").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("n"))
+    # equal texts are added up in the task before they are sent; a text is sent once per task and source
+    met = keyed.mapInArrow(chosen, keyed.schema).groupBy("lang", "digest", "source").agg(F.any_value("text").alias("text"), F.count(F.lit(1)).alias("n"))
     met = met.groupBy("lang", "digest").agg(F.any_value("text").alias("text"), F.collect_list(F.struct("source", "n")).alias("sources"))
-    together = tables.keep(met.select("lang", "text", "sources"))
-    return alone.unionByName(together), groups
+    together = tables.keep(met.select("lang", "text", "sources", F.lit(None).cast("bigint").alias("key")))
+    one = F.array(F.struct("source", F.lit(1).cast("bigint").alias("n")))
+    return keyed.select("lang", "text", one.alias("sources"), "key").unionByName(together), copied, groups
+
+
+def _in_set(batch: pa.RecordBatch, copied: bitset.Bits) -> np.ndarray:
+    key = batch.column("key")
+    return copied.has(key.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & ~key.is_null().to_numpy(zero_copy_only=False)
 
 
 def _term_key(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -79,8 +87,10 @@ def _term_key(hashes: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint64(32))
 
 
-def _slices(batch: pa.RecordBatch, table: np.ndarray):
-    """Per slice: the terms, language number per text, the languages, and the (text, source, copies) entries."""
+def _slices(batch: pa.RecordBatch, table: np.ndarray, copied: bitset.Bits):
+    """Per slice of the rows that are not passed over: the terms, language number per text, the languages, and the (text, source,
+    copies) entries."""
+    batch = batch.filter(pa.array(~_in_set(batch, copied)))
     langs = batch.column("lang").dictionary_encode()
     lang = langs.indices.to_numpy(zero_copy_only=False)
     texts, listed = batch.column("text"), batch.column("sources")
@@ -102,13 +112,13 @@ def _added(groups: list[np.ndarray], amounts: np.ndarray) -> tuple[list[np.ndarr
     return [g[order][first] for g in groups], total
 
 
-def document_frequencies(texts: DataFrame) -> DataFrame:
+def document_frequencies(texts: DataFrame, copied: bitset.Bits) -> DataFrame:
     """``lang, term, df``, every copy of a text counting as a document."""
     table = words.classes(BETWEEN)
 
     def count(batches):
         for batch in batches:
-            for found, lang, langs, row, _, copies in _slices(batch, table):
+            for found, lang, langs, row, _, copies in _slices(batch, table, copied):
                 weight = np.bincount(row, weights=copies, minlength=len(lang)).astype(np.int64)
                 # each term once per text
                 pairs = np.unique(found.row.astype(np.int64) * max(1, len(found.distinct)) + found.code)
@@ -119,7 +129,7 @@ def document_frequencies(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "lang string, term string, df bigint").groupBy("lang", "term").agg(F.sum("df").alias("df"))
 
 
-def term_counts(texts: DataFrame, kept: DataFrame, tables: Tables, max_bits: int = bitset.MAX_BITS) -> DataFrame:
+def term_counts(texts: DataFrame, copied: bitset.Bits, kept: DataFrame, tables: Tables, max_bits: int = bitset.MAX_BITS) -> DataFrame:
     """``lang, source, term, n`` for the kept terms ``lang, term``."""
     table = words.classes(BETWEEN)
 
@@ -133,7 +143,7 @@ def term_counts(texts: DataFrame, kept: DataFrame, tables: Tables, max_bits: int
 
     def count(batches):
         for batch in batches:
-            for found, lang, langs, row, sources, copies in _slices(batch, table):
+            for found, lang, langs, row, sources, copies in _slices(batch, table, copied):
                 if not len(found.code):
                     continue
                 seeds = words.Words(None, None, None, langs).hashes()
@@ -166,9 +176,9 @@ def audit_tables(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     """Groups ``lang, source, total, terms, base`` and shares ``lang, source, term, n, p, q``; ``base`` is the share of a term that the
     group does not have, p the group's share, q the language's."""
     tables = Tables(docs.sparkSession, "audit")
-    texts, groups = collapsed(tables, docs, text_col, lang_col, source_col, max_bits)
-    kept = tables.keep(document_frequencies(texts).filter(F.col("df") >= least))
-    counts = term_counts(texts, kept, tables, max_bits)
+    texts, copied, groups = collapsed(tables, docs, text_col, lang_col, source_col, max_bits)
+    kept = tables.keep(document_frequencies(texts, copied).filter(F.col("df") >= least))
+    counts = term_counts(texts, copied, kept, tables, max_bits)
     terms = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     sizes = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = groups.join(terms, "lang", "left").join(sizes, ["lang", "source"], "left").fillna(0, ["terms", "total"])
