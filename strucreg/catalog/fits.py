@@ -77,6 +77,71 @@ def boosted_stumps(spark, sf_dir):
     return _shown(_metrics(table, model.predict(table.test)), METRICS)
 
 
+# Coarse forms of three features: so few values that every cut between them is tried.
+COARSE = (1, 3, 5)
+LEVELS = {"max_depth": 2}
+
+
+def _coarse(spark, sf_dir):
+    table = _plain(spark, sf_dir)
+    table.rows = table.rows.withColumn("features", F.array(*[F.floor(F.col("features")[i - 1] * 4).cast("double") for i in COARSE]))
+    return table
+
+
+def tree_levels(spark, sf_dir):
+    """A tree of two levels on three features per target."""
+    table = _coarse(spark, sf_dir)
+    model = trees.fit_forest(table.train, "features", Y, 3, single_tree=True, min_samples_leaf=3, **LEVELS)
+    return _shown(_metrics(table, model.predict(table.test)), METRICS)
+
+
+BOOST_LEVELS = {"n_estimators": 3, "learning_rate": 0.4, "subsample": 0.7, "min_child_weight": 2, "reg_lambda": 1.0, **LEVELS}
+
+
+def boosted_levels(spark, sf_dir):
+    """Three rounds of trees of two levels on three features, each on a sample of the rows."""
+    table = _coarse(spark, sf_dir)
+    model = trees.fit_boosted(table.train, "idx", "features", Y, 3, cut_every=2, **BOOST_LEVELS)
+    return _shown(_metrics(table, model.predict(table.test)), METRICS)
+
+
+def forest_walk(spark, sf_dir):
+    """Largest difference between a forest's trees walked as arrays and MLlib's own predictions, per target."""
+    from pyspark.ml.functions import array_to_vector
+
+    table = _plain(spark, sf_dir)
+    options = {"numTrees": 12, "maxDepth": 7, "minInstancesPerNode": 2, "featureSubsetStrategy": "3", "bootstrap": True, "seed": 5, "maxBins": 64}
+    models = trees.fit_mllib(table.train, "features", Y, **options)
+    flat = trees.FlatTrees.joined([trees.FlatTrees.grown(m, t) for t, m in enumerate(models)])
+    rows = trees.TreeModels(flat, len(Y)).predict(table.test).withColumn(trees.VECTOR, array_to_vector("features"))
+    for i, m in enumerate(models):
+        rows = m.setPredictionCol(f"_p{i}").transform(rows)
+    gaps = [F.struct(F.lit(y).alias("target"), F.abs(F.col("prediction")[i] - F.col(f"_p{i}")).alias("gap")) for i, y in enumerate(Y)]
+    long = rows.select(F.explode(F.array(*gaps)).alias("g")).select("g.*")
+    return long.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("gap"), 9).alias("gap"))
+
+
+def _by_rule(n_trees=9, depth=3):
+    """Trees of equal depth whose features, cuts and values follow a rule."""
+    parts = []
+    for t in range(n_trees):
+        inner, size = (1 << depth) - 1, (1 << (depth + 1)) - 1
+        node = np.arange(size)
+        feature = np.where(node < inner, (5 * node + 3 * t) % 6, -1).astype(np.int32)
+        cut = np.where(node < inner, ((7 * node + 5 * t) % 13 - 6) / 4, 0.0)
+        value = np.where(node < inner, 0.0, ((11 * node + 7 * t) % 17 - 8) / 8)
+        child = np.where(node < inner, 2 * node, -2).astype(np.int32)
+        parts.append(trees.FlatTrees(feature, cut, child + 1, child + 2, value, np.zeros(1, np.int32), np.array([t % 3], np.int32)))
+    return trees.FlatTrees.joined(parts)
+
+
+def forest_score(spark, sf_dir):
+    """Every observation walks an ensemble by rule."""
+    table = _plain(spark, sf_dir)
+    told = trees.BoostedModel([0.5, -0.25, 0.0], 0.3, _by_rule()).predict(table.rows)
+    return told.select("idx", *[F.round(F.col("prediction")[i], 6).alias(f"p{i}") for i in range(3)])
+
+
 # Layers, units, activation, penalties and rate of the two networks; their weights start by rule.
 NETS = {"slp": (1, 3, "tanh", 0.002, 0.003, 0.1), "mlp": (2, 2, "leaky_relu", 0.001, 0.002, 0.05)}
 EPOCHS = 2
@@ -126,14 +191,21 @@ def mlp_metrics(spark, sf_dir):
 Y_SIZES = (1e5, 1e5, 1e5, 10.0, 1e5, 1e4)
 
 
-def gcn_gradient(spark, sf_dir):
-    """Loss and gradient of a graph network with weights by rule, summed over all graphs: what a training step is made of."""
+def small_graphs(spark, sf_dir):
+    """Graph rows with the atoms' own numbers as node features and scaled targets."""
     atoms, bonds = graphs._graph(spark, sf_dir)
     own = F.array(*[F.col(c) / s for c, s in graphs.SIZES.items()])
     nodes = graph.atom_features(atoms, bonds, graphs.KEYS).select(*graphs.KEYS, "atom_idx", own.alias("features"))
-    targets = atoms.select(*graphs.KEYS).distinct().join(b.observations(spark, sf_dir).drop("name"), "idx")
+    systems = atoms.select(*graphs.KEYS).distinct()
+    systems = systems if "idx" in systems.columns else systems.withColumn("idx", F.split("name", "_")[1].cast("bigint"))
+    targets = systems.join(b.observations(spark, sf_dir).drop("name"), "idx")
     targets = targets.select(*graphs.KEYS, F.array(*[F.col(y) / s for y, s in zip(Y, Y_SIZES)]).alias("y"))
-    rows = gcn.graph_rows(nodes, graph.symmetric_edges(bonds, graphs.KEYS), targets, graphs.KEYS)
+    return gcn.graph_rows(nodes, graph.symmetric_edges(bonds, graphs.KEYS), targets, graphs.KEYS)
+
+
+def gcn_gradient(spark, sf_dir):
+    """Loss and gradient of a graph network with weights by rule, summed over all graphs: what a training step is made of."""
+    rows = small_graphs(spark, sf_dir)
     shape = gcn.Shape(len(graphs.OWN), len(Y), graphs.HIDDEN, 2)
     weights = network.pack([np.array(w) for w in (graphs.W1, graphs.B1, graphs.W2, graphs.B2, graphs.W3, graphs.B3)])
 
@@ -152,7 +224,7 @@ def gcn_gradient(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        gcn_gradient, flagship, search_ridge_numbers, search_lasso_numbers, search_elastic_net_numbers, decision_stump, boosted_stumps, slp_steps, mlp_steps, slp_metrics, mlp_metrics,
+        gcn_gradient, flagship, search_ridge_numbers, search_lasso_numbers, search_elastic_net_numbers, decision_stump, boosted_stumps, tree_levels, boosted_levels, forest_walk, forest_score, slp_steps, mlp_steps, slp_metrics, mlp_metrics,
     )
 }
 
@@ -313,6 +385,57 @@ def _boosted_sql() -> str:
     return f"{sql}\n{_long_metrics('b%d' % BOOST['n_estimators'], 'h')}"
 
 
+def _grown_sql(rows: str, name: str, least: int, depth: int) -> str:
+    """Adds ``node`` to ``rows`` (target, learn, f1.., r): the leaf of each row in the tree grown on the rows to learn from."""
+    sql = f"\n{name}_n0 AS (SELECT *, 1 AS node FROM {rows})"
+    for k in range(depth):
+        long = union_all(f"SELECT target, node, {i} AS feature, f{i} AS x, r FROM {name}_n{k} WHERE learn" for i in (1, 2, 3))
+        sql += f""",
+{name}_by{k} AS (SELECT target, node, feature, x, count(*)::DOUBLE AS n, sum(r) AS s FROM ({long}) GROUP BY ALL),
+{name}_cuts{k} AS (
+  SELECT a.target, a.node, a.feature, a.x AS cut, sum(b.n) FILTER (b.x <= a.x) AS nl, sum(b.s) FILTER (b.x <= a.x) AS sl, sum(b.n) FILTER (b.x > a.x) AS nr, sum(b.s) FILTER (b.x > a.x) AS sr
+  FROM {name}_by{k} a JOIN {name}_by{k} b ON a.target = b.target AND a.node = b.node AND a.feature = b.feature GROUP BY ALL),
+{name}_best{k} AS (SELECT target, node, arg_max((feature, cut), sl * sl / nl + sr * sr / nr) AS c FROM {name}_cuts{k} WHERE nl >= {least} AND nr >= {least} GROUP BY ALL),
+{name}_n{k + 1} AS MATERIALIZED (
+  SELECT t.* EXCLUDE (node), 2 * node + CASE WHEN c IS NULL THEN 0 ELSE (CASE c[1] WHEN 1 THEN f1 WHEN 2 THEN f2 ELSE f3 END > c[2])::INT END AS node
+  FROM {name}_n{k} t LEFT JOIN {name}_best{k} USING (target, node))"""
+    return sql
+
+
+_LONG3 = _TABLE + ",\nlong AS MATERIALIZED (" + union_all(
+    f"SELECT idx, split, '{y}' AS target, {', '.join(f'floor(s{c} * 4) AS f{i}' for i, c in enumerate(COARSE, 1))}, {t} AS r, {y} AS y, m_{y} AS m, d_{y} AS d FROM z" for y, t in zip(Y, _T)
+) + ")"
+
+_TREE_LEVELS = f"""WITH {_LONG3}, marked AS (SELECT *, split = 'train' AS learn FROM long),{_grown_sql('marked', 'g', 3, LEVELS['max_depth'])},
+leaf AS (SELECT target, node, avg(r) AS h FROM g_n{LEVELS['max_depth']} WHERE learn GROUP BY ALL),
+told AS (SELECT * FROM g_n{LEVELS['max_depth']} JOIN leaf USING (target, node))
+{_long_metrics('told', 'h')}"""
+
+
+def _boosted_levels_sql() -> str:
+    rate, lam, depth = BOOST_LEVELS["learning_rate"], BOOST_LEVELS["reg_lambda"], LEVELS["max_depth"]
+    sql = f"WITH {_LONG3},\nstart AS (SELECT target, avg(r) AS base FROM long WHERE split = 'train' GROUP BY target),"
+    sql += "\nb0 AS MATERIALIZED (SELECT long.* EXCLUDE (r), r - base AS r, base AS h FROM long JOIN start USING (target))"
+    for k in range(BOOST_LEVELS["n_estimators"]):
+        chosen = f"{uniform('idx', f'row42.{k}')} < {BOOST_LEVELS['subsample']}::DOUBLE"
+        sql += f",\nc{k} AS (SELECT *, split = 'train' AND {chosen} AS learn FROM b{k}),{_grown_sql(f'c{k}', f'g{k}', BOOST_LEVELS['min_child_weight'], depth)}"
+        sql += f",\nleaf{k} AS (SELECT target, node, sum(r) / (count(*) + {lam}) * {rate}::DOUBLE AS v FROM g{k}_n{depth} WHERE learn GROUP BY ALL)"
+        sql += f",\nb{k + 1} AS MATERIALIZED (SELECT g.* EXCLUDE (r, h, node, learn, v), r - coalesce(v, 0) AS r, h + coalesce(v, 0) AS h FROM (SELECT * FROM g{k}_n{depth} LEFT JOIN leaf{k} USING (target, node)) g)"
+    return f"{sql}\n{_long_metrics('b%d' % BOOST_LEVELS['n_estimators'], 'h')}"
+
+
+def _forest_score_sql() -> str:
+    flat = _by_rule()
+
+    def told(node: int) -> str:
+        if flat.feature[node] < 0:
+            return f"{float(flat.value[node])!r}::DOUBLE"
+        return f"CASE WHEN s{flat.feature[node] + 1} <= {float(flat.cut[node])!r}::DOUBLE THEN {told(flat.left[node])} ELSE {told(flat.right[node])} END"
+
+    sums = [" + ".join(told(r) for r, t in zip(flat.roots, flat.targets) if t == i) for i in range(3)]
+    return f"WITH {_TABLE} SELECT idx, " + ", ".join(f"round({start}::DOUBLE + 0.3::DOUBLE * ({e}), 6) + 0.0::DOUBLE AS p{i}" for i, (start, e) in enumerate(zip((0.5, -0.25, 0.0), sums))) + " FROM z"
+
+
 def _net_sql(kind: str, metrics: bool) -> str:
     layers, units, activation, l1, l2, rate = NETS[kind]
     shape = network.Shape(6, 6, units, layers, activation, l1, l2)
@@ -420,6 +543,10 @@ SQL = {
     "ols_structures": _OLS,
     **{f"search_{f}_numbers": _search_sql(f) for f in TRIALS},
     "decision_stump": _DECISION,
+    "tree_levels": _TREE_LEVELS,
+    "boosted_levels": _boosted_levels_sql(),
+    "forest_score": _forest_score_sql(),
+    "forest_walk": f"WITH {OBS} SELECT target, count(*) FILTER ({holdout('idx')} = 'test') AS n, 0.0::DOUBLE AS gap FROM obs, (VALUES {', '.join(f"('{y}')" for y in Y)}) t(target) GROUP BY target",
     "boosted_stumps": _boosted_sql(),
     "slp_steps": _net_sql("slp", False),
     "mlp_steps": _net_sql("mlp", False),

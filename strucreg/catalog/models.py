@@ -185,10 +185,12 @@ def decision_tree(spark, sf_dir):
 
 
 def random_forest(spark, sf_dir):
+    """Ten trees per target."""
     return _forest(spark, sf_dir, n_estimators=10, max_depth=6, max_features="0.5")
 
 
 def boosted_trees(spark, sf_dir):
+    """Three rounds."""
     table = _full(spark, sf_dir)
     model = trees.fit_boosted(
         table.train, "name", "features", Y, table.width,
@@ -208,8 +210,31 @@ def search_decision_tree(spark, sf_dir):
     return _search(spark, sf_dir, "decision_tree", 2)
 
 
+def search_random_forest(spark, sf_dir):
+    """One trial by three folds of at most a thousand trees, then the refit: every fold grows its forest anew."""
+    return _search(spark, sf_dir, "random_forest", 1, space={"n_estimators": ("int", 5, 10), "max_depth": ("int", 3, 8)})
+
+
+def search_boosted_trees(spark, sf_dir):
+    """Two trials by three folds of two to four rounds, then the refit."""
+    return _search(spark, sf_dir, "boosted_trees", 2, space={"n_estimators": ("int", 2, 4), "max_depth": ("int", 3, 5), "learning_rate": ("log_float", 0.1, 0.5)})
+
+
+def search_slp(spark, sf_dir):
+    """Twelve trials by three folds, two epochs each, all in the same jobs; then the refit."""
+    return _search(spark, sf_dir, "slp", 12, epochs=2)
+
+
 def search_mlp(spark, sf_dir):
-    return _search(spark, sf_dir, "mlp", 2, epochs=2)
+    """Eight trials by three folds, two epochs each, all in the same jobs; then the refit."""
+    return _search(spark, sf_dir, "mlp", 8, epochs=2)
+
+
+def search_gcn(spark, sf_dir):
+    """Four trials by three folds, one epoch each, all in the same jobs; then the refit, watched on the validation graphs, and its metrics on the test graphs."""
+    rows, table = _graph_rows(spark, sf_dir)
+    _, _, (shape, fit) = train.search_graph_model(table, 4, epochs=1)
+    return _graph_metrics(rows, table, shape, fit)
 
 
 # --- networks -----------------------------------------------------------------
@@ -231,33 +256,41 @@ MLP = ("leaky_relu", 87, 4.0322538610911165e-4, 2.899284099154708e-05)
 
 
 def slp_train(spark, sf_dir):
+    """Losses of three epochs."""
     table, _, fit = _network(spark, sf_dir, 1, *SLP, 3)
     table.unpersist()
     return fit.history_table(spark)
 
 
 def slp_predict(spark, sf_dir):
+    """Metrics after five epochs."""
     table, shape, fit = _network(spark, sf_dir, 1, *SLP, 5)
     return _metrics(table, table.test.withColumn("prediction", network.predict(F.col("features"), shape, fit.weights)))
 
 
 def mlp_train(spark, sf_dir):
+    """Losses of three epochs."""
     table, _, fit = _network(spark, sf_dir, 2, *MLP, 3)
     table.unpersist()
     return fit.history_table(spark)
 
 
 def mlp_predict(spark, sf_dir):
+    """Metrics after five epochs."""
     table, shape, fit = _network(spark, sf_dir, 2, *MLP, 5)
     return _metrics(table, table.test.withColumn("prediction", network.predict(F.col("features"), shape, fit.weights)))
 
 
-def _graph_fit(spark, sf_dir, epochs):
+def _graph_rows(spark, sf_dir):
     atoms, bonds = _graph(spark, sf_dir)
     keys = ("idx", "part")
     systems = atoms.select(*keys).distinct()
     rows = b.observations(spark, sf_dir).drop("name").join(systems, "idx")
-    table = graph_plan.graph_table(rows, "idx", X, Y, atoms, bonds, keys)
+    return rows, graph_plan.graph_table(rows, "idx", X, Y, atoms, bonds, keys)
+
+
+def _graph_fit(spark, sf_dir, epochs):
+    rows, table = _graph_rows(spark, sf_dir)
     # fixed values: units, layers and dropout of the best known graph network
     shape = gcn.Shape(table.width, len(Y), 35, 3, "relu", 0.45)
     fit = gcn.fit(
@@ -268,20 +301,24 @@ def _graph_fit(spark, sf_dir, epochs):
 
 
 def gcn_train(spark, sf_dir):
+    """Losses of two epochs."""
     _, table, _, fit = _graph_fit(spark, sf_dir, 2)
     table.rows.unpersist()
     return fit.history_table(spark)
 
 
-def gcn_fit_predict(spark, sf_dir):
-    """Five metrics per target of a trained graph network on the test graphs."""
-    rows, table, shape, fit = _graph_fit(spark, sf_dir, 3)
+def _graph_metrics(rows, table, shape, fit):
     both = table.predict(shape, fit.weights).join(rows, ["idx", "part"])
     hats = [F.col("prediction")[i].alias(f"h_{y}") for i, y in enumerate(Y)]
     pairs = evaluate.long_pairs(both.select("idx", *Y, *hats), ["idx"], Y, Y, [f"h_{y}" for y in Y])
     return evaluate.regression_metrics(pairs)
 
 
+def gcn_fit_predict(spark, sf_dir):
+    """Five metrics per target of a graph network trained for three epochs on the test graphs."""
+    return _graph_metrics(*_graph_fit(spark, sf_dir, 3))
+
+
 def _graph_scorer():
     """A small graph network with fixed weights, and the scale of its 267 inputs."""
     shape = gcn.Shape(6 + 256 + 5, 6, 8, 2, "relu")
@@ -303,6 +340,35 @@ def score_graph_batch(spark, sf_dir):
     )
 
 
+def _graph_roundtrip(spark, sf_dir):
+    """A graph network trained for an epoch, saved with its optimizer state, loaded and trained for another: predictions of both on the test graphs."""
+    from strucreg.catalog import fits
+
+    rows = fits.small_graphs(spark, sf_dir).withColumn("split", split.holdout(F.col("idx"))).persist()
+    learn = rows.filter("split = 'train'").withColumn("watch", split.validation_part(F.col("idx")))
+    shape = gcn.Shape(len(rows.first()["x"]) // len(rows.first()["node_ids"]), len(Y), 6, 2, "tanh")
+    path = scratch_path(spark, "graph")
+    half = artifacts.Checkpoints(spark, f"{path}/epochs")
+    gcn.fit(learn, ("idx", "part"), shape, "Adam", 1e-2, 1e-5, epochs=1, checkpoints=half)
+    _, states = half.latest()
+    now = states[0]
+    slots = [now[f"slot{i}"] for i in range(2)]
+    artifacts.save_network(spark, network.named_weights(shape, now["weights"], slots), {**vars(shape), "step": int(now["facts"][0])}, path + "/network")
+    stored, info = artifacts.load_network(spark, path + "/network")
+    shape_back = gcn.Shape(*(int(info[k]) for k in ("inputs", "outputs", "units", "layers")), info["activation"], float(info["dropout"]))
+    weights_back = np.concatenate([np.ravel(w) for kind, w in stored if kind != "slot"])
+    slots_back = [w for kind, w in stored if kind == "slot"]
+    if not all(np.array_equal(p, q) for p, q in zip(slots, slots_back)) or int(info["step"]) != int(now["facts"][0]):
+        raise ValueError("the optimizer state changed on its way")
+    whole = gcn.fit(learn, ("idx", "part"), shape, "Adam", 1e-2, 1e-5, epochs=2)
+    resumed = gcn.fit(learn, ("idx", "part"), shape_back, "Adam", 1e-2, 1e-5, epochs=2, checkpoints=half)
+    test = rows.filter("split = 'test'")
+    weights = [(now["weights"], weights_back), (whole.weights, resumed.weights)]
+    told = [[gcn.predict_rows(test, ("idx", "part"), s, w).withColumnRenamed("prediction", n) for s, w, n in ((shape, a, "b"), (shape_back, c, "a"))] for a, c in weights]
+    pairs = [before.join(after, ["idx", "part"]) for before, after in told]
+    return pairs[0].withColumnsRenamed({"b": "b1", "a": "a1"}).join(pairs[1], ["idx", "part"]).select(F.concat("b1", "b").alias("before"), F.concat("a1", "a").alias("after"))
+
+
 def model_roundtrip(spark, sf_dir):
     """Largest difference between predictions before saving and after loading, per model kind."""
     table = _plain(spark, sf_dir)
@@ -328,16 +394,19 @@ def model_roundtrip(spark, sf_dir):
         network.predict(x, shape, weights).alias("before"), network.predict(x, shape_back, weights_back).alias("after")
     )
     gap = F.array_max(F.zip_with("before", "after", lambda p, q: F.abs(p - q)))
-    frames = [("forest", both), ("boosted", both_boosted), ("network", both_network)]
+    frames = [("forest", both), ("boosted", both_boosted), ("network", both_network), ("graph", _graph_roundtrip(spark, sf_dir))]
     parts = [f.agg(F.lit(kind).alias("model"), F.count(F.lit(1)).alias("n"), F.max(gap).alias("gap")) for kind, f in frames]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         ols_structures, ols_fit, ridge_fit, lasso_fit, elastic_net_fit, ols_predict, cv_objective, search_ridge, search_lasso, search_elastic_net, trial_space, best_trial, early_stop, early_stop_delta, decision_tree, random_forest,
-        boosted_trees, search_decision_tree, search_mlp, slp_train, slp_predict, mlp_train, mlp_predict, gcn_train, gcn_fit_predict,
+        boosted_trees, search_decision_tree, search_random_forest, search_boosted_trees, search_slp, search_mlp, search_gcn, slp_train, slp_predict, mlp_train, mlp_predict, gcn_train, gcn_fit_predict,
         score_graph_batch, model_roundtrip,
     )
 }
@@ -465,7 +534,7 @@ FROM systems JOIN told USING (name)"""
 SQL = {
     "score_graph_batch": _score_graph_sql(),
     "model_roundtrip": f"""WITH {OBS} SELECT model, count(*) FILTER ({holdout('idx')} = 'test') AS n, 0.0::DOUBLE AS gap
-FROM obs, (VALUES ('forest'), ('boosted'), ('network')) m(model) GROUP BY model""",
+FROM obs, (VALUES ('forest'), ('boosted'), ('network'), ('graph')) m(model) GROUP BY model""",
     "ols_fit": _descent("0.0::DOUBLE", "0.0::DOUBLE", 400),
     "ridge_fit": _descent("0.0::DOUBLE", "50.0 / n", 200),
     "lasso_fit": _descent("0.05::DOUBLE", "0.0::DOUBLE", 200),

@@ -82,8 +82,9 @@ def trial_table(numbers: DataFrame, space: Mapping[str, tuple], seed: int = 42)
     return numbers.select("trial", *[draw(F.col("trial"), n, s, seed).alias(n) for n, s in space.items()])
 
 
-def random_trials(spark: SparkSession, model: str, n_trials: int, seed: int = 42) -> list[dict]:
-    table = trial_table(spark.range(n_trials).withColumnRenamed("id", "trial"), SPACES[model], seed)
+def random_trials(spark: SparkSession, model: str, n_trials: int, seed: int = 42, space: Mapping[str, tuple] | None = None) -> list[dict]:
+    """Trials of the model's space; ``space`` replaces some of its parameters."""
+    table = trial_table(spark.range(n_trials).withColumnRenamed("id", "trial"), {**SPACES[model], **(space or {})}, seed)
     return [r.asDict() for r in table.orderBy("trial").collect()]
 
 
@@ -169,6 +170,7 @@ def search(
     folds: int = 3,
     parallel: int = 2,
     seed: int = 42,
+    space: Mapping[str, tuple] | None = None,
 ) -> tuple[DataFrame, dict]:
     """``objective(params, fold)`` is a Spark fit and score; trials run a few at a time.
 
@@ -176,7 +178,7 @@ def search(
     cluster is filled by each of them; the pool only overlaps their driver-side gaps. Diverging trials
     are logged as failed.
     """
-    trials = random_trials(spark, model, n_trials, seed)
+    trials = random_trials(spark, model, n_trials, seed, space)
     numbers = [t.pop("trial") for t in trials]
     with ThreadPoolExecutor(parallel) as pool:
         jobs = [[pool.submit(objective, t, k) for k in range(folds)] for t in trials]
