@@ -12,9 +12,9 @@ queue by first character carries the suffixes, first in first out within a chara
 ``IN_MEMORY``, and are passed in blocks. Neighbours in the order are compared over the length; within a group of equal
 strings all but the earliest are repeats.
 
-Defined cases: null text is empty; texts shorter than the length keep all bytes; a null id comes after all others; rows that repeat an id are told
-apart by a hash of their text and compared in its order, and rows equal in both are one document with one result for each; very long texts
-are passed in pieces; other columns are not read. Ids are integers.
+Defined cases: null text is empty; texts shorter than the length keep all bytes; a null id comes after all others; rows that repeat an id or have
+none are told apart by their text and compared in the order of its digests, and rows equal in both are one document with one result for each;
+very long texts are passed in pieces; other columns are not read. Ids are integers.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from strucreg.llm import bitset
 from strucreg.llm.common import Tables, in_batches
 
 LENGTH, GRAM = 100, 36
@@ -41,7 +42,8 @@ COMMON = 1000
 IN_MEMORY = 8 << 20
 BLOCK = 1 << 18
 LAST = (1 << 63) - 1
-PLACE_BITS = 40
+# A place in a text has fewer than 2^31 values, as a text has fewer bytes; a tie has 32 bits.
+PLACE_BITS = 31
 
 _rng = np.random.Generator(np.random.PCG64(20))
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -110,12 +112,35 @@ def _laid(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarr
         yield done()
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text, doc (the id, null last) and tie, the bits of a text hash that part the rows of a repeated id."""
+def _keyed(tables: Tables, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text, doc (the id, null last) and tie, which parts the different texts of a repeated or missing id: a number of its own for
+    each, by the order of their hashes. Rows whose id is their own have tie 0 and are not moved for it."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc")).withColumn(
-        "tie", F.shiftrightunsigned(F.xxhash64("text"), 43)
-    )
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(LAST)).alias("doc"))
+    several = tables.keep(rows.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or doc = %d" % LAST).select(F.xxhash64("doc").alias("key")))
+    number = several.count()
+    if not number:
+        return rows.withColumn("tie", F.lit(0).cast("bigint"))
+    shared = bitset.build(several, number)
+
+    def chosen(which: bool):
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(shared.has(batch.column("key").to_numpy().view(np.uint64)) == which))
+
+        return rows.withColumn("key", F.xxhash64("doc")).mapInArrow(run, keyed_schema).drop("key")
+
+    keyed_schema = rows.withColumn("key", F.xxhash64("doc")).schema
+    # written, as the numbers of their texts must not change; a few rows too many do no harm
+    meet = tables.keep(chosen(True).withColumn("sha", F.sha2("text", 256)))
+    texts = meet.select("doc", "sha").distinct().withColumn("block", F.conv(F.substring("sha", 1, 3), 16, 10).cast("int"))
+    inside = F.row_number().over(W.partitionBy("block").orderBy("sha", "doc"))
+    sizes = texts.groupBy("block").agg(F.count(F.lit(1)).alias("n"))  # 4,096 rows at most
+    before = sizes.select("block", (F.sum("n").over(W.orderBy("block")) - F.col("n")).alias("before"))
+    ties = texts.withColumn("inside", inside).join(before, "block").select("doc", "sha", (F.col("before") + F.col("inside")).cast("bigint").alias("tie"))
+    if (ties.agg(F.max("tie")).first()[0] or 0) >= 1 << 32:
+        raise ValueError("more than 2^32 different texts share an id or have none")
+    return chosen(False).withColumn("tie", F.lit(0).cast("bigint")).unionByName(tables.keep(meet.join(ties, ["doc", "sha"]).drop("sha")))
 
 
 def _located(docs: DataFrame) -> DataFrame:
@@ -435,7 +460,7 @@ def repeats(tables: Tables, keyed: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, n_bytes, n_removed, n_spans, removed (runs: start, end in bytes), kept (the bytes left)."""
     tables = Tables(docs.sparkSession, "suffixes")
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(tables, docs, id_col, text_col)
     found = repeats(tables, keyed)
     per_doc = found.groupBy("doc", F.shiftrightunsigned("start", PLACE_BITS).alias("tie")).agg(
         F.collect_list(F.struct(F.col("start").bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).alias("start"), "span")).alias("found")
