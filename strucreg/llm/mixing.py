@@ -4,11 +4,12 @@ Each document may be taken 0, 1 or 2 times. Among all distributions of copies th
 words, the one closest to "0, 1 and 2 equally likely" tilts exponentially: the weight of c copies is
 exp(lambda * c * z), z the document's size over its source's mean. lambda minimises the convex dual
 sum(log(1 + t + t^2)) - lambda * target, t = exp(lambda * z); Newton steps on it are sums over the data. The
-expected copies are then rounded by a hash of the id, with one threshold per source chosen so that the
+expected copies are then rounded by a hash of the id and the text, with one threshold per source chosen so that the
 words taken come as near the target as whole documents allow.
 
 Only built-in functions. Defined cases: null text has size 0; documents without words cost nothing and are taken once; a null source is a source of its own, the last
-one; a null id is hashed like an id of its own; repeated rows are taken alike; an empty table gives an empty
+one; rows without id are hashed with their number in the table as it is read (reruns over the same files agree); rows equal in id and text are
+taken alike; an empty table gives an empty
 result, sources without words a target of 0. One row per source (total, multiplier, threshold) is joined, never collected.
 """
 
@@ -127,7 +128,9 @@ def _rated(tables: Tables, docs: DataFrame, id_col: str, text_col: str, source_c
     source = F.col(source_col).cast("string")
     words = F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint")
     key = F.struct(source.isNull().alias("missing"), F.coalesce(source, F.lit("")).alias("source"))
-    draw = F.pmod(F.xxhash64(F.lit("draw"), F.col(id_col)), F.lit(1 << 52)) / float(1 << 52)
+    # rows without id are told apart by their place in the table, rows that repeat an id by their text
+    apart = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id())
+    draw = F.pmod(F.xxhash64(F.lit("draw"), F.col(id_col), F.col(text_col).cast("string"), apart), F.lit(1 << 52)) / float(1 << 52)
     sizes = tables.keep(docs.select(carried.alias("_carried"), key.alias("_key"), words.alias("size"), draw.alias("_draw")))
     targets = tables.keep(source_targets(sizes, weights, share, float(MAX_COPIES)))
     solved = multipliers(tables, sizes, targets).select("_key", "_tilt", "_mean")
