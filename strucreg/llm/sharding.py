@@ -2,9 +2,9 @@
 
 Documents lie in old shards of known sizes; new shards have capacities. Which bytes go where is a flow from old
 to new shards: a byte that stays costs nothing, a byte that moves costs one. The cheapest flow is solved on
-the shard sizes alone (old x new numbers). An old shard is an ordered run of blocks, and the flow cuts the run into one stretch
-per new shard; a document follows the block it lies in. Equal texts share a block and so stay together, unless a
-stretch ends within them: large blocks are divided, as a group of copies may be larger than a shard.
+the shard sizes alone (old x new numbers). An old shard is an ordered run of units, and the flow cuts the run into one stretch
+per new shard; a unit goes where its middle lies. Equal texts of an old shard are one unit and stay together; only where they have
+more than one in ``WHOLE`` of all bytes are they divided by row, as a group of copies may be larger than a shard.
 
 Defined cases: null text has size 1 (its line end); null ids, repeated rows and ties get a place each, in any order; an empty table
 gives an empty result; shards may stay empty; other columns are not read.
@@ -24,6 +24,8 @@ from strucreg.llm.common import Tables, packed, text_or_empty
 BLOCKS = 256
 # A block is divided into cells of about one in this number of all bytes.
 PARTS = 4096
+# Equal texts stay together up to one in this number of all bytes.
+WHOLE = 256
 
 
 def cheapest_flow(supply: list[int], capacity: list[int]) -> list[list[int]]:
@@ -69,22 +71,24 @@ def cheapest_flow(supply: list[int], capacity: list[int]) -> list[list[int]]:
 
 
 def _move(tables: Tables, rows: DataFrame, supply: list[int], capacities: list[int]) -> DataFrame:
-    """Replaces _at, the present shard, by the new one. A shard's run has its large documents first and the new shards'
-    stretches in it begin with what stays, so the documents that cross an end are small."""
+    """Replaces _at, the present shard, by the new one. A unit moves as a whole: equal texts, or a part of them where they are very many. A
+    shard's run has its large units first and the new shards' stretches in it begin with what stays, so the units that cross an end are small."""
     total, news = sum(supply), len(capacities)
     flow = cheapest_flow(supply, capacities)
+    unit = ["_at", "text_crc32", "size", "_split"]
+    units = rows.groupBy(*unit).agg(F.sum("size").alias("_bytes"))
+    units = units.withColumns({"_class": (-F.floor(F.log2("_bytes"))).cast("int"), "_block": F.pmod(F.xxhash64("text_crc32", "size", "_split"), F.lit(BLOCKS)).cast("int")})
+    units = tables.keep(units)
     block = ["_at", "_class", "_block"]
-    blocks = tables.keep(rows.groupBy(*block).agg(F.sum("size").alias("_bytes")))
-    # cells: blocks, the large ones divided by row; at most PARTS more than there are blocks
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_bytes") / F.lit(max(1, total // PARTS)))).cast("int")
-    rows = rows.join(blocks.select(*block, parts.alias("_parts")), block)
-    rows = tables.keep(rows.withColumn("_cell", F.pmod(F.xxhash64("_row"), F.col("_parts")).cast("int")).drop("_parts"))
+    # cells: blocks, the large ones divided; at most PARTS more than there are blocks
+    parts = units.groupBy(*block).agg(F.greatest(F.lit(1), F.ceil(F.sum("_bytes") / F.lit(max(1, total // PARTS)))).cast("int").alias("_parts"))
+    units = units.join(parts, block).withColumn("_cell", F.pmod(F.xxhash64("size", "text_crc32", "_split"), F.col("_parts")).cast("int"))
     cell = [*block, "_cell"]
     before = W.partitionBy("_at").orderBy("_class", "_block", "_cell").rowsBetween(W.unboundedPreceding, -1)
-    starts = rows.groupBy(*cell).agg(F.sum("size").alias("_bytes")).select(*cell, F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_start"))
-    inside = W.partitionBy(*cell).orderBy("_id", "_row").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, cell)
-    middle = F.col("_start") + F.col("_inside") + F.floor(F.col("size") / 2)
+    starts = units.groupBy(*cell).agg(F.sum("_bytes").alias("_bytes")).select(*cell, F.coalesce(F.sum("_bytes").over(before), F.lit(0)).alias("_start"))
+    inside = W.partitionBy(*cell).orderBy("text_crc32", "size", "_split").rowsBetween(W.unboundedPreceding, -1)
+    placed = units.withColumn("_inside", F.coalesce(F.sum("_bytes").over(inside), F.lit(0))).join(starts, cell)
+    middle = F.col("_start") + F.col("_inside") + F.floor(F.col("_bytes") / 2)
     shard = F.lit(None).cast("int")
     for i, row in enumerate(flow):
         order = sorted((j for j in range(news) if row[j]), key=lambda j: (j != i, j))
@@ -96,7 +100,18 @@ def _move(tables: Tables, rows: DataFrame, supply: list[int], capacities: list[i
         for end, j in reversed(ends):
             here = F.when(middle < F.lit(end), F.lit(j)).otherwise(here)
         shard = F.when(F.col("_at") == i, here).otherwise(shard)
-    return tables.keep(placed.withColumn("_at", shard.cast("int")).drop("_cell", "_inside", "_start"))
+    to = placed.select(*unit, shard.cast("int").alias("_to"))
+    return tables.keep(rows.join(to, unit).withColumn("_at", F.col("_to")).drop("_to"))
+
+
+def _split(tables: Tables, rows: DataFrame) -> DataFrame:
+    """Adds _split: 0, but for texts with more copies than a unit may have a number by row."""
+    total = rows.agg(F.sum("size")).first()[0] or 0
+    many = rows.groupBy("text_crc32", "size").agg(F.sum("size").alias("_bytes")).filter(F.col("_bytes") > F.greatest(F.col("size"), F.lit(total // WHOLE)))
+    # fewer than WHOLE of them, as each has more than that share of all bytes
+    many = many.select("text_crc32", "size", F.ceil(F.col("_bytes") / F.lit(max(1, total // PARTS))).cast("int").alias("_parts"))
+    split = F.coalesce(F.pmod(F.xxhash64("_row"), F.col("_parts")), F.lit(0)).cast("int")
+    return tables.keep(rows.join(F.broadcast(many), ["text_crc32", "size"], "left").withColumn("_split", split).drop("_parts"))
 
 
 def _supply(rows: DataFrame, count: int) -> list[int]:
@@ -118,22 +133,16 @@ def reshard(docs: DataFrame, old_shard: Column, old_count: int, new_count: int,
         (F.octet_length(text) + 1).cast("bigint").alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         old_shard.cast("int").alias("old_shard"),
-    ).withColumns(
-        {
-            "_at": F.col("old_shard"),
-            "_class": (-F.floor(F.log2("size"))).cast("int"),
-            "_block": F.pmod(F.xxhash64("text_crc32", "size"), F.lit(BLOCKS)).cast("int"),
-        }
-    )
-    rows = tables.keep(rows)
+    ).withColumn("_at", F.col("old_shard"))
+    rows = _split(tables, tables.keep(rows))
     supply = _supply(rows, old_count)
     total = sum(supply)
     capacities = capacities or [total // new_count + (i < total % new_count) for i in range(new_count)]
     rows = _move(tables, rows, supply, capacities)
     rows = _move(tables, rows, _supply(rows, len(capacities)), capacities)
-    cell = ["_at", "_class", "_block", "_part"]
-    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(8)))
-    earlier = W.partitionBy("_at").orderBy("_class", "_block", "_part").rowsBetween(W.unboundedPreceding, -1)
+    cell = ["_at", "_part"]
+    rows = rows.withColumn("_part", F.pmod(F.xxhash64("_row"), F.lit(PARTS)).cast("int"))
+    earlier = W.partitionBy("_at").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
     first = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("_rows"))
     first = first.select(*cell, F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_first"))
     number = F.row_number().over(W.partitionBy(*cell).orderBy("_id", "_row")) - 1
