@@ -16,6 +16,7 @@ import base64
 import os
 import re
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -95,47 +96,55 @@ def _dominated(small: tuple[int, ...], large: tuple[int, ...]) -> bool:
     return False
 
 
-def fillings(counts: list[int], room: int, width: int = 12, nodes: int = 4000) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room`` by pieces left, least waste first, larger pieces first among equals. One piece that fits exactly
-    dominates all others. The enumeration is depth first from large to small, within a number of nodes."""
-    if room <= 0:
-        return [()]
-    if counts[room]:
-        return [(room,)]
+def _maximal(counts: list[int], room: int, work: list[int]) -> Iterator[tuple[int, ...]]:
+    """Fillings of ``room`` by pieces left to which no smaller piece can be added, from large to small. ``work`` holds the steps left."""
     sizes = [s for s in range(min(room, len(counts) - 1), 0, -1) if counts[s]]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    for s in sizes:  # pairs that fit exactly
-        if 2 * s < room:
-            break
-        if room - s > 0 and counts[room - s] > (s == room - s):
-            found.append((0, (s, room - s)))
-            if len(found) >= width:
-                break
-    if not found:
-        left = nodes
-        stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
-        while stack and left and len(found) < 64:
-            at, space, taken = stack.pop()
-            left -= 1
-            nexts = []
-            for k in range(at, len(sizes)):
-                s = sizes[k]
-                if s <= space and counts[s] > taken.count(s):
-                    nexts.append((k, space - s, (*taken, s)))
-                    if len(nexts) >= 8:
-                        break
-            if nexts:
-                stack.extend(reversed(nexts))
-            else:
-                found.append((space, taken))
-        found.sort(key=lambda f: (f[0], [-x for x in f[1]]))
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
+    while stack and work[0] > 0:
+        at, space, taken = stack.pop()
+        nexts = []
+        for k in range(at, len(sizes)):
+            work[0] -= 1
+            s = sizes[k]
+            if s <= space and counts[s] > taken.count(s):
+                nexts.append((k, space - s, (*taken, s)))
+        if nexts:
+            stack.extend(reversed(nexts))
+        elif taken:
+            yield taken
+
+
+def fillings(counts: list[int], room: int, work: list[int], batch: int = 256) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of ``room`` by pieces left, found as they are asked for: one piece that fits exactly, which dominates all others;
+    else pairs that fit exactly, then all others in batches, least waste first. A filling is passed over only if its pieces fit into those of
+    one before it."""
+    if room <= 0:
+        yield ()
+        return
+    if room < len(counts) and counts[room]:
+        yield (room,)
+        return
     kept: list[tuple[int, ...]] = []
-    for _, items in found:
-        if items not in kept and not any(_dominated(items, other) for other in kept):
-            kept.append(items)
-        if len(kept) >= width:
-            break
-    return kept or [()]
+
+    def new(items: tuple[int, ...]) -> bool:
+        work[0] -= len(kept)
+        if any(_dominated(items, other) for other in kept):
+            return False
+        kept.append(items)
+        return True
+
+    for s in range(min(room - 1, len(counts) - 1), (room - 1) // 2, -1):
+        if counts[s] and counts[room - s] > (s == room - s) and new((s, room - s)):
+            yield (s, room - s)
+    found: list[tuple[int, ...]] = []
+    for items in _maximal(counts, room, work):
+        found.append(items)
+        if len(found) == batch:
+            yield from (f for f in sorted(found, key=lambda f: (-sum(f), [-x for x in f])) if new(f))
+            found = []
+    yield from (f for f in sorted(found, key=lambda f: (-sum(f), [-x for x in f])) if new(f))
+    if not kept:
+        yield ()
 
 
 def best_fit(histogram: dict[int, int], length: int) -> list[tuple[tuple[int, ...], int]]:
@@ -161,33 +170,37 @@ def best_fit(histogram: dict[int, int], length: int) -> list[tuple[tuple[int, ..
     return plan
 
 
-def bin_completion(histogram: dict[int, int], length: int, nodes: int = 4_000, single: int = 60) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (piece lengths, how often). Fillings are repeated as often as counts allow; up to ``single`` pieces in
-    all they are taken one at a time, and with enough nodes the plan is then the best there is."""
-    total, pieces = sum(s * n for s, n in histogram.items()), sum(histogram.values())
+def bin_completion(histogram: dict[int, int], length: int, nodes: int = 20_000, steps: int = 2_000_000) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences as (piece lengths, how often). A filling is repeated as often as counts allow, then less often on the way back; where the search
+    ends before its ``nodes`` and ``steps`` do, the plan is the best there is, else the best found."""
+    total = sum(s * n for s, n in histogram.items())
     least = -(-total // length)
     best = best_fit(histogram, length)
     bins = sum(t for _, t in best)
     counts = [0] * (length + 1)
     for s, n in histogram.items():
         counts[s] = n
-    # a stack of (pattern taken to come here, fillings left to try); counts and waste are undone on the way back
+    work = [steps]
+    # the patterns taken to come here, the choices left at each; counts and waste are undone on the way back
     path: list[tuple[tuple[int, ...], int]] = []
-    stack: list[list[tuple[int, ...]]] = []
     waste = used = 0
 
-    def options() -> list[tuple[int, ...]]:
+    def choices() -> Iterator[tuple[tuple[int, ...], int]]:
+        """Sequences opened by the largest piece left, each with the times it is taken."""
         top = next((s for s in range(length, 0, -1) if counts[s]), 0)
         if not top:
-            return []
-        counts[top] -= 1
-        made = [(top, *f) for f in fillings(counts, length - top)]
-        counts[top] += 1
-        return made[::-1]
-
-    stack.append(options())
-    while stack and bins > least and nodes:
-        if not stack[-1]:
+            return
+        now = list(counts)
+        now[top] -= 1
+        for f in fillings(now, length - top, work):
+            items = (top, *f)
+            most = min((now[x] + (x == top)) // items.count(x) for x in set(items))
+            yield from ((items, times) for times in range(most, 0, -1))
+
+    stack = [choices()]
+    while stack and bins > least and nodes > 0 and work[0] > 0:
+        choice = next(stack[-1], None)
+        if choice is None:
             stack.pop()
             if path:
                 items, times = path.pop()
@@ -197,8 +210,7 @@ def bin_completion(histogram: dict[int, int], length: int, nodes: int = 4_000, s
                 used -= times
             continue
         nodes -= 1
-        items = stack[-1].pop()
-        times = 1 if pieces <= single else min(counts[x] // items.count(x) for x in set(items))
+        items, times = choice
         more = (length - sum(items)) * times
         if waste + more > (bins - 1) * length - total:
             continue
@@ -207,11 +219,11 @@ def bin_completion(histogram: dict[int, int], length: int, nodes: int = 4_000, s
         path.append((items, times))
         waste, used = waste + more, used + times
         if any(counts):
-            stack.append(options())
+            stack.append(choices())
         else:
             if used < bins:
                 best, bins = list(path), used
-            stack.append([])
+            stack.append(iter(()))
     return best
 
 
