@@ -4,9 +4,10 @@ A document is a bag of sentences. A sentence is toxic with probability sigmoid(b
 with the noisy-or of its sentences, 1 - prod(1 - p). The weights are trained from document labels alone: the gradient of the
 noisy-or likelihood gives every sentence its share of a toxic document. The sentence probabilities then locate the offending ones.
 
-Features are lower-case words and word beginnings of four and five letters. Their list is chosen on a bounded sample of labelled
-documents (``max_train`` of each class, by hash of the id): those in at least ``min_docs`` toxic sampled documents, at most
-``max_features`` of them, the ones that tell the classes apart best. Scoring reads every row and whole text.
+Features are lower-case words and word beginnings of four and five letters (the beginnings stand for the forms of a word). Their list is
+chosen on a bounded sample of labelled documents (``max_train`` of each class, by hash of the id): all of those in at least ``min_docs``
+toxic sampled documents whose odds of a toxic document are e times those of a clean one and whose gain is above ``least_gain``. Scoring
+reads every row and whole text.
 
 Defined cases: null and empty texts have no sentence and score 0; null labels and labels of unknown ids teach nothing, and a document
 labelled several times counts as toxic if any label says so; a null id counts as the empty text in the split and never meets a label;
@@ -98,45 +99,42 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return rows.filter("text is not null").select("text", F.col("_l").alias("label"), F.col("_w").alias("weight"))
 
 
-def _counted(rows: DataFrame, only: set[str] | None) -> DataFrame:
+def _counted(rows: DataFrame) -> DataFrame:
     """(feature, docs): sampled documents with each feature, added up per batch before the shuffle."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         total: Counter = Counter()
         for text in batch.column(0).to_pylist():
-            found = features(text)
-            total.update(found if only is None else found & only)
+            total.update(features(text))
         return pa.record_batch([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["feature", "docs"])
 
     return in_batches(rows.select("text"), count, "feature string, docs bigint").groupBy("feature").agg(F.sum("docs").alias("docs"))
 
 
-def choose_features(rows: DataFrame, min_docs: int, max_features: int) -> tuple[list[str], np.ndarray]:
-    """The features and their first weights, log odds with one half added to each count."""
+def choose_features(rows: DataFrame, min_docs: int, least_gain: float) -> tuple[list[str], np.ndarray]:
+    """All features that mark toxic documents beyond chance, and their first weights, log odds with one half added to each count. The gain is the
+    logarithm of how much likelier the counts are with a rate per class than with one for both."""
     toxic, clean = rows.filter("label = 1"), rows.filter("label = 0")
     n1, n0 = toxic.count(), clean.count()
     if not n1 or not n0:
         return [], np.zeros(0)
-    often = _counted(toxic, None).filter(F.col("docs") >= min_docs).orderBy(F.desc("docs"), "feature").limit(16 * max_features)
-    in_toxic = {r[0]: r[1] for r in often.collect()}
-    in_clean = {r[0]: r[1] for r in _counted(clean, set(in_toxic)).collect()}
-    scored = []
-    for name, a in in_toxic.items():
-        b = in_clean.get(name, 0)
-        odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-        gain = a * np.log(max(a, 1e-9) * (n1 + n0) / (n1 * (a + b))) + (b and b * np.log(b * (n1 + n0) / (n0 * (a + b))))
-        if odds > 1 and gain > 5:
-            scored.append((-gain, name, odds))
-    scored = sorted(scored)[:max_features]
-    return [s[1] for s in scored], np.array([s[2] for s in scored])
+    a, b = F.col("docs").cast("double"), F.coalesce(F.col("in_clean"), F.lit(0)).cast("double")
+    both = _counted(toxic).filter(F.col("docs") >= min_docs).join(_counted(clean).withColumnRenamed("docs", "in_clean"), "feature", "left")
+    odds = F.log((a + 0.5) / (n1 - a + 0.5)) - F.log((b + 0.5) / (n0 - b + 0.5))
+    gain = a * F.log(a * (n1 + n0) / (n1 * (a + b))) + F.when(b > 0, b * F.log(b * (n1 + n0) / (n0 * (a + b)))).otherwise(0.0)
+    # features of the bounded sample alone
+    told = both.select("feature", odds.alias("odds"), gain.alias("gain")).filter((F.col("odds") > 1) & (F.col("gain") > least_gain)).collect()
+    told = sorted(((r["feature"], r["odds"]) for r in told))
+    return [f for f, _ in told], np.array([o for _, o in told])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-          max_train: int = 20_000, min_docs: int = 3, max_features: int = 4096, rounds: int = 30) -> Model:
-    """Resilient propagation on the noisy-or likelihood; a round is one job whose tasks return one number per feature."""
+          max_train: int = 20_000, min_docs: int = 3, least_gain: float = 5.0, rounds: int = 60, settled: float = 0.01) -> Model:
+    """Resilient propagation on the noisy-or likelihood; a round is one job whose tasks return one number per feature. It ends when no step is
+    longer than ``settled``, or after ``rounds``. Weights start at their log odds (6 at most), the bias stays within -14 and 2."""
     tables = Tables(docs.sparkSession, "toxicity")
     rows = sample(docs, labels, id_col, text_col, label_col, max_train)
-    names, odds = choose_features(rows, min_docs, max_features)
+    names, odds = choose_features(rows, min_docs, least_gain)
     if not names:
         return Model([], np.zeros(0), -35.0)
     start = Model(names, odds, 0.0)
@@ -159,6 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         slope = np.where(same < 0, 0.0, slope)
         move = np.sign(slope) * steps
         weights, bias, last = weights + move[:k], float(np.clip(bias + move[k], -14.0, 2.0)), slope
+        if np.abs(move).max() <= settled:
+            break
     return Model(names, np.round(weights, 6), round(bias, 6))
 
 
