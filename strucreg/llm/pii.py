@@ -124,7 +124,7 @@ def _by_kind(choices: dict[str, Column], other: Column) -> Column:
 
 
 def _distinct_characters() -> Column:
-    return F.size(F.array_distinct(F.split(F.lower(F.left("match", F.lit(64))), "")))
+    return F.size(F.array_distinct(F.split(F.lower("match"), "")))
 
 
 VOTES = ("by_check", "by_gazetteer", "by_context", "by_edges", "by_spread")
