@@ -50,7 +50,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 _rng = np.random.Generator(np.random.PCG64(5))
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# Powers by the lower and the upper half of a place; a text has fewer than 2^31 bytes.
 POWER = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
+UPPER = np.concatenate(([np.uint64(1)], np.cumprod(np.full((1 << 15) - 1, POWER[-1], np.uint64))))
 IS_WORD = np.ones(256, bool)
 IS_WORD[list(SPACE_BYTES)] = False
 GROUP_BYTES = 1 << 21
@@ -70,6 +72,9 @@ def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(np.append(begin, len(inside)))
     place = np.arange(len(inside)) - np.repeat(begin, size)
     value = BYTE[codes[inside]] * POWER[place & (len(POWER) - 1)]
+    far = np.flatnonzero(place >= len(POWER))
+    if len(far):
+        value[far] *= UPPER[place[far] >> 16]
     return _mix(np.add.reduceat(value, begin) + size.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), first
 
 
