@@ -185,6 +185,16 @@ a{_r} AS (SELECT e.name, e.dst AS atom_idx, sum({_id('"order"', 'id')})::BIGINT
 r{_r} AS (SELECT r.name, r.atom_idx, {_id(str(_r), 'id', 'coalesce(around, 0)')} AS id
   FROM r{_r - 1} r LEFT JOIN a{_r} a ON r.name = a.name AND r.atom_idx = a.atom_idx)"""
 
+# bonds around each atom; of equal ones within a structure the smallest identifier of the smallest radius stays
+_FINGERPRINT += f""",
+b1 AS MATERIALIZED (SELECT name, dst AS atom_idx, list_sort(list(DISTINCT least(src, dst) * 4294967296 + greatest(src, dst))) AS bonds FROM edges GROUP BY name, dst),
+b2 AS (SELECT name, atom_idx, list_sort(list(DISTINCT bond)) AS bonds FROM (
+    SELECT name, atom_idx, unnest(bonds) AS bond FROM b1
+    UNION ALL SELECT e.name, e.dst, unnest(b1.bonds) FROM edges e JOIN b1 ON e.name = b1.name AND e.src = b1.atom_idx) GROUP BY name, atom_idx),
+wider AS (SELECT name, bonds, arg_min(id, (r, id)) AS id FROM (
+    SELECT name, bonds, 1 AS r, id FROM r1 JOIN b1 USING (name, atom_idx) UNION ALL SELECT name, bonds, 2, id FROM r2 JOIN b2 USING (name, atom_idx)) GROUP BY name, bonds),
+ids AS (SELECT name, id FROM r0 UNION ALL SELECT name, id FROM wider)"""
+
 _READY = GRAPH + ",\nready AS (SELECT name, atom_idx, 1 / sqrt(degree + 1) AS d, " + ", ".join(
     f"{c} / {s}::DOUBLE AS {c}" for c, s in SIZES.items()
 ) + " FROM feats)"
@@ -221,7 +231,6 @@ for _i, (_columns, _w, _bias, _from) in enumerate(((OWN, W1, B1, "ready"), (H, W
 _GCN += ",\nmeans AS (SELECT name, " + ", ".join(f"avg({h}) AS {h}" for h in H) + " FROM l1 GROUP BY name)"
 
 _NODE_TABLE = f"""{_FINGERPRINT},
-ids AS ({union_all(f'SELECT name, id FROM r{r}' for r in range(3))}),
 prints AS (SELECT name, list(DISTINCT (id % {BITS})::INT) AS bits FROM ids GROUP BY name),
 wide AS MATERIALIZED (
   SELECT feats.idx, feats.name, atom_idx, list_concat([{', '.join(X)}], list_concat(
@@ -241,8 +250,7 @@ UNION ALL SELECT name, atom_idx, 'H', 0 FROM hydrogens""",
     "hydrogen_bonds": f"""WITH {GRAPH} SELECT name, "begin", "end", "order" FROM bonds
 UNION ALL SELECT name, parent, atom_idx, 1 FROM hydrogens""",
     "validate_structure": f"WITH {GRAPH} SELECT DISTINCT name, 'too many bonds' AS reason FROM feats WHERE valence > usual + shift",
-    "circular_fingerprint": f"""WITH {_FINGERPRINT},
-ids AS ({union_all(f'SELECT name, id FROM r{r}' for r in range(3))})
+    "circular_fingerprint": f"""WITH {_FINGERPRINT}
 SELECT name, list_sort(list(DISTINCT (id % 256)::INT)) AS on_bits FROM ids GROUP BY name""",
     "node_features": f"""WITH {OBS}, {GRAPH} SELECT feats.name, atom_idx, {', '.join(X)}, atomic_num::DOUBLE AS atomic_num,
   valence::DOUBLE AS valence, charge::DOUBLE AS charge, aromatic::DOUBLE AS aromatic, mass

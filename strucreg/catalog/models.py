@@ -509,7 +509,6 @@ def _score_graph_sql() -> str:
     heads = [" + ".join([num(b3[k]), *(f"avg(h{j}) * {num(w3[j][k])}" for j in range(n))]) for k in range(6)]
     good = " AND ".join(f"{x} <> 0" for x in X)
     return f"""WITH {OBS}, {_FINGERPRINT},
-ids AS ({union_all(f'SELECT name, id FROM r{r}' for r in range(3))}),
 prints AS (SELECT DISTINCT name, id % 256 AS bit FROM ids),
 bits(bit, {', '.join(f'g{j}' for j in range(n))}) AS (VALUES {rows}),
 bad AS (SELECT DISTINCT name FROM feats WHERE valence > usual + shift),

@@ -198,6 +198,60 @@ def validation_split(spark, sf_dir):
     return train.withColumn("is_validation", split.validation_part(F.col("idx")))
 
 
+def validation_tail(spark, sf_dir):
+    """The other form: the last tenth of the training rows as ordered by priority and key."""
+    train = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), F.col("o_orderpriority").alias("priority"))
+    train = train.filter(split.holdout(F.col("idx")) == "train")
+    return train.select("idx", split.tail_part(train, ["priority", "idx"]).alias("is_validation"))
+
+
+FILES = 48
+
+
+def _written(spark, rows, suffix):
+    """A folder with a file ``<name>.<suffix>`` for each row of ``name, text``."""
+    from strucreg.scratch import scratch_path
+
+    parts, folder = scratch_path(spark, "parts"), scratch_path(spark, suffix)
+    rows.select("name", "text").repartition("name").write.partitionBy("name").option("lineSep", "\n").text(parts)
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    files = path(parts).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path(folder))
+    for at in files.listStatus(path(parts)):  # FILES folders
+        name = at.getPath().getName()
+        if name.startswith("name="):
+            for part in files.listStatus(at.getPath()):
+                files.rename(part.getPath(), path(f"{folder}/{name.removeprefix('name=')}.{suffix}"))
+    return folder
+
+
+def xyz_files(spark, sf_dir):
+    """All atoms written into XYZ files, a structure of many orders each, and read back: files up to 16 KB whole, larger ones in ranges of bytes."""
+    atoms = b.atoms(spark, sf_dir).withColumn("name", F.concat(F.lit("f"), (F.col("idx") % FILES).cast("string")))
+    line = F.format_string("%s %.2f %.2f %.2f", "symbol", "x", "y", "z")
+    # a text of one task per file, as a file is one in the end
+    grouped = atoms.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("idx", "part", "atom_idx", line.alias("line")))).alias("a"))
+    end = F.when(F.substring("name", 2, 9).cast("int") % 3 == 0, F.lit("\r\n")).otherwise(F.lit("\n"))
+    text = F.concat(F.size("a").cast("string"), end, F.col("name"), end, F.array_join(F.transform("a.line", lambda v: F.concat(v, end)), ""))
+    folder = _written(spark, grouped.select("name", text.alias("text")), "xyz")
+    parsed = structures.read_xyz(spark, folder, whole_file_bytes=16 << 10)
+    return parsed.filter("valid").drop("valid")
+
+
+def sdf_files(spark, sf_dir):
+    """All molecules written into SDF files of many records, of both formats, and read back, small files whole, larger ones in ranges of bytes:
+    each record's number in its file, its atoms and bonds and the charges in it."""
+    texts = b.sdf_text(b.atoms(spark, sf_dir)).withColumn("idx", F.split("name", "_")[1].cast("bigint"))
+    names = F.concat(F.lit("f"), (F.col("idx") % FILES).cast("string"))
+    grouped = texts.groupBy(names.alias("file")).agg(F.array_sort(F.collect_list(F.struct("idx", "name", "text"))).alias("t"))
+    folder = _written(spark, grouped.select(F.col("file").alias("name"), F.array_join("t.text", "").alias("text")), "sdf")
+    parsed = structures.parse_sdf(structures.read_sdf_records(spark, folder, whole_file_bytes=64 << 10))
+    charge = F.aggregate("charges", F.lit(0), lambda a, c: a + c["charge"])
+    coded = F.aggregate("atoms", F.lit(0), lambda a, x: a + F.when(x["charge_code"] == 3, 1).otherwise(0))
+    return parsed.filter("reason is null").select("name", "record_no", "n_atoms", "n_bonds", F.when(F.size("charges") > 0, charge).otherwise(coded).alias("charge"))
+
+
 def kfold_assign(spark, sf_dir):
     train = holdout_split(spark, sf_dir).filter(F.col("split") == "train").select("idx")
     return train.withColumn("fold", split.kfold(F.col("idx")))
@@ -206,7 +260,7 @@ def kfold_assign(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        csv_roundtrip, xyz_parse, sdf_parse, sdf_bonds, quarantine, coerce_numeric, head_rows, sample_rows, label_rows,
+        csv_roundtrip, xyz_parse, xyz_files, sdf_parse, sdf_bonds, sdf_files, validation_tail, quarantine, coerce_numeric, head_rows, sample_rows, label_rows,
         validate_inputs, empty_graphs, activations, attach_structure, attach_molecule, flatten_coordinates,
         flatten_long, pad_coordinates, expand_coordinates, standardize_fit, scaler_roundtrip, standardize,
         standardize_inverse, minmax, training_verdicts, holdout_split, three_way_split, validation_split, kfold_assign,
@@ -289,6 +343,14 @@ FROM gaps LEFT JOIN flat ON gaps.idx = flat.idx AND flat.idx % 31 <> 0""",
     "three_way_split": f"SELECT o_orderkey AS idx, {three_way('o_orderkey')} AS split FROM orders",
     "validation_split": f"""SELECT o_orderkey AS idx, {bucket('o_orderkey', 'watch42', 10)} = 0 AS is_validation
 FROM orders WHERE {holdout('o_orderkey')} = 'train'""",
+    "validation_tail": f"""SELECT o_orderkey AS idx, row_number() OVER (ORDER BY encode(o_orderpriority), o_orderkey) - 1 >= floor(count(*) OVER () * 0.9::DOUBLE) AS is_validation
+FROM orders WHERE {holdout('o_orderkey')} = 'train'""",
+    "xyz_files": f"""WITH {ATOMS}
+SELECT 'f' || (idx % {FILES}) AS name, row_number() OVER (PARTITION BY idx % {FILES} ORDER BY idx, split_part(name, '_', 3)::INT, atom_idx) - 1 AS atom_idx, symbol, x, y, z FROM atoms""",
+    "sdf_files": f"""WITH {ATOMS},
+m AS (SELECT idx, name, count(*)::INT AS n, count(*) FILTER (symbol = 'N' AND x > 25)::INT AS charge, row_number() OVER (PARTITION BY idx % {FILES} ORDER BY idx, name) - 1 AS nth
+  FROM atoms GROUP BY idx, name)
+SELECT 'f' || (idx % {FILES}) AS name, 2 * nth + copy AS record_no, n AS n_atoms, CASE WHEN copy = 0 THEN n - 1 ELSE 0 END::INT AS n_bonds, charge FROM m, range(2) c(copy)""",
     "kfold_assign": f"""SELECT o_orderkey AS idx, {bucket('o_orderkey', 'fold42', 3)}::INT AS fold
 FROM orders WHERE {holdout('o_orderkey')} = 'train'""",
 }

@@ -132,12 +132,12 @@ def _digest(*parts: Column) -> Column:
 
 
 def circular_identifiers(atoms: DataFrame, bonds: DataFrame, keys: Keys = ("name",), radius: int = 2) -> DataFrame:
-    """Identifiers ``id0 .. id<radius>`` of every atom's surroundings.
+    """Identifiers ``id0 .. id<radius>`` of every atom's surroundings, and ``set1 .. set<radius>``, the bonds within them in order.
 
     Neighbours are combined by adding digests, which needs neither an order nor a list, so the
     number does not depend on atom numbering and a much-bonded atom is combined map-side.
     A loop at every atom brings its own identifiers along, so that a round is one join and
-    one sum over the round before.
+    one sum over the round before. The bonds of an atom with at most v bonds are at most v^radius.
     """
     edges = symmetric_edges(bonds, keys)
     loops = atoms.select(*keys, F.col("atom_idx").alias("src"), F.col("atom_idx").alias("dst"), F.lit(None).cast("int").alias("order"))
@@ -147,11 +147,15 @@ def circular_identifiers(atoms: DataFrame, bonds: DataFrame, keys: Keys = ("name
     bonded = bonded_order(edges, keys)
     current = _with_elements(atoms).join(bonded, [*keys, "atom_idx"], "left").select(*keys, "atom_idx", _digest(*parts).alias("id0"))
     own = F.col("order").isNull()
+    bond = F.when(~own, F.least("src", "dst").cast("bigint") * F.lit(1 << 32) + F.greatest("src", "dst"))
     for r in range(1, radius + 1):
         sent = current.withColumnRenamed("atom_idx", "src").join(links, [*keys, "src"])
         known = [F.max(F.when(own, F.col(f"id{k}"))).alias(f"id{k}") for k in range(r)]
+        known += [F.flatten(F.collect_list(F.when(own, F.col(f"set{k}")))).alias(f"set{k}") for k in range(1, r)]
         around = F.sum(F.when(~own, _digest(F.col("order"), F.col(f"id{r - 1}")))).alias("around")
-        current = sent.groupBy(*keys, F.col("dst").alias("atom_idx")).agg(*known, around)
+        # the bond that leads here and what the other end has around it
+        inner = F.collect_set(bond) if r == 1 else F.array_union(F.collect_set(bond), F.flatten(F.collect_set(f"set{r - 1}")))
+        current = sent.groupBy(*keys, F.col("dst").alias("atom_idx")).agg(*known, around, F.array_sort(inner).alias(f"set{r}"))
         identifier = _digest(F.lit(r), F.col(f"id{r - 1}"), F.coalesce("around", F.lit(0)))
         current = current.withColumn(f"id{r}", identifier).drop("around")
     return current
@@ -162,12 +166,19 @@ def circular_fingerprint(
 ) -> DataFrame:
     """``(keys, on_bits)``: sorted set bits of the folded identifiers up to ``radius``.
 
-    At most ``n_bits`` numbers per graph, combined map-side.
+    Surroundings of equal bonds within a graph count once: the smallest of the smallest radius stays. At most ``n_bits`` numbers
+    per graph, combined map-side.
     """
     found = circular_identifiers(atoms, bonds, keys, radius)
-    bits = F.array(*[(F.col(f"id{r}") % n_bits).cast("int") for r in range(radius + 1)])
+    none = F.array().cast("array<bigint>")
+    around = [F.struct(F.lit(r).alias("r"), F.col(f"id{r}").alias("id"), (F.col(f"set{r}") if r else none).alias("bonds")) for r in range(radius + 1)]
+    each = found.select(*keys, F.explode(F.array(*around)).alias("e")).select(*keys, "e.*")
+    # atoms alone are all kept; without a bond there is nothing around an atom
+    single = each.filter("r = 0").select(*keys, "id")
+    wider = each.filter(F.size("bonds") > 0).groupBy(*keys, "bonds").agg(F.min(F.struct("r", "id")).alias("least")).select(*keys, F.col("least.id").alias("id"))
     return (
-        found.select(*keys, F.explode(bits).alias("bit"))
+        single.unionByName(wider)
+        .select(*keys, (F.col("id") % n_bits).cast("int").alias("bit"))
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_set("bit")).alias("on_bits"))
     )

@@ -58,3 +58,48 @@ def number_within(
     light = rows.join(heavy, keys, "left_anti").withColumn(out, plain.cast("bigint"))
     split = number_in_blocks(rows.join(heavy, keys, "left_semi"), keys, "_block", order, out)
     return light.unionByName(split).drop("_block")
+
+
+# Ranges whose sizes are sent to every task; more of them are joined by shuffle.
+MAX_BROADCAST_RANGES = 100_000
+
+
+def number_in_ranges(df: DataFrame, keys: Sequence[str], block: str, out: str) -> DataFrame:
+    """Numbers 0.. within ``keys`` in the order in which rows come from files read in ranges of bytes.
+
+    ``block`` is where a row's range begins. A range is read by one task from its start on, so a task numbers its rows as they come;
+    the rows of the ranges before are counted apart. Only for rows that have not been moved since they were read.
+    """
+    part = [*keys, block]
+    schema = T.StructType([*df.schema.fields, T.StructField("_nth", T.LongType())])
+
+    def count(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        seen: dict[tuple, int] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # rows of a range stand together
+            ids = [batch.column(k).dictionary_encode() for k in part]
+            codes = [i.indices.to_numpy(zero_copy_only=False) for i in ids]
+            new = np.zeros(batch.num_rows, bool)
+            new[0] = True
+            for c in codes:
+                new[1:] |= c[1:] != c[:-1]
+            first = np.flatnonzero(new)
+            nth = np.empty(batch.num_rows, np.int64)
+            for a, z in zip(first, np.append(first[1:], batch.num_rows)):
+                key = tuple(i.dictionary[int(c[a])].as_py() for i, c in zip(ids, codes))
+                nth[a:z] = seen.get(key, 0) + np.arange(z - a)
+                seen[key] = int(nth[z - 1]) + 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nth)], names=[*batch.schema.names, "_nth"])
+
+    sizes = df.groupBy(*part).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = W.partitionBy(*keys).orderBy(block).rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*part, F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")).persist()
+    if offsets.count() <= MAX_BROADCAST_RANGES:
+        offsets = F.broadcast(offsets)
+    numbered = df.mapInArrow(count, schema).join(offsets, part)
+    return numbered.withColumn(out, (F.col("_before") + F.col("_nth")).cast("bigint")).drop("_nth", "_before")

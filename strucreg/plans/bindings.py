@@ -128,25 +128,44 @@ def xyz_text(atom_rows: DataFrame) -> DataFrame:
 
 
 def sdf_text(atom_rows: DataFrame) -> DataFrame:
-    """``name, text``: the SDF file of each system, two records: the structure and a copy without bonds."""
+    """``name, text``: the SDF file of each system, two records: the structure and a copy without bonds. Every fifth order has the
+    extended format, with atom numbers in steps of ten and lines that go on."""
     following = F.lead("atom_idx").over(W.partitionBy("idx", "part").orderBy("atom_idx"))
+    charged = (F.col("symbol") == "N") & (F.col("x") > CHARGED_ABOVE)
     # fixed value: code 3 of an atom line is a charge of one
-    code = F.when((F.col("symbol") == "N") & (F.col("x") > CHARGED_ABOVE), 3).otherwise(0)
-    atom_line = F.format_string("%10.4f%10.4f%10.4f %-3s 0%3d", "x", "y", "z", "symbol", code)
+    atom_line = F.format_string("%10.4f%10.4f%10.4f %-3s 0%3d", "x", "y", "z", "symbol", F.when(charged, 3).otherwise(0))
     bond_line = F.when(
         F.col("following").isNotNull(),
         F.format_string("%3d%3d%3d  0", F.col("atom_idx") + 1, F.col("following") + 1, F.col("left_order")),
     )
+    number = F.col("atom_idx") * 10 + 10
+    long_atom = F.format_string("M  V30 %d %s %.4f -\nM  V30 %.4f %.4f 0%s", number, "symbol", "x", "y", "z", F.when(charged, " CHG=1").otherwise(""))
+    long_bond = F.when(
+        F.col("following").isNotNull(),
+        F.format_string("M  V30 %d %d %d %d", F.col("atom_idx") + 1, "left_order", number, F.col("following") * 10 + 10),
+    )
+    extended = F.col("idx") % 5 == 0
     grouped = (
         atom_rows.withColumn("following", following)
         .groupBy("idx", "part", "name")
-        .agg(F.array_sort(F.collect_list(F.struct("atom_idx", atom_line.alias("a"), bond_line.alias("b")))).alias("rows"))
+        .agg(
+            F.array_sort(
+                F.collect_list(
+                    F.struct("atom_idx", F.when(extended, long_atom).otherwise(atom_line).alias("a"), F.when(extended, long_bond).otherwise(bond_line).alias("b"))
+                )
+            ).alias("rows")
+        )
     )
     n_atoms, bond_lines = F.size("rows"), F.array_compact(F.col("rows.b"))
 
     def record(bond_part, n_bonds):
-        head = F.array(F.col("name"), F.lit("  rendered"), F.lit(""), F.format_string("%3d%3d  0  0  0", n_atoms, n_bonds))
-        return F.array_join(F.concat(head, F.col("rows.a"), bond_part, F.array(F.lit("M  END"), F.lit("$$$$\n"))), "\n")
+        head = F.array(F.col("name"), F.lit("  rendered"), F.lit(""))
+        plain = F.concat(head, F.array(F.format_string("%3d%3d  0  0  0", n_atoms, n_bonds)), F.col("rows.a"), bond_part)
+        section = lambda name, lines: F.concat(F.array(F.lit(f"M  V30 BEGIN {name}")), lines, F.array(F.lit(f"M  V30 END {name}")))
+        counts = F.array(F.format_string("M  V30 COUNTS %d %d 0 0 0", n_atoms, n_bonds))
+        table = section("CTAB", F.concat(counts, section("ATOM", F.col("rows.a")), section("BOND", bond_part)))
+        longer = F.concat(head, F.array(F.lit("  0  0  0  0  0            999 V3000")), table)
+        return F.array_join(F.concat(F.when(extended, longer).otherwise(plain), F.array(F.lit("M  END"), F.lit("$$$$\n"))), "\n")
 
     bare = record(F.array().cast("array<string>"), F.lit(0))
     return grouped.select("name", F.concat(record(bond_lines, F.size(bond_lines)), bare).alias("text"))

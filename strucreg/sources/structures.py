@@ -1,8 +1,9 @@
 """XYZ and SDF structure files as long tables.
 
 Small files are read whole, one row per file, and numbered inside the row. A file
-above ``WHOLE_FILE_BYTES`` is read in splits (lines of XYZ, records of SDF), so a
-single file that holds much of the data is still spread over many tasks.
+above ``WHOLE_FILE_BYTES`` is read in ranges of bytes that end with a line (XYZ) or a record (SDF), so a
+single file that holds much of the data is still spread over many tasks. A task numbers what it reads of a range as it
+comes; how many there are in the ranges before is counted apart, so no text is moved for its number.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strucreg.functions.columns import to_numeric
-from strucreg.operators.numbering import number_in_blocks
+from strucreg.operators.numbering import number_in_ranges
 
 WHOLE_FILE_BYTES = 32 * 1024 * 1024
 
@@ -32,13 +33,12 @@ def _whole_files(spark: SparkSession, path: str, suffix: str, limit: int) -> Dat
 
 
 def _split_files(spark: SparkSession, path: str, suffix: str, limit: int, line_sep: str) -> DataFrame:
-    """Pieces of the large files with the numbers that give their order in the file. Files are cut at one separator only, as
-    a reader of several would also split between the two characters of one line end."""
+    """Pieces of the large files, in the order of the file within the range of bytes that begins at ``block``. Files are cut at one
+    separator only, as a reader of several would also split between the two characters of one line end."""
     files = spark.read.option("pathGlobFilter", f"*.{suffix}").text(path, lineSep=line_sep)
     return files.filter(F.col("_metadata.file_size") > limit).select(
         _stem(suffix).alias("name"),
         F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("piece"),
         F.col("value").alias("text"),
     )
 
@@ -76,15 +76,15 @@ def parse_xyz_text(files: DataFrame) -> DataFrame:
 
 
 def parse_xyz_lines(pieces: DataFrame) -> DataFrame:
-    """The same for ``(name, block, piece, text)`` pieces, cut at line feeds, of files too large for one row.
+    """The same for ``(name, block, text)`` pieces, cut at line feeds, of files too large for one row.
 
     A piece is a line, or several where the file ends lines by a carriage return.
     """
     text = F.regexp_replace("text", r"\r$", "")
-    lines = pieces.select("name", "block", "piece", F.posexplode(F.split(text, r"\r")).alias("nth", "text"))
-    numbered = number_in_blocks(lines, ["name"], "block", ["piece", "nth"], "line_no")
+    lines = pieces.select("name", "block", F.explode(F.split(text, r"\r")).alias("text"))
+    numbered = number_in_ranges(lines, ["name"], "block", "line_no")
     atoms = numbered.filter(F.col("line_no") >= 2).withColumn("t", _tokens(F.col("text"))).filter(F.size("t") == 4)
-    numbered = number_in_blocks(atoms, ["name"], "block", ["piece", "nth"], "atom_idx")
+    numbered = number_in_ranges(atoms.select("name", "block", "t"), ["name"], "block", "atom_idx")
     return numbered.select("name", "atom_idx", *_atom_columns())
 
 
@@ -100,7 +100,7 @@ def quarantine_structures(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
     return atoms.join(bad.select("name"), "name", "left_anti").drop("valid"), bad
 
 
-# --- SDF (V2000) ------------------------------------------------------------
+# --- SDF ------------------------------------------------------------
 
 
 def split_sdf_text(files: DataFrame) -> DataFrame:
@@ -112,7 +112,7 @@ def split_sdf_text(files: DataFrame) -> DataFrame:
 def read_sdf_records(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
     small = split_sdf_text(_whole_files(spark, path, "sdf", whole_file_bytes))
     pieces = _split_files(spark, path, "sdf", whole_file_bytes, "$$$$")
-    numbered = number_in_blocks(pieces, ["name"], "block", ["piece"], "record_no")
+    numbered = number_in_ranges(pieces, ["name"], "block", "record_no")
     # every piece but the first starts with the line end of its separator
     record = F.when(F.col("record_no") == 0, F.col("text")).otherwise(F.regexp_replace("text", r"^[ \t]*(?:\r\n|\r|\n)", ""))
     large = numbered.select("name", "record_no", record.alias("record")).filter(
@@ -129,13 +129,11 @@ def _coordinate(line: Column, start: int) -> Column:
     return to_numeric(F.substring(line, start, 10))
 
 
-def parse_sdf(records: DataFrame) -> DataFrame:
-    """One row per record with its atoms, bonds and charges, and the ``reason`` it is unusable, if any.
+_ATOMS = "array<struct<symbol:string,x:double,y:double,z:double,charge_code:int>>"
 
-    The counts have three digits, so a record holds at most 999 atoms and 999 bonds.
-    """
-    lines = records.withColumn("lines", F.split("record", LINE_END)).withColumn("counts", F.get("lines", F.lit(3)))
-    sized = lines.withColumns({"n_atoms": _int(F.col("counts"), 1, 3), "n_bonds": _int(F.col("counts"), 4, 3)})
+
+def _plain_format() -> list[Column]:
+    """Counts, atoms, bonds and charges by columns. The counts have three digits, so a record holds at most 999 atoms and 999 bonds."""
     n_atoms = F.greatest(F.coalesce("n_atoms", F.lit(0)), F.lit(0))
     n_bonds = F.greatest(F.coalesce("n_bonds", F.lit(0)), F.lit(0))
     charge_pairs = F.flatten(
@@ -144,7 +142,7 @@ def parse_sdf(records: DataFrame) -> DataFrame:
             lambda s: _charges(F.split(F.trim(F.regexp_replace(F.substr(s, F.lit(10)), r"\s+", " ")), " ")),
         )
     )
-    fields = [
+    return [
         "n_atoms",
         "n_bonds",
         F.transform(
@@ -165,23 +163,76 @@ def parse_sdf(records: DataFrame) -> DataFrame:
         ).alias("bonds"),
         charge_pairs.alias("charges"),
     ]
+
+
+def _section(lines: str, name: str) -> Column:
+    """The lines between BEGIN and END of a section, as tokens; NULL without the section."""
+    begin = F.array_position(lines, f"BEGIN {name}")
+    end = F.array_position(lines, f"END {name}")
+    inside = F.slice(lines, (begin + 1).cast("int"), (end - begin - 1).cast("int"))
+    return F.when((begin > 0) & (end > begin), F.transform(inside, lambda s: F.split(s, " ")))
+
+
+def _extended_format(records: DataFrame) -> DataFrame:
+    """Counts, atoms, bonds and charges by tokens: numbered lines that may go on, atom numbers in any order and with gaps, charges as CHG=n.
+    Bonds name atoms by their numbers; a bond to a number that no atom has leads to a missing atom."""
+    content = F.transform(F.filter("lines", lambda s: s.startswith("M  V30 ")), lambda s: F.trim(F.substr(s, F.lit(8))))
+    # a line that ends with a hyphen goes on in the next one
+    joined = F.regexp_replace(F.array_join(content, "\n"), r"-\n", " ")
+    tidy = F.transform(F.split(joined, "\n"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
+    counts = F.split(F.get(F.filter("tidy", lambda s: s.startswith("COUNTS ")), F.lit(0)), " ")
+    parts = records.withColumn("tidy", tidy).select(
+        "name", "record_no", counts.alias("counted"), _section("tidy", "ATOM").alias("atom_lines"), _section("tidy", "BOND").alias("bond_lines")
+    )
+    token = lambda t, i: F.get(t, F.lit(i))
+    none = F.array().cast("array<array<string>>")
+    parts = parts.withColumns({"atom_lines": F.coalesce("atom_lines", none), "bond_lines": F.coalesce("bond_lines", none)})
+    parts = parts.withColumn("numbers", F.transform("atom_lines", lambda t: token(t, 0).try_cast("int")))
+    charge = lambda t: F.regexp_extract(F.array_join(t, " "), r"(?:^| )CHG=(-?\d+)(?: |$)", 1).try_cast("int")
+    atoms = F.transform(
+        "atom_lines",
+        lambda t: F.struct(
+            F.coalesce(F.regexp_replace(token(t, 1), '"', ""), F.lit("")).alias("symbol"),
+            to_numeric(token(t, 2)).alias("x"), to_numeric(token(t, 3)).alias("y"), to_numeric(token(t, 4)).alias("z"), F.lit(0).alias("charge_code"),
+        ),
+    )
+    in_order = F.coalesce(F.col("numbers") == F.sequence(F.lit(1), F.greatest(F.size("numbers"), F.lit(1))), F.lit(False))
+    # numbers without gaps are places already; others are looked up
+    place = lambda n: F.when(n.isNotNull(), F.when(in_order, n - 1).otherwise(F.coalesce(F.array_position("numbers", n).cast("int"), F.lit(0)) - 1))
+    bonds = F.transform(
+        "bond_lines",
+        lambda t: F.struct(place(token(t, 2).try_cast("int")).alias("begin"), place(token(t, 3).try_cast("int")).alias("end"), token(t, 1).try_cast("int").alias("order")),
+    )
+    told = F.filter(F.transform("atom_lines", lambda t, i: F.struct(i.cast("int").alias("atom_idx"), charge(t).alias("charge"))), lambda c: c["charge"].isNotNull())
+    wrong = F.exists("numbers", lambda n: n.isNull()) | (F.size(F.array_distinct("numbers")) < F.size("numbers"))
+    fields = F.struct(
+        token(F.col("counted"), 1).try_cast("int").alias("n_atoms"), token(F.col("counted"), 2).try_cast("int").alias("n_bonds"),
+        atoms.cast(_ATOMS).alias("atoms"), bonds.alias("bonds"), told.alias("charges"), wrong.alias("misnumbered"),
+    )
+    return parts.select("name", "record_no", F.inline(F.array(fields)))
+
+
+def parse_sdf(records: DataFrame) -> DataFrame:
+    """One row per record with its atoms, bonds and charges, and the ``reason`` it is unusable, if any. Both formats of records are read."""
+    lines = records.withColumn("lines", F.split("record", LINE_END)).withColumn("counts", F.get("lines", F.lit(3)))
+    extended = F.coalesce(F.col("counts").rlike(r"\bV3000\b"), F.lit(False))
+    sized = lines.filter(~extended).withColumns({"n_atoms": _int(F.col("counts"), 1, 3), "n_bonds": _int(F.col("counts"), 4, 3)})
     # a generator keeps later filters from repeating the parse once per reference
-    extended = F.col("counts").rlike(r"\bV3000\b").alias("extended")
-    parsed = sized.select("name", "record_no", F.inline(F.array(F.struct(*fields, extended))))
+    plain = sized.select("name", "record_no", F.inline(F.array(F.struct(*_plain_format(), F.lit(False).alias("misnumbered")))))
+    parsed = plain.unionByName(_extended_format(lines.filter(extended)))
     bad_atom = F.exists("atoms", lambda a: a.x.isNull() | a.y.isNull() | a.z.isNull() | (a.symbol == ""))
     bad_bond = F.exists("bonds", lambda b: b.begin.isNull() | b.end.isNull() | b.order.isNull())
     loose_bond = F.exists(
         "bonds", lambda b: (b.begin < 0) | (b.end < 0) | (b.begin >= F.col("n_atoms")) | (b.end >= F.col("n_atoms"))
     )
     reason = (
-        F.when(F.col("extended"), "extended format")
-        .when(F.col("n_atoms").isNull() | F.col("n_bonds").isNull(), "unreadable counts")
+        F.when(F.col("n_atoms").isNull() | F.col("n_bonds").isNull(), "unreadable counts")
         .when((F.size("atoms") < F.col("n_atoms")) | (F.size("bonds") < F.col("n_bonds")), "truncated")
-        .when(bad_atom, "unreadable atom")
+        .when(bad_atom | F.col("misnumbered"), "unreadable atom")
         .when(bad_bond, "unreadable bond")
         .when(loose_bond, "bond to a missing atom")
     )
-    return parsed.withColumn("reason", reason).drop("extended")
+    return parsed.withColumn("reason", reason).drop("misnumbered")
 
 
 def _charges(tokens: Column) -> Column:

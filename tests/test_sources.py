@@ -80,7 +80,7 @@ def test_sdf_files(spark, tmp_path, split):
     reasons = {(r["name"], r["record_no"]): r["reason"] for r in parsed.collect()}
     assert reasons == {
         ("two", 0): None, ("two", 1): None, ("charged", 0): None, ("windows", 0): None,
-        ("returns", 0): None, ("v3000", 0): "extended format", ("v3000", 1): None, ("coded", 0): None, ("long", 0): None,
+        ("returns", 0): None, ("v3000", 0): "unreadable counts", ("v3000", 1): None, ("coded", 0): None, ("long", 0): None,
         ("loose", 0): "bond to a missing atom", ("short", 0): "truncated", ("later", 0): "truncated", ("later", 1): None,
     }
     first = structures.first_record(parsed)
@@ -96,6 +96,47 @@ def test_sdf_files(spark, tmp_path, split):
     assert bonds == {("charged", 0, 1, 1), ("charged", 0, 2, 4)}
 
 
+def _extended(atoms, bonds, numbers=None, counts=None, wrap=False, end="\n"):
+    """atoms: (symbol, x, y, z, more); bonds: (order, first, second) by atom number."""
+    numbers = numbers or range(1, len(atoms) + 1)
+    n, m = counts or (len(atoms), len(bonds))
+    lines = ["t", "  x", "", "  0  0  0     0  0            999 V3000", "M  V30 BEGIN CTAB", f"M  V30 COUNTS {n} {m} 0 0 0", "M  V30 BEGIN ATOM"]
+    for i, (s, x, y, z, more) in zip(numbers, atoms):
+        lines += [f"M  V30 {i} {s} {x} -", f"M  V30 {y}   {z} 0 {more}"] if wrap else [f"M  V30 {i} {s} {x} {y} {z} 0 {more}".rstrip()]
+    lines += ["M  V30 END ATOM"]
+    if bonds:
+        lines += ["M  V30 BEGIN BOND", *(f"M  V30 {k} {o} {a} {b}" for k, (o, a, b) in enumerate(bonds, 1)), "M  V30 END BOND"]
+    return end.join([*lines, "M  V30 END CTAB", "M  END", "$$$$", ""])
+
+
+def test_extended_records(spark, tmp_path):
+    """Numbers with gaps and out of order, lines that go on, charges by name, more than 999 atoms, and what is wrong with others."""
+    ring = [("C", 0.5, 1, -2, ""), ("N", 1e-1, 2, 0, "CHG=1 MASS=15"), ("O", 3, 3, 3, "RAD=1 CHG=-1")]
+    chain = [("C", i, 0, 0, "") for i in range(1500)]
+    texts = {
+        "gaps": _extended(ring, [(2, 30, 10), (1, 10, 20)], [10, 30, 20]), "wrapped": _extended(ring, [(1, 1, 2)], wrap=True), "windows": _extended(ring, [(4, 1, 3)], end="\r\n"),
+        "chain": _extended(chain, [(1, i, i + 1) for i in range(1, 1500)]), "alone": _extended(ring[:1], []), "loose": _extended(ring, [(1, 1, 7)]), "loose2": _extended(ring, [(1, 10, 7)], [10, 20, 30]),
+        "short": _extended(ring, [(1, 1, 2)], counts=(4, 1)), "twice": _extended(ring, [], [1, 2, 2]), "noxyz": _extended([("C", "a", 0, 0, "")], []), "order": _extended(ring, [("x", 1, 2)]),
+        "mixed": _extended(ring, [(1, 1, 2)]) + _record("p", CO, [(1, 2, 1)]),
+    }
+    _write(tmp_path, texts, "sdf")
+    parsed = structures.parse_sdf(structures.read_sdf_records(spark, str(tmp_path)))
+    reasons = {(r["name"], r["record_no"]): r["reason"] for r in parsed.collect()}
+    assert {k[0]: v for k, v in reasons.items() if v} == {
+        "loose": "bond to a missing atom", "loose2": "bond to a missing atom", "short": "truncated", "twice": "unreadable atom", "noxyz": "unreadable atom", "order": "unreadable bond",
+    }
+    assert len(reasons) == 13
+    first = structures.first_record(parsed)
+    atoms = {(r["name"], r["atom_idx"]): (r["symbol"], r["x"], r["y"], r["z"], r["charge"]) for r in structures.molecule_atoms(first).collect()}
+    for name in ("gaps", "wrapped", "windows", "mixed"):
+        assert [atoms[name, i] for i in range(3)] == [("C", 0.5, 1.0, -2.0, 0), ("N", 0.1, 2.0, 0.0, 1), ("O", 3.0, 3.0, 3.0, -1)]
+    bonds = {}
+    for r in structures.molecule_bonds(first).collect():
+        bonds.setdefault(r["name"], set()).add((r["begin"], r["end"], r["order"]))
+    assert bonds["gaps"] == {(1, 0, 2), (0, 2, 1)} and bonds["windows"] == {(0, 2, 4)} and "alone" not in bonds
+    assert bonds["chain"] == {(i, i + 1, 1) for i in range(1499)} and atoms["chain", 1499][1] == 1499.0
+
+
 def test_table_columns_are_found_by_name(spark, tmp_path):
     (tmp_path / "t.csv").write_text("name,extra,b,a\nm1,q,2.5,1\nm2,q,,NaN\nm3,q,x/y,4\n")
     rows = tables.read_observations(spark, str(tmp_path), numeric=["a", "b"]).orderBy("name").collect()
