@@ -95,6 +95,15 @@ _CORR = GAPS + ",\ncorr AS (" + union_all(
     f"count(*) FILTER (WHERE {x} IS NOT NULL AND {y} IS NOT NULL) AS n FROM gaps"
     for x, y in product(X, Y)
 ) + ")"
+# all 36 pairs in one aggregation; the tail of the density by Simpson's rule on 800 steps
+_PVALUES = "WITH " + GAPS.replace("gaps AS (", "gaps AS MATERIALIZED (") + f""",
+sums AS MATERIALIZED (SELECT [{', '.join(f"{{'feature': '{x}', 'target': '{y}', 'r': corr({x}, {y}), 'n': count(*) FILTER ({x} IS NOT NULL AND {y} IS NOT NULL)}}" for x, y in product(X, Y))}] AS pairs FROM gaps),
+corr AS (SELECT unnest(pairs, recursive := true) FROM sums),
+tested AS (SELECT feature, target, r, n, r * sqrt((n - 2) / (1 - r * r)) AS t, (n - 2)::DOUBLE AS dof FROM corr),
+area AS (SELECT *, list_sum(list_transform(range(0, 801), lambda k: (CASE WHEN k IN (0, 800) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
+  * pow(1 + pow(least(abs(t), 40) * k / 800, 2) / dof, -(dof + 1) / 2))) * least(abs(t), 40) / 800 / 3 AS s FROM tested)
+SELECT feature, target, n, {rnd('r')} AS r, {rnd('t', 4)} AS t,
+  {rnd('greatest(0, 1 - 2 * s * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi()))')} AS p FROM area"""
 _LONG = GAPS + ",\nlong AS (" + long_rows("gaps", XY) + ")"
 
 
@@ -136,16 +145,7 @@ SQL = {
     "rank_mean_abs_corr": f"WITH {_CORR} SELECT feature, {rnd('avg(abs(r))')} AS strength FROM corr GROUP BY feature",
     "rank_max_abs_corr": f"WITH {_CORR} SELECT feature, {rnd('max(abs(r))')} AS strength FROM corr GROUP BY feature",
     # the tail area of Student's t by Simpson's rule on [0, |t|]
-    "corr_pvalues": f"""WITH {_CORR.replace('corr AS (', 'corr AS MATERIALIZED (')},
-tested AS MATERIALIZED (SELECT *, r * sqrt((n - 2) / (1 - r * r)) AS t, (n - 2)::DOUBLE AS dof FROM corr),
-nodes AS (SELECT unnest(range(0, 801)) AS k),
-area AS (
-  SELECT feature, target, sum((CASE WHEN k IN (0, 800) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END)
-           * pow(1 + pow(least(abs(t), 40) * k / 800, 2) / dof, -(dof + 1) / 2)) * least(abs(t), 40) / 800 / 3 AS s
-  FROM tested, nodes GROUP BY feature, target, t)
-SELECT feature, target, n, {rnd('r')} AS r, {rnd('t', 4)} AS t,
-  {rnd('greatest(0, 1 - 2 * s * exp(lgamma((dof + 1) / 2) - lgamma(dof / 2)) / sqrt(dof * pi()))')} AS p
-FROM tested JOIN area USING (feature, target)""",
+    "corr_pvalues": _PVALUES,
     "histogram": f"""WITH {_LONG}, {_bins(30)},
 counts AS (SELECT feature, bin, count(*) AS n FROM binned GROUP BY feature, bin),
 grid AS (SELECT feature, lo, hi, unnest(range(0, 30))::INT AS bin FROM ranges)

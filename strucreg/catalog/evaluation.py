@@ -78,10 +78,9 @@ def score_batch(spark, sf_dir):
     scaler = ([float(i % 5) for i in range(6 + SLOTS)], [float(i % 3 + 10) for i in range(6 + SLOTS)])
     targets = [(j + OFF_TIES, float(j + 1)) for j in range(6)]
     scored, rejected = scoring.score_requests(requests, "name", X, literal_model(), scaler, targets, SLOTS)
-    shown = scored.select("name", F.lit(True).alias("accepted"), F.round(F.col("prediction")[0], 6).alias("first"),
-                          F.round(F.col("prediction")[5], 6).alias("last"))
-    none = F.lit(None).cast("double")
-    return shown.unionByName(rejected.select("name", F.lit(False).alias("accepted"), none.alias("first"), none.alias("last")))
+    shown = scored.select("name", F.lit(True).alias("accepted"), *[F.round(F.col("prediction")[j], 6).alias(f"p{j}") for j in range(6)])
+    none = [F.lit(None).cast("double").alias(f"p{j}") for j in range(6)]
+    return shown.unionByName(rejected.select("name", F.lit(False).alias("accepted"), *none))
 
 
 QUERIES = {
@@ -109,10 +108,9 @@ def _score_sql() -> str:
 
     good = " AND ".join(f"{x} <> 0" for x in X)
     return f"""WITH {OBS}, {ATOMS},
-flat AS (SELECT idx, name, flatten(list([x, y, z] ORDER BY atom_idx)) AS coords FROM atoms GROUP BY idx, name)
-SELECT flat.name, {good} AS accepted, CASE WHEN {good} THEN {rnd(target(0), 6)} END AS first,
-  CASE WHEN {good} THEN {rnd(target(5), 6)} END AS last
-FROM flat JOIN obs ON flat.idx = obs.idx"""
+flat AS (SELECT idx, name, flatten(list([x, y, z] ORDER BY atom_idx)) AS coords FROM atoms GROUP BY idx, name),
+raw AS (SELECT flat.name, {good} AS accepted, {', '.join(f'{target(j)} AS r{j}' for j in range(6))} FROM flat JOIN obs ON flat.idx = obs.idx)
+SELECT name, accepted, {', '.join(f'CASE WHEN accepted THEN {rnd(f"r{j}", 6)} END AS p{j}' for j in range(6))} FROM raw"""
 
 
 SQL = {

@@ -55,6 +55,12 @@ def search_elastic_net_numbers(spark, sf_dir):
     return _search(spark, sf_dir, "elastic_net")
 
 
+def cv_objective(spark, sf_dir):
+    """Ridge on the six numbers over drawn strengths: mean of the three fold errors per trial."""
+    log, _, _ = search.search_linear(spark, _products(_plain(spark, sf_dir)), "ridge", TRIALS["ridge"])
+    return _shown(log.select("trial", "value"), ["value"])
+
+
 def _counts(spark, sf_dir):
     """The one feature with few values, the number of items: its splits are exact."""
     table = _plain(spark, sf_dir)
@@ -224,7 +230,7 @@ def gcn_gradient(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        gcn_gradient, flagship, search_ridge_numbers, search_lasso_numbers, search_elastic_net_numbers, decision_stump, boosted_stumps, tree_levels, boosted_levels, forest_walk, forest_score, slp_steps, mlp_steps, slp_metrics, mlp_metrics,
+        gcn_gradient, flagship, cv_objective, search_ridge_numbers, search_lasso_numbers, search_elastic_net_numbers, decision_stump, boosted_stumps, tree_levels, boosted_levels, forest_walk, forest_score, slp_steps, mlp_steps, slp_metrics, mlp_metrics,
     )
 }
 
@@ -290,15 +296,18 @@ def _hat(t: int) -> str:
     return f"(my[{t}] + " + " + ".join(f"(s{i} - mx[{i}]) * w[{t}][{i}]" for i in range(1, 7)) + ")"
 
 
-def _search_sql(family: str) -> str:
+def _search_sql(family: str, refit: bool = True) -> str:
     space = search.SPACES[family]
     ratio = {"ridge": "0.0::DOUBLE", "lasso": "1.0::DOUBLE", "elastic_net": _draw("l1_ratio", ("float", 0.0, 1.0))}[family]
     trials = f"trials AS MATERIALIZED (SELECT trial, {_draw('alpha', space['alpha'])} AS alpha, {ratio} AS ratio FROM range({TRIALS[family]}) r(trial))"
     error = " + ".join(f"pow(t{t} - {_hat(t)}, 2)" for t in range(1, 7))
-    return f"""WITH RECURSIVE {_TABLE}{_COV},
+    scores = f"""WITH RECURSIVE {_TABLE}{_COV},
 {trials}{_EXACT if family == 'ridge' else _descended(1000)},
 errors AS (SELECT trial, f.g, avg(({error}) / 6) AS mse FROM z JOIN fits f ON z.fold = f.g JOIN cov c ON f.g = c.g WHERE split = 'train' GROUP BY trial, f.g),
-scores AS (SELECT trial, avg(mse) AS value FROM errors GROUP BY trial),
+scores AS (SELECT trial, avg(mse) AS value FROM errors GROUP BY trial)"""
+    if not refit:
+        return f"{scores} SELECT trial, {_six('value')} AS value FROM scores"
+    return f"""{scores},
 best AS (SELECT arg_min(trial, (value, trial)) AS trial, min(value) AS value FROM scores),
 test AS (SELECT z.*, best.trial, value, {', '.join(f'{_hat(t)} AS h{t}' for t in range(1, 7))}
   FROM z, best JOIN fits f ON f.trial = best.trial AND f.g = 3 JOIN cov c ON c.g = 3 WHERE split = 'test')
@@ -540,6 +549,7 @@ back1 AS MATERIALIZED (SELECT s.name, s.atom_idx, {', '.join(f'CASE WHEN u1.{h}
 SQL = {
     "gcn_gradient": _gradient_sql(),
     "flagship": _FLAGSHIP,
+    "cv_objective": _search_sql("ridge", refit=False),
     "ols_structures": _OLS,
     **{f"search_{f}_numbers": _search_sql(f) for f in TRIALS},
     "decision_stump": _DECISION,

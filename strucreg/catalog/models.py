@@ -92,16 +92,6 @@ def ols_predict(spark, sf_dir):
     return rounded(out, list(hats), 3)
 
 
-def cv_objective(spark, sf_dir):
-    """Ridge on one feature over drawn strengths: mean of the three fold errors per trial."""
-    table = _plain(spark, sf_dir)
-    one = table.train.withColumn("features", F.slice("features", 2, 1))
-    products = linear.cross_products(one, "features", Y, F.col("fold"))
-    log, _, _ = search.search_linear(spark, products, "ridge", 20)
-    table.unpersist()
-    return rounded(log.select("trial", "value"), ["value"], 6)
-
-
 # Trials of the linear searches, as many as the reference makes.
 TRIALS = {"ridge": 1000, "lasso": 1000, "elastic_net": 1000}
 
@@ -405,7 +395,7 @@ def model_roundtrip(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        ols_structures, ols_fit, ridge_fit, lasso_fit, elastic_net_fit, ols_predict, cv_objective, search_ridge, search_lasso, search_elastic_net, trial_space, best_trial, early_stop, early_stop_delta, decision_tree, random_forest,
+        ols_structures, ols_fit, ridge_fit, lasso_fit, elastic_net_fit, ols_predict, search_ridge, search_lasso, search_elastic_net, trial_space, best_trial, early_stop, early_stop_delta, decision_tree, random_forest,
         boosted_trees, search_decision_tree, search_random_forest, search_boosted_trees, search_slp, search_mlp, search_gcn, slp_train, slp_predict, mlp_train, mlp_predict, gcn_train, gcn_fit_predict,
         score_graph_batch, model_roundtrip,
     )
@@ -470,24 +460,6 @@ SELECT run, max(last_epoch) AS last_epoch, arg_max(best_epoch, k) AS best_epoch,
   {rnd('arg_max(best_loss, k)', 4)} AS best_loss, arg_max(waited, k) >= {patience} AS stopped FROM s GROUP BY run"""
 
 
-_FOLD = bucket("idx", "fold42", 3)
-_CV = f"""WITH {_SCALED},
-folds AS (SELECT {_FOLD} AS fold, x2, {', '.join(Y)} FROM scaled),
-long AS ({union_all(f"SELECT fold, '{y}' AS target, x2 AS x, {y} AS y FROM folds" for y in Y)}),
-sums AS (SELECT fold, target, count(*) n, sum(x) sx, sum(y) sy, sum(x * x) sxx, sum(x * y) sxy, sum(y * y) syy
-  FROM long GROUP BY fold, target),
-rest AS (
-  SELECT v.fold, v.target, sum(t.n) n, sum(t.sx) sx, sum(t.sy) sy, sum(t.sxx) sxx, sum(t.sxy) sxy
-  FROM sums v JOIN sums t ON v.target = t.target AND v.fold <> t.fold GROUP BY v.fold, v.target),
-trials AS (SELECT trial, {_draw('alpha', search.SPACES['ridge']['alpha'])} AS alpha FROM range(20) r(trial)),
-fits AS (
-  SELECT trial, fold, target, (sxy - sx * sy / n) / (sxx - sx * sx / n + alpha) AS w, sx / n AS mx, sy / n AS my FROM rest, trials),
-errors AS (
-  SELECT trial, fold, avg((syy - 2 * (i * sy + w * sxy) + i * i * n + 2 * i * w * sx + w * w * sxx) / n) AS mse
-  FROM (SELECT f.trial, s.*, w, my - w * mx AS i FROM fits f JOIN sums s ON f.fold = s.fold AND f.target = s.target)
-  GROUP BY trial, fold)
-SELECT trial, {rnd('avg(mse)')} AS value FROM errors GROUP BY trial"""
-
 def _score_graph_sql() -> str:
     shape, flat, spreads = _graph_scorer()
     w1, b1, w2, b2, w3, b3 = training.unpack(flat, shape.arrays)
@@ -542,7 +514,6 @@ FROM obs, (VALUES ('forest'), ('boosted'), ('network'), ('graph')) m(model) GROU
 m AS (SELECT """ + ", ".join(f"regr_slope({y}, x2) AS w_{y}, regr_intercept({y}, x2) AS i_{y}" for y in Y)
     + " FROM s0 WHERE split = 'train') SELECT idx, " + ", ".join(f"{rnd(f'i_{y} + w_{y} * x2', 3)} AS h_{y}" for y in Y)
     + " FROM s0, m WHERE split = 'test'",
-    "cv_objective": _CV,
     "trial_space": "SELECT c_custkey AS trial, " + ", ".join(
         f"{rnd(_draw(n, s, 'c_custkey')) if s[0] in ('float', 'log_float') else _draw(n, s, 'c_custkey')} AS {n}"
         for n, s in _SPACE.items()

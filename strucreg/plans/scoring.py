@@ -85,8 +85,8 @@ def score_graph_requests(
 ) -> tuple[DataFrame, DataFrame]:
     """The same for requests ``(key, numbers..., text)`` that carry an SDF file and a graph network.
 
-    The first usable record counts; a record has at most 999 atoms, so each request is one
-    graph row. A structure with an impossible atom is rejected.
+    The first usable record counts; a record came in one row, so its graph is one row, too. A structure with an impossible
+    atom is rejected.
     """
     parsed = parse_sdf(split_sdf_text(requests.select(F.col(key).alias("name"), F.coalesce("text", F.lit("")).alias("text"))))
     molecules = first_record(parsed).persist()
@@ -118,7 +118,7 @@ def score_graph_requests(
         F.array_repeat(F.lit(0.0), shape.outputs).alias("y"),
         scale.transform_array(shared, mean[:first], sd[:first]).alias("shared"),
     )
-    rows = gcn.graph_rows(nodes, graph.symmetric_edges(full_bonds), per_graph, ["name"])
+    rows = gcn.graph_rows(nodes, graph.symmetric_edges(full_bonds), per_graph, ["name"], max_nodes=1 << 30)
     low, width = (list(v) for v in zip(*target_scaler))
     scored = gcn.predict_rows(rows, ["name"], shape, weights).select(
         F.col("name").alias(key), scale.inverse_array(F.col("prediction"), low, width).alias("prediction")
