@@ -1,7 +1,7 @@
 """A corpus from documents to training sequences: quality rules, exact dedup, near duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all the stage before it kept, and returns documents; the last returns the pieces of the
-packed sequences. Stages are written to the shared folder in between.
+packed sequences. Stages are written to the shared folder in between; a stage's own tables and its input go once its output is there.
 """
 
 from __future__ import annotations
@@ -47,7 +47,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = Tables(spark, "pipeline")
-    docs = documents(spark, sf_dir)
+    docs, last = documents(spark, sf_dir), None
     for _, stage in STAGES[:-1]:
-        docs = tables.keep(stage(spark, docs, sf_dir))
+        docs = tables.settle(lambda: stage(spark, docs, sf_dir))  # noqa: B023  called at once
+        if last is not None:
+            tables.forget(last)
+        last = docs
     return STAGES[-1][1](spark, docs, sf_dir)

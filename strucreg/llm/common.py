@@ -17,6 +17,10 @@ WORD = r"[^ \t-\r]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 
+# Folders of tables made in this process, in order.
+_MADE: list[str] = []
+
+
 class Tables:
     """Tables written below the shared checkpoint folder, so that later jobs neither recompute them nor
     depend on the executors that made them. ``drop`` removes those no longer read."""
@@ -24,6 +28,7 @@ class Tables:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = scratch_path(spark, label)
+        _MADE.append(self.root)
         self.count = 0
         self.paths: dict[int, str] = {}
 
@@ -43,6 +48,15 @@ class Tables:
         self.paths[id(kept)] = path
         return kept
 
+    def settle(self, make: Callable[[], DataFrame]) -> DataFrame:
+        """Keeps what ``make`` gives, and removes all tables that were made on the way to it."""
+        before = len(_MADE)
+        kept = self.keep(make())
+        for root in _MADE[before:]:
+            self.drop(root)
+        del _MADE[before:]
+        return kept
+
     def forget(self, kept: DataFrame) -> None:
         """Removes a kept table that nothing reads any more."""
         self.drop(self.paths.pop(id(kept)))

@@ -121,3 +121,16 @@ def test_all_telling_features_are_kept(spark):
         if odd > 1 and gain > 5:
             expected[f] = odd
     assert names == sorted(expected) and np.allclose(odds, [expected[n] for n in names]) and len(names) >= 40
+
+
+def test_the_pipeline_leaves_only_what_its_result_reads(spark, sf_dir):
+    import corpus_pipeline
+    from strucreg.scratch import checkpoint_dir
+
+    files = spark._jvm.org.apache.hadoop.fs.Path(checkpoint_dir(spark))
+    listed = lambda: {f.getPath().getName() for f in files.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(files)}
+    before = listed()
+    rows = corpus_pipeline.run(spark, sf_dir)
+    # the last stage's input and its own tables
+    assert {n.rsplit("-", 1)[0] for n in listed() - before} <= {"pipeline", "tokens", "pieces"}
+    assert rows.count() > 0
