@@ -4,7 +4,8 @@ A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier.
 apart: every string of that length is assigned to its anchor, the 36-byte gram with the smallest hash in it (the leftmost of equal ones), so equal strings
 have equal anchors. Neighbouring strings with one anchor form a segment. Anchors that occur once need no sorting, segments that are equal as a whole
 only their first location; of the others, distinct segments with a common anchor, the text goes to the shard of the anchor. The strings of
-very common anchors (a line with many different neighbours) are grouped one by one instead, so that no shard grows with them.
+very common anchors (a line with many different neighbours) are grouped one by one instead, so that no shard grows with them. Those with a large
+share of all segments are found beforehand, by counters of a fixed number, and are never brought together by anchor.
 
 A shard's segments are one text whose suffixes are sorted by induction: the suffixes that begin a descent-to-ascent (LMS) are sorted by
 inducing their substrings, naming these, and ordering the shorter text of names; from their order all others are induced. A priority
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 
 from strucreg.llm import bitset
 from strucreg.llm.common import Tables, in_batches
+from strucreg.operators.partial_sums import sum_vectors, vector_rows
 
 LENGTH, GRAM = 100, 36
 PER_STRING = LENGTH - GRAM + 1
@@ -143,24 +145,57 @@ def _keyed(tables: Tables, docs: DataFrame, id_col: str, text_col: str) -> DataF
     return chosen(False).withColumn("tie", F.lit(0).cast("bigint")).unionByName(tables.keep(meet.join(ties, ["doc", "sha"]).drop("sha")))
 
 
-def _located(docs: DataFrame) -> DataFrame:
-    """(anchor, whole, doc, start, span, again): a segment's strings start at ``start`` (tie and place) to ``start + span``. ``again`` marks
-    segments that occur earlier in the same batch; their anchor is replaced by a spread one."""
+def _segments_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of a batch of text, doc and tie: anchor, whole, doc, start (tie and place) and span of the segments, piece by piece."""
+    texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
+    doc, tie = batch.column(1).to_numpy(), batch.column(2).to_numpy()
+    for raw, ends, number, place in _laid(texts):
+        anchor, whole, first, last = segments(raw, ends)
+        part = np.searchsorted(ends, first, side="right")
+        begin = np.concatenate(([0], ends))[part]
+        yield anchor, whole, doc[number[part]], (tie[number[part]] << PLACE_BITS) + place[part] + first - begin, last - first
+
+
+# Counters of anchors, twice by different bits, and the share of all segments from which on an anchor is parted off beforehand.
+COUNTERS, HOT_SHARE = 1 << 18, 1 << 15
+
+
+def _counters(anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (anchor >> np.uint64(20)).astype(np.int64) & (COUNTERS - 1), (anchor >> np.uint64(40)).astype(np.int64) & (COUNTERS - 1)
+
+
+def _anchor_counts(keyed: DataFrame) -> np.ndarray:
+    """How many segments fall on each counter (2 x COUNTERS): never less than an anchor has, whatever the size of the corpus. Segments that a
+    batch has several times count once, as they move once."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, COUNTERS))
+        for batch in batches:
+            found = [(anchor, whole) for anchor, whole, *_ in _segments_of(batch)]
+            if found:
+                anchor, whole = (np.concatenate(f) for f in zip(*found))
+                _, once = np.unique(_mix(anchor + np.uint64(3) * whole), return_index=True)
+                for row, at in zip(total, _counters(anchor[once])):
+                    row += np.bincount(at, minlength=COUNTERS)
+        yield vector_rows({0: total})
+
+    return sum_vectors(keyed.select("text", "doc", "tie"), count)[0].reshape(2, COUNTERS)
+
+
+def _located(keyed: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(anchor, whole, doc, start, span, again, hot): a segment's strings start at ``start`` (tie and place) to ``start + span``. ``again`` marks
+    segments that occur earlier in the same batch, ``hot`` those of anchors with very many; their anchors are replaced by spread ones."""
+    limit = max(COMMON, counts[0].sum() / HOT_SHARE)
+    names = ["anchor", "whole", "doc", "start", "span", "again", "hot"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_())
+    # the few counters beyond the limit are sent, not all
+    full = [np.flatnonzero(row > limit) for row in counts]
 
     def scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(0).to_pylist()]
-        doc, tie = batch.column(1).to_numpy(), batch.column(2).to_numpy()
-        found = [[], [], [], [], []]
-        for raw, ends, number, place in _laid(texts):
-            anchor, whole, first, last = segments(raw, ends)
-            part = np.searchsorted(ends, first, side="right")
-            begin = np.concatenate(([0], ends))[part]
-            found[0].append(anchor), found[1].append(whole), found[2].append(doc[number[part]])
-            found[3].append((tie[number[part]] << PLACE_BITS) + place[part] + first - begin)
-            found[4].append(last - first)
-        if not found[0]:
-            return pa.record_batch([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())], names=["anchor", "whole", "doc", "start", "span", "again"])
-        anchor, whole, of, start, span = (np.concatenate(f) for f in found)
+        found = list(_segments_of(batch))
+        if not found:
+            return pa.record_batch([pa.array([], t) for t in kinds], names=names)
+        anchor, whole, of, start, span = (np.concatenate(f) for f in zip(*found))
         both = _mix(anchor + np.uint64(3) * whole)
         order = np.lexsort((start, of, both))
         again = np.zeros(len(both), bool)
@@ -168,13 +203,12 @@ def _located(docs: DataFrame) -> DataFrame:
         # rows equal in id and text are one document, whose places are not repeats of themselves
         same = (of[order][1:] == of[order][:-1]) & (start[order][1:] == start[order][:-1])
         again[order[1:][same]] = False
-        anchor = np.where(again, _mix(start.astype(np.uint64) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), anchor)
-        return pa.record_batch(
-            [pa.array(anchor.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(of), pa.array(start), pa.array(span.astype(np.int32)), pa.array(again)],
-            names=["anchor", "whole", "doc", "start", "span", "again"],
-        )
+        hot = np.logical_and(*(np.isin(at, some) for at, some in zip(_counters(anchor), full))) & ~again
+        anchor = np.where(again | hot, _mix(start.astype(np.uint64) + of.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), anchor)
+        columns = (anchor.view(np.int64), whole.view(np.int64), of, start, span, again, hot)
+        return pa.record_batch([pa.array(c).cast(k) for c, k in zip(columns, kinds)], names=names)
 
-    return in_batches(docs.select("text", "doc", "tie"), scan, "anchor bigint, whole bigint, doc bigint, start bigint, span int, again boolean")
+    return in_batches(keyed.select("text", "doc", "tie"), scan, "anchor bigint, whole bigint, doc bigint, start bigint, span int, again boolean, hot boolean")
 
 
 def _room(n: int, dtype) -> np.ndarray:
@@ -438,12 +472,13 @@ def _sorted_shards(cut: DataFrame, shards: int) -> DataFrame:
 
 def repeats(tables: Tables, keyed: DataFrame) -> DataFrame:
     """(doc, start, span): strings starting at start to start + span of a document also start earlier."""
-    rows = _located(keyed).repartition("anchor")
+    # anchors with a large share of all segments are parted off before anything is brought together by anchor
+    rows = _located(keyed, _anchor_counts(keyed)).repartition("anchor")
     occurrence = F.rank().over(W.partitionBy("anchor", "whole").orderBy("doc", "start"))
     every = W.partitionBy("anchor")
     rows = rows.withColumns({"nth": occurrence}).withColumns({"low": F.min("whole").over(every), "high": F.max("whole").over(every)})
-    rows = rows.withColumn("common", F.count(F.lit(1)).over(every) > COMMON)
-    rows = rows.withColumn("repeat", F.col("again") | (F.col("nth") > 1)).filter("repeat or low != high")
+    rows = rows.withColumn("common", F.col("hot") | (F.count(F.lit(1)).over(every) > COMMON))
+    rows = rows.withColumn("repeat", ~F.col("hot") & (F.col("again") | (F.col("nth") > 1))).filter("repeat or hot or low != high")
     rows = tables.keep(rows.select(F.when(~F.col("repeat"), F.col("anchor")).alias("anchor"), "doc", "start", "span", "common"))
     tables.release()
     wanted = rows.filter("anchor is not null and not common").drop("common")

@@ -134,3 +134,22 @@ def test_the_pipeline_leaves_only_what_its_result_reads(spark, sf_dir):
     # the last stage's input and its own tables
     assert {n.rsplit("-", 1)[0] for n in listed() - before} <= {"pipeline", "tokens", "pieces"}
     assert rows.count() > 0
+
+
+def test_hot_anchors_are_never_brought_together(spark, monkeypatch):
+    """A line in every row with other neighbours: its segments take the way of single strings from the start."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=7))
+    line = " ".join(word() for _ in range(12))
+    rows = [(i, f"{' '.join(word() for _ in range(14))} {line} {' '.join(word() for _ in range(14))}") for i in range(300)]
+    rows += [(1000 + i, rows[i][1]) for i in range(40)] + [(5000, "x" * 600), (5001, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    expected = brute.repeated_bytes(rows)
+    for share, common in ((4, 5), (1 << 15, 1000), (1 << 15, 5)):
+        monkeypatch.setattr(suffix_dedup, "HOT_SHARE", share)
+        monkeypatch.setattr(suffix_dedup, "COMMON", common)
+        keyed = suffix_dedup._keyed(suffix_dedup.Tables(spark, "t"), docs, "doc_id", "text")
+        hot = suffix_dedup._located(keyed, suffix_dedup._anchor_counts(keyed)).filter("hot").count()
+        assert hot > 250 if (share, common) == (1 << 15, 5) else hot == 0
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in suffix_dedup.remove_repeats(docs).collect()}
+        assert got == expected
