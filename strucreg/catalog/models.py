@@ -201,7 +201,7 @@ def search_decision_tree(spark, sf_dir):
 
 
 def search_random_forest(spark, sf_dir):
-    """One trial by three folds of at most a thousand trees, then the refit: every fold grows its forest anew."""
+    """One trial by three folds of five to ten trees, then the refit: every fold grows its forest anew."""
     return _search(spark, sf_dir, "random_forest", 1, space={"n_estimators": ("int", 5, 10), "max_depth": ("int", 3, 8)})
 
 
