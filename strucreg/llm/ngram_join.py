@@ -55,7 +55,7 @@ POWER = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
 UPPER = np.concatenate(([np.uint64(1)], np.cumprod(np.full((1 << 15) - 1, POWER[-1], np.uint64))))
 IS_WORD = np.ones(256, bool)
 IS_WORD[list(SPACE_BYTES)] = False
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 20
 
 
 def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +72,8 @@ def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     size = np.diff(np.append(begin, len(inside)))
     place = np.arange(len(inside)) - np.repeat(begin, size)
     value = BYTE[codes[inside]] * POWER[place & (len(POWER) - 1)]
-    far = np.flatnonzero(place >= len(POWER))
-    if len(far):
+    if size.max() > len(POWER):
+        far = np.flatnonzero(place >= len(POWER))
         value[far] *= UPPER[place[far] >> 16]
     return _mix(np.add.reduceat(value, begin) + size.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)), first
 
@@ -183,7 +183,7 @@ def _lonely_in_part(docs: DataFrame) -> DataFrame:
             keys.append(found[: np.searchsorted(found, COUNTED)])
             owner.append(np.full(len(keys[-1]), d, np.int64))
             size += len(keys[-1])
-            if size > 1 << 21:
+            if size > 1 << 20:
                 yield _owners(keys, owner)
                 keys, owner, size = [], [], 0
         if size:
@@ -221,17 +221,20 @@ def _sets(docs: DataFrame, chosen: DataFrame) -> DataFrame:
     """(class, n, keys, parity bits): the whole set of each chosen class (class, id, d1, d2), read again from one of its documents."""
     rows = chosen.select(F.col("id").alias("_id"), "class", "d1", "d2").join(docs, F.col("_id").eqNullSafe(F.col("id"))).select("id", "text", "class", "d1", "d2")
 
-    def read(batch: pa.RecordBatch) -> pa.RecordBatch:
-        own, sets, parity = [], [], []
-        numbers = zip(*(batch.column(i).to_pylist() for i in range(2, 5)))
-        for keys, (number, d1, d2) in zip(shingle_sets(batch.column(1).to_pylist()), numbers):
-            if _digest(keys) == (d1, d2):  # not another text of a repeated id
-                own.append(number)
-                sets.append(keys.view(np.int64))
-                odd = np.bincount((keys & np.uint64(511)).astype(np.int64), minlength=512) & 1
-                parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
-        columns = [pa.array(own, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
-        return pa.record_batch([*columns, *(pa.array([p[i] for p in parity], pa.int64()) for i in range(8))], names=["class", "n", "keys", *PARITY])
+    def read(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        # in slices, as the sets of a whole batch are larger than its texts
+        for low in range(0, batch.num_rows, 1000):
+            own, sets, parity = [], [], []
+            part = batch.slice(low, 1000)
+            numbers = zip(*(part.column(i).to_pylist() for i in range(2, 5)))
+            for keys, (number, d1, d2) in zip(shingle_sets(part.column(1).to_pylist()), numbers):
+                if _digest(keys) == (d1, d2):  # not another text of a repeated id
+                    own.append(number)
+                    sets.append(keys.view(np.int64))
+                    odd = np.bincount((keys & np.uint64(511)).astype(np.int64), minlength=512) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8"))
+            columns = [pa.array(own, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))]
+            yield pa.record_batch([*columns, *(pa.array([p[i] for p in parity], pa.int64()) for i in range(8))], names=["class", "n", "keys", *PARITY])
 
     return in_batches(rows, read, "class bigint, n bigint, keys array<bigint>, " + ", ".join(f"{p} bigint" for p in PARITY))
 
