@@ -106,7 +106,7 @@ def quarantine_structures(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
 def split_sdf_text(files: DataFrame) -> DataFrame:
     """``(name, text)`` to ``(name, record_no, record)``, blank records dropped."""
     records = F.posexplode(F.split("text", r"\$\$\$\$[ \t]*(?:\r\n|\r|\n)?")).alias("record_no", "record")
-    return files.select("name", records).filter(F.trim(F.regexp_replace("record", r"\s+", " ")) != "")
+    return files.select("name", records).filter(F.col("record").rlike(r"\S"))
 
 
 def read_sdf_records(spark: SparkSession, path: str, whole_file_bytes: int = WHOLE_FILE_BYTES) -> DataFrame:
@@ -115,9 +115,7 @@ def read_sdf_records(spark: SparkSession, path: str, whole_file_bytes: int = WHO
     numbered = number_in_ranges(pieces, ["name"], "block", "record_no")
     # every piece but the first starts with the line end of its separator
     record = F.when(F.col("record_no") == 0, F.col("text")).otherwise(F.regexp_replace("text", r"^[ \t]*(?:\r\n|\r|\n)", ""))
-    large = numbered.select("name", "record_no", record.alias("record")).filter(
-        F.trim(F.regexp_replace("record", r"\s+", " ")) != ""
-    )
+    large = numbered.select("name", "record_no", record.alias("record")).filter(F.col("record").rlike(r"\S"))
     return small.withColumn("record_no", F.col("record_no").cast("bigint")).unionByName(large)
 
 
@@ -132,7 +130,7 @@ def _coordinate(line: Column, start: int) -> Column:
 _ATOMS = "array<struct<symbol:string,x:double,y:double,z:double,charge_code:int>>"
 
 
-def _plain_format() -> list[Column]:
+def _plain_format() -> Column:
     """Counts, atoms, bonds and charges by columns. The counts have three digits, so a record holds at most 999 atoms and 999 bonds."""
     n_atoms = F.greatest(F.coalesce("n_atoms", F.lit(0)), F.lit(0))
     n_bonds = F.greatest(F.coalesce("n_bonds", F.lit(0)), F.lit(0))
@@ -142,7 +140,7 @@ def _plain_format() -> list[Column]:
             lambda s: _charges(F.split(F.trim(F.regexp_replace(F.substr(s, F.lit(10)), r"\s+", " ")), " ")),
         )
     )
-    return [
+    return F.struct(
         "n_atoms",
         "n_bonds",
         F.transform(
@@ -162,7 +160,8 @@ def _plain_format() -> list[Column]:
             ),
         ).alias("bonds"),
         charge_pairs.alias("charges"),
-    ]
+        F.lit(False).alias("misnumbered"),
+    )
 
 
 def _section(lines: str, name: str) -> Column:
@@ -173,20 +172,21 @@ def _section(lines: str, name: str) -> Column:
     return F.when((begin > 0) & (end > begin), F.transform(inside, lambda s: F.split(s, " ")))
 
 
-def _extended_format(records: DataFrame) -> DataFrame:
+def _extended_format(records: DataFrame) -> tuple[DataFrame, Column]:
     """Counts, atoms, bonds and charges by tokens: numbered lines that may go on, atom numbers in any order and with gaps, charges as CHG=n.
-    Bonds name atoms by their numbers; a bond to a number that no atom has leads to a missing atom."""
+    Bonds name atoms by their numbers; a bond to a number that no atom has leads to a missing atom. The tokens are columns of the records
+    that are ``extended``, NULL in the others."""
     content = F.transform(F.filter("lines", lambda s: s.startswith("M  V30 ")), lambda s: F.trim(F.substr(s, F.lit(8))))
     # a line that ends with a hyphen goes on in the next one
     joined = F.regexp_replace(F.array_join(content, "\n"), r"-\n", " ")
     tidy = F.transform(F.split(joined, "\n"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
     counts = F.split(F.get(F.filter("tidy", lambda s: s.startswith("COUNTS ")), F.lit(0)), " ")
-    parts = records.withColumn("tidy", tidy).select(
-        "name", "record_no", counts.alias("counted"), _section("tidy", "ATOM").alias("atom_lines"), _section("tidy", "BOND").alias("bond_lines")
+    parts = records.withColumn("tidy", F.when(F.col("extended"), tidy)).withColumns(
+        {"counted": counts, "atom_lines": _section("tidy", "ATOM"), "bond_lines": _section("tidy", "BOND")}
     )
     token = lambda t, i: F.get(t, F.lit(i))
     none = F.array().cast("array<array<string>>")
-    parts = parts.withColumns({"atom_lines": F.coalesce("atom_lines", none), "bond_lines": F.coalesce("bond_lines", none)})
+    parts = parts.withColumns({n: F.when(F.col("extended"), F.coalesce(n, none)) for n in ("atom_lines", "bond_lines")})
     parts = parts.withColumn("numbers", F.transform("atom_lines", lambda t: token(t, 0).try_cast("int")))
     charge = lambda t: F.regexp_extract(F.array_join(t, " "), r"(?:^| )CHG=(-?\d+)(?: |$)", 1).try_cast("int")
     atoms = F.transform(
@@ -209,17 +209,17 @@ def _extended_format(records: DataFrame) -> DataFrame:
         token(F.col("counted"), 1).try_cast("int").alias("n_atoms"), token(F.col("counted"), 2).try_cast("int").alias("n_bonds"),
         atoms.cast(_ATOMS).alias("atoms"), bonds.alias("bonds"), told.alias("charges"), wrong.alias("misnumbered"),
     )
-    return parts.select("name", "record_no", F.inline(F.array(fields)))
+    return parts, fields
 
 
 def parse_sdf(records: DataFrame) -> DataFrame:
     """One row per record with its atoms, bonds and charges, and the ``reason`` it is unusable, if any. Both formats of records are read."""
     lines = records.withColumn("lines", F.split("record", LINE_END)).withColumn("counts", F.get("lines", F.lit(3)))
-    extended = F.coalesce(F.col("counts").rlike(r"\bV3000\b"), F.lit(False))
-    sized = lines.filter(~extended).withColumns({"n_atoms": _int(F.col("counts"), 1, 3), "n_bonds": _int(F.col("counts"), 4, 3)})
-    # a generator keeps later filters from repeating the parse once per reference
-    plain = sized.select("name", "record_no", F.inline(F.array(F.struct(*_plain_format(), F.lit(False).alias("misnumbered")))))
-    parsed = plain.unionByName(_extended_format(lines.filter(extended)))
+    sized = lines.withColumns({"n_atoms": _int(F.col("counts"), 1, 3), "n_bonds": _int(F.col("counts"), 4, 3), "extended": F.coalesce(F.col("counts").rlike(r"\bV3000\b"), F.lit(False))})
+    parts, fields = _extended_format(sized)
+    # both formats in one pass, as what gives the records is not read twice then; a generator keeps later filters from repeating
+    # the parse once per reference
+    parsed = parts.select("name", "record_no", F.inline(F.array(F.when(F.col("extended"), fields).otherwise(_plain_format()))))
     bad_atom = F.exists("atoms", lambda a: a.x.isNull() | a.y.isNull() | a.z.isNull() | (a.symbol == ""))
     bad_bond = F.exists("bonds", lambda b: b.begin.isNull() | b.end.isNull() | b.order.isNull())
     loose_bond = F.exists(
