@@ -14,7 +14,6 @@ and ties are judged alike; without any language reference only the base rules ju
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strucreg.llm.common import SPACE_BYTES, Tables, in_batches
+from strucreg.llm.common import SPACE_BYTES, Tables
 
 MIN_WORDS, WINDOW, MAX_REPEATED = 20, 8, 30
 # A document of n words is rejected above the distance a + b / sqrt(n): a histogram of few words strays further by chance.
@@ -116,22 +115,22 @@ FIELDS = (("n_words", pa.int64()), ("word_chars", pa.int64()), ("n_symbols", pa.
           ("classes", pa.list_(pa.int64())), ("common", pa.list_(pa.int64())))
 
 
-def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Counts and histograms of every row, with its id and language."""
+_MEASURED = T.StructType([T.StructField(n, T.LongType() if pa.types.is_integer(t) else T.ArrayType(T.LongType())) for n, t in FIELDS])
+
+
+def _measures(texts: pa.Array) -> pa.Array:
+    parts = []
+    for low in range(0, len(texts), 500):
+        rows = [measure(t or "") for t in texts.slice(low, 500).to_pylist()]
+        parts.append(pa.StructArray.from_arrays([pa.array([r[name] for r in rows], kind) for name, kind in FIELDS], names=[n for n, _ in FIELDS]))
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.struct(list(FIELDS)))
 
-    def batch_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for low in range(0, batch.num_rows, 500):
-            part = batch.slice(low, 500)
-            rows = [measure(t or "") for t in part.column(2).to_pylist()]
-            columns = [pa.array([r[name] for r in rows], kind) for name, kind in FIELDS]
-            yield pa.record_batch([part.column(0), part.column(1), *columns], names=[id_col, "_lang", *(n for n, _ in FIELDS)])
 
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """Counts and histograms of every row, with its id and language. Only the texts go to Python; whatever else a row holds stays behind."""
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col), lang.alias("_lang"), F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("_lang", T.StringType())])
-    for n, t in FIELDS:
-        schema = schema.add(n, T.LongType() if pa.types.is_integer(t) else T.ArrayType(T.LongType()))
-    return in_batches(rows, batch_of, schema)
+    counts = F.arrow_udf(_measures, _MEASURED)(F.col(text_col).cast("string"))
+    return docs.select(F.col(id_col), lang.alias("_lang"), counts.alias("_m")).select(id_col, "_lang", "_m.*")
 
 
 def failed():
@@ -169,21 +168,20 @@ def judge(rows: DataFrame, refs: dict[str, tuple[np.ndarray, np.ndarray]], id_co
     """Adds class_distance, word_distance (to the closest language), base_failed and kept; drops the histograms."""
     langs = list(refs.values())
 
-    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
-        at = {n: i for i, n in enumerate(batch.schema.names)}
+    def compare(classes: pa.Array, common: pa.Array) -> pa.Array:
         found = []
-        for name, k in (("classes", 0), ("common", 1)):
-            counts = batch.column(at[name]).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1).astype(np.float64)
+        for k, column in enumerate((classes, common)):
+            if not len(column):
+                found.append(np.zeros(0))
+                continue
+            counts = column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
             each = [distance(counts, r[k]) for r in langs]
-            found.append(np.round(np.min(each, axis=0), 6) if each else np.zeros(batch.num_rows))
-        keep = [batch.column(i) for n, i in at.items() if n not in ("classes", "common", "_lang")]
-        names = [n for n in at if n not in ("classes", "common", "_lang")]
-        return pa.record_batch([*keep, pa.array(found[0]), pa.array(found[1])], names=[*names, "class_distance", "word_distance"])
-
-    schema = T.StructType([T.StructField(id_col, rows.schema[id_col].dataType)])
-    for n in [*(n for n, t in FIELDS if pa.types.is_integer(t)), "class_distance", "word_distance"]:
-        schema = schema.add(n, T.DoubleType() if n.endswith("distance") else T.LongType())
-    judged = in_batches(rows, compare, schema)
+            found.append(np.round(np.min(each, axis=0), 6) if each else np.zeros(len(column)))
+        return pa.StructArray.from_arrays([pa.array(f) for f in found], names=["class_distance", "word_distance"])
+
+    numbers = [n for n, t in FIELDS if pa.types.is_integer(t)]
+    distances = F.arrow_udf(compare, "class_distance double, word_distance double")(F.col("classes"), F.col("common"))
+    judged = rows.select(id_col, *numbers, distances.alias("_d")).select(id_col, *numbers, "_d.*")
     chance = 1 / F.sqrt(F.greatest(F.lit(1), F.col("n_words")))
     odd_classes = (F.col("word_chars") >= MIN_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE[0] + MAX_CLASS_DISTANCE[1] * chance)
     odd_words = (F.col("n_words") >= MIN_COUNTED) & (F.col("word_distance") > MAX_WORD_DISTANCE[0] + MAX_WORD_DISTANCE[1] * chance)
