@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strucreg.operators import network, training
+from strucreg.operators import network, optimizers, training
 from strucreg.plans import tabular, train
 from strucreg.sources.artifacts import Checkpoints
 
@@ -103,3 +103,35 @@ def test_search_of_networks_is_one_run(spark, rows):
         errors.append(train.scaled_error(table, one.predict(table.train.filter(F.col("fold") == k))))
     assert np.isclose(trial["value"], np.mean(errors))
     assert np.isfinite(train.scaled_error(table, fitted.predict(table.test)))
+
+
+@pytest.mark.parametrize("optimizer", ["SGD", "Adam"])
+def test_a_whole_batch_is_one_step_over_all_tasks(rows, optimizer):
+    """No task holds the rows, and the weights are those of plain descent however the rows lie."""
+    shape = network.Shape(4, 2, 5, 2, "tanh", 1e-3, 1e-3)
+    data = rows.orderBy("id").collect()
+    x, y = np.array([r["features"] for r in data]), np.array([[r["y0"], r["y1"]] for r in data])
+    learn = np.array([r["fold"] for r in data]) != 0
+    rule = optimizers.DENSE[optimizer]
+    w, history = shape.start(42), []
+    slots = optimizers.start_slots(rule, w.size)
+    for epoch in range(1, 4):
+        loss, g = network.gradient(shape, w, x[learn], y[learn])
+        w, slots = rule[1](w, g, slots, epoch, 0.05, 0.0)
+        error = network.forward(shape, w, x[~learn])[0] - y[~learn]
+        history.append((epoch, loss, float(np.mean(error**2)) + network.penalty(shape, w)))
+    for parts in (1, 23):
+        fit = network.fit(rows.repartition(parts), "id", "features", ["y0", "y1"], shape, F.col("fold") == 0, optimizer, 0.05, 3, batch=None)
+        assert np.allclose(fit.history, history) and all(np.allclose(a, b) for a, b in zip(fit.slots, slots))
+
+
+def test_a_large_table_has_more_models(rows, monkeypatch):
+    """A model's rows are one task's: their number stays below a bound."""
+    assert training.models_for(8_000_000, 504) == training.MODELS == training.models_for(0, 504)
+    assert training.models_for(48_000_000, 504) * training.MODEL_BYTES >= 48_000_000 * 504
+    monkeypatch.setattr(training, "MODEL_BYTES", 480)
+    seen = []
+    place = network.training_rows
+    monkeypatch.setattr(network, "training_rows", lambda *a: seen.append(place(*a)) or seen[-1])
+    _many(rows, SPECS, 1)
+    assert seen[0].rdd.getNumPartitions() == 24
