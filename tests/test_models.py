@@ -302,3 +302,25 @@ def test_linear_searches_read_structures(spark, sf_dir, monkeypatch, family):
     assert len(rows) == 6 and {r["trial"] for r in rows} <= {0, 1}
     assert seen[0][0] == family and seen[0][1] > 6 and seen[0][2] >= 1000
     assert f"search_{family}_numbers" in catalog.oracle_sql()
+
+
+@pytest.mark.parametrize("shared", [False, True])
+def test_many_graphs_at_once_equal_one_by_one(shared):
+    """Ids with gaps, graphs of one node without an edge, a batch that is a slice of a longer one."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(40):
+        ids = np.sort(rng.choice(90, rng.integers(1, 9), replace=False)) * 10**7
+        pairs = rng.integers(0, len(ids), (rng.integers(0, 12) if len(ids) > 1 else 0, 2))
+        src, dst = ids[np.concatenate([pairs[:, 0], pairs[:, 1]])], ids[np.concatenate([pairs[:, 1], pairs[:, 0]])]
+        row = {"node_ids": ids.tolist(), "node_keys": ids.tolist(), "x": rng.normal(size=3 * len(ids)).tolist(), "src": src.tolist(), "dst": dst.tolist(), "y": rng.normal(size=2).tolist()}
+        rows.append(row | ({"shared": rng.normal(size=2).tolist()} if shared else {}))
+    kinds = {c: pa.list_(pa.float64() if c in ("x", "y", "shared") else pa.int64()) for c in rows[0]}
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema(list(kinds.items()))).slice(5, 30)
+    shape = gcn.Shape(5 if shared else 3, 2, 4, 3, "tanh")
+    weights = shape.start(1)
+    alone = [gcn.gradient(shape, weights, *g[1:5]) for g in gcn._graphs(batch)]
+    loss, slope = gcn.gradient_sums(shape, weights, *gcn.joined_graphs(batch))
+    assert np.isclose(loss, sum(a for a, _ in alone)) and np.allclose(slope, sum(b for _, b in alone))
