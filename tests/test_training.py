@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strucreg.operators import network, optimizers, training
+from strucreg.operators import gcn, network, optimizers, training
 from strucreg.plans import tabular, train
 from strucreg.sources.artifacts import Checkpoints
 
@@ -135,3 +135,62 @@ def test_a_large_table_has_more_models(rows, monkeypatch):
     monkeypatch.setattr(network, "training_rows", lambda *a: seen.append(place(*a)) or seen[-1])
     _many(rows, SPECS, 1)
     assert seen[0].rdd.getNumPartitions() == 24
+
+
+@pytest.mark.parametrize("optimizer,activation", [("Adam", "relu"), ("SGD", "mish"), ("RMSprop", "tanh"), ("AdamW", "silu")])
+def test_models_of_a_trial_step_side_by_side(optimizer, activation, monkeypatch):
+    """The folds of a trial make their steps together, with the same weights as alone; also where a fold's rows come all at once."""
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(400, 5)), rng.normal(size=(400, 2))
+    fold = np.concatenate([rng.integers(0, 3, 300), np.full(100, 1)])
+    shape = network.Shape(5, 2, 7, 2, activation, 1e-3, 1e-4)
+    rule = optimizers.DENSE[optimizer]
+    start = shape.start(3)
+    state = (start, optimizers.start_slots(rule, start.size))
+    made = []
+    whole = network._Stack.gradient
+    monkeypatch.setattr(network._Stack, "gradient", lambda self, *rows: made.append(len(self.weights)) or whole(self, *rows))
+
+    def learned(folds, steps):
+        learner = network._Learner(shape, rule, 1e-2, 16, [state] * len(folds), steps, 1, True)
+        for a in range(0, 400, 100):
+            learner.take((x[a : a + 100], y[a : a + 100]), [fold[a : a + 100] == f for f in folds])
+        return learner.results()
+
+    together = learned([0, 1, 2], [0, 4, 9])
+    assert sum(made) == sum(r[6] for r in together) and len(made) < sum(made) / 2
+    for f, s, (weights, slots, *told) in zip(range(3), (0, 4, 9), together):
+        ((alone, alone_slots, *alone_told),) = learned([f], [s])
+        assert np.array_equal(weights, alone) and all(map(np.array_equal, slots, alone_slots)) and told == alone_told
+        learn = fold != f
+        w, own, t = start, state[1], s
+        for a in range(0, learn.sum(), 16):
+            t += 1
+            w, own = rule[1](w, network.gradient(shape, w, x[learn][a : a + 16], y[learn][a : a + 16])[1], own, t, 1e-2, 0.0)
+        assert np.allclose(w, weights)
+    assert np.array_equal(state[0], shape.start(3)) and not any(s.any() for s in state[1])
+
+
+def test_graphs_of_a_batch_are_made_at_once():
+    """A graph's arrays are pieces of the batch's, and its neighbour sum is the one it has alone."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for n in rng.integers(1, 9, 30).tolist():
+        ends = np.stack([np.arange(n - 1), np.arange(1, n)]) * 10
+        src, dst = np.hstack([ends, ends[::-1]])
+        rows.append({"node_ids": (np.arange(n) * 10).tolist(), "node_keys": list(range(n)), "x": rng.normal(size=3 * n).tolist(), "src": src.tolist(), "dst": dst.tolist(), "y": [1.0, 2.0]})
+    kinds = {c: pa.list_(pa.float64() if c in ("x", "y") else pa.int64()) for c in rows[0]}
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema(list(kinds.items()))).slice(3, 20)
+    graphs = list(gcn._graphs(batch))
+    assert len({id(x.base if x.base.base is None else x.base.base) for _, x, *_ in graphs}) == 1
+    told = gcn._spread_graphs(batch)
+    assert len(told) == len(graphs) == 20 and gcn._spread_graphs(batch.slice(0, 0)) == []
+    for (x, spread, y, keys), (i, own, src, dst, *_) in zip(told, graphs):
+        assert np.array_equal(x, own) and np.array_equal(x.ravel(), rows[i + 3]["x"]) and list(keys) == rows[i + 3]["node_keys"]
+        assert np.allclose(spread(x), gcn.spreader(len(own), src, dst)(own))
+        degree = np.bincount(dst, minlength=len(x)) + 1.0
+        matrix = np.diag(1 / degree)
+        matrix[dst, src] = 1 / np.sqrt(degree[dst] * degree[src])
+        assert np.allclose(spread(x), matrix @ x)
