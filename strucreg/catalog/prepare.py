@@ -35,9 +35,10 @@ def xyz_parse(spark, sf_dir):
     return parsed.filter("valid").drop("valid")
 
 
-def _molecules(spark, sf_dir):
-    records = structures.split_sdf_text(b.sdf_text(b.atoms(spark, sf_dir)))
-    return structures.first_record(structures.parse_sdf(records))
+def _molecules(spark, sf_dir, *columns):
+    """The first usable record of each system; with ``columns`` only those of it go on to where records are compared."""
+    parsed = structures.parse_sdf(structures.split_sdf_text(b.sdf_text(b.atoms(spark, sf_dir))))
+    return structures.first_record(parsed.select("name", "reason", *columns) if columns else parsed)
 
 
 def sdf_parse(spark, sf_dir):
@@ -110,7 +111,7 @@ def attach_molecule(spark, sf_dir):
     """Orders without items have no molecule and drop out."""
     systems = b.atoms(spark, sf_dir).select("idx", "name").distinct()
     rows = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx")).join(systems, "idx", "left")
-    molecules = _molecules(spark, sf_dir).select("name", "record_no", "n_atoms", "n_bonds")
+    molecules = _molecules(spark, sf_dir, "record_no", "n_atoms", "n_bonds")
     return attach.attach_molecule(rows, molecules)
 
 

@@ -19,3 +19,14 @@ def test_records_of_both_formats_are_read_once(spark):
     assert places(first) == places(second) == [("C", 1.0, 2.0, 3.0), ("N", 4.0, 5.0, 6.0)] and first["bonds"] == second["bonds"]
     assert first["charges"] == [] and [tuple(c) for c in second["charges"]] == [(1, 1)]
     assert _plan(parsed).count("Generate explode") + _plan(parsed).count("Generate posexplode") == 1 and "Union" not in _plan(parsed)
+
+
+def test_attached_molecules_leave_their_atoms_behind(spark, sf_dir):
+    """Only the compared columns of a record go on to where records are compared."""
+    from strucreg import catalog
+
+    found = catalog.queries()["attach_molecule"](spark, sf_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    compared = [line for line in plan.splitlines() if "min_by(" in line]
+    assert compared and not any(c in line for line in compared for c in ("atoms, atoms", "bonds, bonds", "charges"))
+    assert found.columns == ["name", "idx", "record_no", "n_atoms", "n_bonds"] and found.count() > 0
