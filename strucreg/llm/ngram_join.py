@@ -210,7 +210,9 @@ def _common_enough(tables: Tables, sets: DataFrame) -> DataFrame:
     elements = sets.select("class", F.explode("keys").alias("h"))
     alone = elements.groupBy("h").agg(F.min("class").alias("class"), F.count(F.lit(1)).alias("classes")).filter("classes = 1")
     bit = [F.expr(f"bit_xor(if((h & 511) >> 6 = {i}, shiftleft(1L, cast(h & 63 as int)), 0L))").alias(f"_{p}") for i, p in enumerate(PARITY)]
-    lonely = alone.groupBy("class").agg(F.count(F.lit(1)).alias("lonely"), *bit)
+    # written, so that the shuffle of all elements is gone before the sets themselves are joined
+    lonely = tables.keep(alone.groupBy("class").agg(F.count(F.lit(1)).alias("lonely"), *bit))
+    tables.release()
     zero = F.lit(0).cast("bigint")
     others = [F.col(p).bitwiseXOR(F.coalesce(f"_{p}", zero)).alias(p) for p in PARITY]
     both = sets.join(lonely, "class", "left").select("class", "n", "keys", F.coalesce("lonely", zero).alias("lonely"), *others)
@@ -312,6 +314,10 @@ def _merged(tables: Tables, labels: DataFrame, links: DataFrame) -> DataFrame:
     return tables.keep(labels.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component")))
 
 
+def _repeats(rows: DataFrame, id_col: str) -> bool:
+    return not rows.groupBy(id_col).agg(F.count(F.lit(1)).alias("_times")).filter("_times > 1").isEmpty()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: the id, n_shingles, component_id."""
     tables = Tables(docs.sparkSession, "ngram-join")
@@ -322,7 +328,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     lonely = tables.keep(_lonely_in_part(docs))
     tables.release()
     chosen = classes.join(lonely, "d1", "left").filter("coalesce(lonely, 0) <= n div 4").drop("lonely")
-    first = tables.keep(_sets(docs, chosen).dropDuplicates(["class"]))
+    found = _sets(docs, chosen)
+    # a class is read from one id, so it comes once unless that id repeats
+    first = tables.keep(found.dropDuplicates(["class"]) if _repeats(rows, "id") else found)
     tables.release()
     sets = _common_enough(tables, first)
     tables.forget(first)
@@ -338,7 +346,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each component with all its columns: the one with the smallest id, the first of those that repeat it; a row without id only
-    where none of the component has one. Rows are numbered in a written copy of ``docs`` and told apart by that number."""
+    where none of the component has one. Without repeated ids the row that stays is the one whose id names its component; else rows are
+    numbered in a written copy of ``docs`` and told apart by that number."""
+    if not _repeats(docs.select(F.col(id_col).alias("id")), "id"):
+        named = near_groups(docs, id_col, text_col).select(F.col(id_col).alias("_stays"), "component_id")
+        named = named.filter(F.col("_stays").eqNullSafe(F.col("component_id"))).select("_stays")
+        rows = docs.select(F.col(id_col).alias("_id"), F.struct("*").alias("_row"))
+        return rows.join(named, F.col("_id").eqNullSafe(F.col("_stays")), "left_semi").select("_row.*")
     tables = Tables(docs.sparkSession, "near-kept")
     rows = tables.keep(docs.select(F.monotonically_increasing_id().alias("_number"), F.struct("*").alias("_row")))
     of_row = lambda c: F.col("_row").getField(c)
