@@ -112,11 +112,12 @@ def score_graph_requests(
         "name", "atom_idx",
         scale.transform_array(F.array(*[F.col(c).cast("double") for c in own]), mean[first:], sd[first:]).alias("features"),
     )
-    shared = F.concat(F.array(*[F.col(c).cast("double") for c in required]), graph.bit_array(F.col("on_bits"), n_bits))
+    n = len(required)
     per_graph = accepted.join(prints, "name").select(
         "name",
         F.array_repeat(F.lit(0.0), shape.outputs).alias("y"),
-        scale.transform_array(shared, mean[:first], sd[:first]).alias("shared"),
+        scale.transform_array(F.array(*[F.col(c).cast("double") for c in required]), mean[:n], sd[:n]).alias("shared"),
+        gcn.set_places(F.col("on_bits"), *graph.scaled_bits(mean[n:first], sd[n:first])),
     )
     rows = gcn.graph_rows(nodes, graph.symmetric_edges(full_bonds), per_graph, ["name"], max_nodes=1 << 30)
     low, width = (list(v) for v in zip(*target_scaler))
