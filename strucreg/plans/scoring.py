@@ -104,7 +104,8 @@ def score_graph_requests(
     atoms = atoms.join(accepted.select("name"), "name", "left_semi")
     bonds = bonds.join(accepted.select("name"), "name", "left_semi")
     prints = graph.circular_fingerprint(atoms, bonds, n_bits=n_bits)
-    full_atoms, full_bonds = graph.add_hydrogens(atoms, bonds)
+    # both are read several times, and making them is most of the work
+    full_atoms, full_bonds = (df.persist() for df in graph.add_hydrogens(atoms, bonds))
     mean, sd = ([float(x) for x in v] for v in feature_scaler)
     own = ["atomic_num", "valence", "charge", "aromatic", "mass"]
     first = len(mean) - len(own)
@@ -119,7 +120,7 @@ def score_graph_requests(
         scale.transform_array(F.array(*[F.col(c).cast("double") for c in required]), mean[:n], sd[:n]).alias("shared"),
         gcn.set_places(F.col("on_bits"), *graph.scaled_bits(mean[n:first], sd[n:first])),
     )
-    rows = gcn.graph_rows(nodes, graph.symmetric_edges(full_bonds), per_graph, ["name"], max_nodes=1 << 30)
+    rows = gcn.graph_rows(nodes, graph.symmetric_edges(full_bonds), per_graph, ["name"], max_nodes=None)
     low, width = (list(v) for v in zip(*target_scaler))
     scored = gcn.predict_rows(rows, ["name"], shape, weights).select(
         F.col("name").alias(key), scale.inverse_array(F.col("prediction"), low, width).alias("prediction")

@@ -79,3 +79,57 @@ def test_rows_placed_by_graph_are_not_moved_again(spark, steps):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         atoms.unpersist()
+
+
+def test_hydrogens_are_those_of_plain_joins(spark):
+    atoms, bonds = _tables(spark)
+    charge = F.coalesce("charge", F.lit(0))
+    bonded = graph.bonded_order(graph.symmetric_edges(bonds, KEYS), KEYS).select(*KEYS, "atom_idx", "bonded")
+    room = F.col("default_valence") + graph._charge_shift(charge) - F.coalesce("bonded", F.lit(0.0))
+    sizes = atoms.groupBy(*KEYS).agg((F.max("atom_idx") + 1).alias("n"))
+    parents = graph._with_elements(atoms).join(bonded, [*KEYS, "atom_idx"], "left").withColumn("missing", F.greatest(F.lit(0), F.coalesce(F.ceil(room), F.lit(0))).cast("int"))
+    parents = parents.filter("missing > 0").join(sizes, KEYS).select(*KEYS, F.col("atom_idx").alias("parent"), "n", F.explode(F.expr("sequence(0, missing - 1)")).alias("k"))
+    told = parents.select(*KEYS, "parent", (F.col("n") + F.col("parent") * graph.HYDROGEN_STRIDE + F.col("k")).alias("atom_idx"))
+    full_atoms, full_bonds = graph.add_hydrogens(atoms, bonds, KEYS)
+    _same(full_atoms.filter("symbol = 'H'").select(*KEYS, "atom_idx"), told.select(*KEYS, "atom_idx"))
+    _same(full_bonds.select(*KEYS, "begin", "end"), bonds.select(*KEYS, "begin", "end").unionAll(told.select(*KEYS, "parent", "atom_idx")))
+
+
+def test_hydrogens_move_no_atom_of_a_placed_graph(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        atoms = spark.range(200).select((F.col("id") % 9).alias("idx"), F.lit(0).alias("part"), F.col("id").alias("atom_idx"), F.lit("C").alias("symbol"), F.lit(0).alias("charge")).repartition(8, "idx").persist()
+        atoms.count()
+        bonds = atoms.select(*KEYS, F.col("atom_idx").alias("begin"), (F.col("atom_idx") + 9).alias("end"), F.lit(1).alias("order"))
+        full, _ = graph.add_hydrogens(atoms, bonds, KEYS)
+        assert full.filter("symbol = 'H'").count() == 400 + 9
+        full.collect()
+        assert "ENSURE_REQUIREMENTS" not in full._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        atoms.unpersist()
+
+
+def test_what_nodes_share_is_made_once_per_graph(spark):
+    """The 0/1 array of a fingerprint comes before its graph's nodes meet it."""
+    atoms = spark.range(200).select((F.col("id") % 9).alias("idx"), F.lit(0).alias("part"), F.col("id").alias("atom_idx"), F.lit("C").alias("symbol"), F.lit(0).alias("charge"))
+    bonds = atoms.filter("atom_idx < 190").select(*KEYS, F.col("atom_idx").alias("begin"), (F.col("atom_idx") + 9).alias("end"), F.lit(1).alias("order"))
+    rows = atoms.select(*KEYS).distinct().withColumn("a", F.col("idx").cast("double"))
+    out = graph.node_features(rows, ["a"], atoms, bonds, KEYS, graph.circular_fingerprint(atoms, bonds, KEYS))
+    assert out.count() == 200 and {len(r["features"]) for r in out.collect()} == {262}
+    optimized = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    at = {kind: min(i for i, line in enumerate(optimized) if kind in line) for kind in ("array_contains", "Join")}
+    assert at["array_contains"] > at["Join"]
+
+
+def test_graphs_that_came_in_a_row_are_not_counted(spark):
+    from strucreg.operators import gcn
+
+    nodes = spark.range(20).select((F.col("id") % 4).alias("g"), F.col("id").alias("atom_idx"), F.array(F.lit(1.0)).alias("features"))
+    edges = nodes.select("g", F.col("atom_idx").alias("src"), F.col("atom_idx").alias("dst"))
+    targets = spark.range(4).select(F.col("id").alias("g"), F.array(F.lit(0.5)).alias("y"))
+    whole, counted = gcn.graph_rows(nodes, edges, targets, ["g"], None), gcn.graph_rows(nodes, edges, targets, ["g"], 100)
+    told = lambda df: sorted(str(r) for r in df.collect())
+    assert told(whole) == told(counted) and whole.count() == 4
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi")
+    assert joins(whole) == 0 and joins(counted) == 2
